@@ -21,12 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Outside these ranges a character's class may differ between the JVM's and the tokenizer's Unicode versions.
 UNSETTLED = r"[^\x00-\u02ff\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u0527\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0660-\u0669\u0905-\u0939\u2000-\u2027\u202f-\u205e\u20a0-\u20b0\u2190-\u21ff\u2500-\u25ff\u3000-\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 #: Entries of a task's word table; beyond them it starts anew, which changes no result.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 300_000
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 
 
@@ -60,7 +62,7 @@ class WordTable:
             self.clear()
         new = [w for w in words if w not in self.rows]
         if new:
-            ids = [e.ids for k in range(0, len(new), 20_000) for e in self.tok.encode_batch(new[k : k + 20_000], add_special_tokens=False)]
+            ids = [e.ids for k in range(0, len(new), 5_000) for e in self.tok.encode_batch(new[k : k + 5_000], add_special_tokens=False)]
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
             base = len(self.rows)
@@ -106,6 +108,7 @@ def _encode_batches(path: str):
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, for each whole text."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     odd = text.rlike(UNSETTLED)
     for s in special_tokens(tokenizer):

@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Rows of an Arrow batch of texts, at most: what a Python worker holds at once follows it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: the lineage ends there, on files every executor sees."""
     spark = df.sparkSession

@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WORD = re.compile(r"[^\W_]+")
 GRAM, WINDOW, BAND = 3, 2, 8
-CACHE = 400_000
+CACHE = 150_000
 FOUND = "doc_id bigint, license string, coverage double, matched int, template_words int, start_char bigint, end_char bigint"
 
 TEMPLATES = {
@@ -191,4 +193,5 @@ def _scan(templates: dict[str, str]):
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row for each place of a template: coverage, matched words and span in characters."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(TEMPLATES if templates is None else templates), FOUND)

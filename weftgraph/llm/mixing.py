@@ -3,12 +3,13 @@
 Weights go down a domain-language-source tree; a leaf holds at most ``max_epochs`` times its tokens. What a
 node can't take is offered to its siblings, by weight, before it goes up to the ancestors' siblings. A leaf's
 documents are then taken in the order of seeded epochs, up to its budget in tokens: the document whose last
-token would pass the budget is the first to stay out.
+token would pass the budget is the first to stay out, and with it others of the same place in the order.
 
 The tree has few leaves (bounded by MAX_LEAVES, checked); documents are never gathered by leaf. A leaf's order
-is a keyed hash of (seed, epoch, doc_id, text digest); the hash space is cut in cells, tokens are summed by
-(leaf, epoch, cell), and only the one cell in which the budget ends is ordered document by document. The
-number of cells follows the number of rows, so a leaf with a third of all rows is no hot group.
+is a keyed hash of (seed, epoch, doc_id, text); the hash space is cut in cells, tokens are summed by (leaf,
+cell), and only the one cell in which the budget ends is ordered document by document, for the hash at which
+the prefix ends. The number of cells follows the number of rows, so a leaf with a third of all rows is no hot
+group, and documents are chosen where they are read.
 
 Defined results: null or blank lang and source form leaves named "?"; empty texts have 0 tokens and are
 taken in their place in the order; a domain, language or source without a weight has weight 1; with no budget
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import materialise
+
 MAX_LEAVES = 20_000
 #: Rows of a leaf in a cell, about.
 CELL_ROWS = 256
@@ -107,26 +110,28 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], float],
     budget = {x.name: x.budget for x in leaves(root)}
     # whole epochs are taken outright; the last one as a prefix
     plan = [(*k, int(b // have[k]) if have[k] else 0, float(b - (b // have[k]) * have[k]) if have[k] else 0.0) for k, b in budget.items()]
-    most = max((p[3] for p in plan), default=0) + 1
     cells = 1 << max(0, (max((r["rows"] for r in sums), default=0) // CELL_ROWS).bit_length())
     spark = docs.sparkSession
     goal = F.broadcast(spark.createDataFrame(plan, "_d string, _l string, _s string, _whole int, _rest double"))  # one row a leaf, at most MAX_LEAVES
-    epochs = key.join(goal, leaf).withColumn("_e", F.explode(F.sequence(F.lit(0), F.least(F.col("_whole"), F.lit(most)))))
-    epochs = epochs.withColumn("_o", F.xxhash64(F.lit(seed), F.col("_e"), F.col("_h"))).withColumn("_c", F.pmod(F.shiftrightunsigned("_o", 32), F.lit(cells)))
-    last = epochs.filter("_e = _whole and _rest > 0")
-    by_cell = last.groupBy(*leaf, "_c").agg(F.sum("_n").alias("_cn"), F.first("_rest").alias("_rest"))
-    # a window over a leaf's cells, in blocks: sums of blocks first, so that no task gets all cells of a leaf
+    place = lambda df: df.withColumn("_o", F.xxhash64(F.lit(seed), F.col("_e"), F.col("_h"))).withColumn("_c", F.pmod(F.shiftrightunsigned("_o", 32), F.lit(cells)))
+    last = place(key.select(*leaf, "_n", "_h").join(goal, leaf).filter("_rest > 0").withColumn("_e", F.col("_whole")))
+    # sums by cell, then by blocks of cells, so that no task gets all cells of a leaf
     block = max(1, int(cells**0.5))
-    by_block = by_cell.withColumn("_b", F.floor(F.col("_c") / block)).groupBy(*leaf, "_b").agg(F.sum("_cn").alias("_bn"))
-    before_block = by_block.withColumn("_before", F.coalesce(F.sum("_bn").over(W.partitionBy(*leaf).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(*leaf, "_b", "_before")
-    in_block = by_cell.withColumn("_b", F.floor(F.col("_c") / block)).join(before_block, [*leaf, "_b"])
-    before = in_block.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_cn").over(W.partitionBy(*leaf, "_b").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # the cell in which a leaf's budget ends: one a leaf, so at most MAX_LEAVES rows
-    edge = before.filter("_before <= _rest and _before + _cn > _rest").select(*leaf, F.col("_c").alias("_edge"), "_before")
-    marked = last.join(F.broadcast(edge), leaf, "left")
-    # no edge: the whole epoch is within the budget
-    inside = marked.filter("_edge is null or _c < _edge").select("_row", "_e")
-    order = W.partitionBy(*leaf).orderBy("_o", "_h").rowsBetween(W.unboundedPreceding, 0)
-    at_edge = marked.filter("_c = _edge").withColumn("_upto", F.col("_before") + F.sum("_n").over(order)).filter("_upto <= _rest").select("_row", "_e")
-    chosen = epochs.filter("_e < _whole").select("_row", "_e").unionByName(inside).unionByName(at_edge)
-    return chosen.select(*[F.col("_row")[c].alias(c) for c in cols], F.col("_e").alias("mix_epoch"))
+    by_cell = materialise(last.groupBy(*leaf, "_c").agg(F.sum("_n").alias("_cn"), F.first("_rest").alias("_rest")).withColumn("_b", F.floor(F.col("_c") / block)), "cells")
+    by_block = by_cell.groupBy(*leaf, "_b").agg(F.sum("_cn").alias("_bn"))
+    to_here = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    before_block = by_block.withColumn("_bb", F.coalesce(F.sum("_bn").over(to_here(*leaf).orderBy("_b")), F.lit(0))).select(*leaf, "_b", "_bb")
+    before = by_cell.join(before_block, [*leaf, "_b"]).withColumn("_before", F.col("_bb") + F.coalesce(F.sum("_cn").over(to_here(*leaf, "_b").orderBy("_c")), F.lit(0)))
+    # where a leaf's budget ends: a cell a leaf, then a hash a leaf; at most MAX_LEAVES rows each
+    edges = before.filter("_before <= _rest and _before + _cn > _rest").select(*leaf, F.col("_c").alias("_edge"), "_before").collect()
+    edge = spark.createDataFrame(edges, "_d string, _l string, _s string, _edge bigint, _before bigint")
+    there = last.join(F.broadcast(edge), leaf).filter("_c = _edge").groupBy(*leaf, "_o", "_before", "_rest").agg(F.sum("_n").alias("_n"))
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*leaf).orderBy("_o").rowsBetween(W.unboundedPreceding, 0))
+    cuts = {tuple(r)[:3]: r["_cut"] for r in there.withColumn("_upto", upto).filter("_upto <= _rest").groupBy(*leaf).agg(F.max("_o").alias("_cut")).collect()}
+    ends = {tuple(r)[:3]: r["_edge"] for r in edges}
+    full = [(*p, ends.get(p[:3]), cuts.get(p[:3])) for p in plan]
+    final = F.broadcast(spark.createDataFrame(full, "_d string, _l string, _s string, _whole int, _rest double, _edge bigint, _cut bigint"))
+    epochs = place(key.join(final, leaf).withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("_whole")))))
+    # no edge: the rest is nothing, or all of the epoch
+    inside = F.expr("_e < _whole or (_rest > 0 and (_edge is null or _c < _edge or (_c = _edge and _o <= _cut)))")
+    return epochs.filter(inside).select(*[F.col("_row")[c].alias(c) for c in cols], F.col("_e").alias("mix_epoch"))

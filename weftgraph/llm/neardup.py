@@ -3,17 +3,18 @@
 One pass makes of each whole text its set of word shingles (64-bit hashes), a 128-bit signature of the set, a
 HyperMinHash sketch (a register a bucket: leading zeros and mantissa of the bucket's least hash) and keys:
 
-* sets of LONG shingles or more: one key for each band of ROWS registers; a pair at the threshold of 0.8 shares
-  one with probability 1 - (1 - 0.8^6)^42 > 0.999997;
+* sets of LONG shingles or more: one key for each band of ROWS cells of four buckets; a pair at the threshold of
+  0.8 shares one with probability 1 - (1 - 0.8^6)^42 > 0.999997;
 * smaller sets, whose registers are mostly empty: the hash space is cut in ranges, more of them than a linked
   pair's sets can differ in elements, and a key is a range's whole content. Size classes with a ratio of 1.25,
   two for each set, give a pair the same ranges; sets under 8 elements have keys of themselves less one element.
 
-Equal sets become one node by their signatures. In a key's group every node is tried against the smallest one
-(its hub), not against all: the sketches' collision-corrected Jaccard estimate drops pairs far below the
-threshold, the rest is confirmed on full sets, and links make components. Groups that then still hold several
-components have all their other pairs estimated, in blocks, and those near the threshold confirmed: no link
-between different sets that share a key is lost, and no task gets an unbounded group.
+Equal sets become one node by their signatures. A key's group has a hub, its smallest node, and a node is
+tried against the one hub with which it shares the most keys, not against all: the sketches' collision-corrected
+Jaccard estimate drops pairs far below the threshold, the rest is confirmed on full sets, and links make
+components. Groups that then still hold several components have the pairs between these estimated, in blocks, and
+those near the threshold confirmed: no link between different sets that share a key is lost, and no task gets an
+unbounded group.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; rows with a null
 doc_id are linked with nothing (component null, kept); rows that repeat a doc_id are one node, each of them
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 ROWS, BANDS = 6, 42
-REGISTERS = ROWS * BANDS
+REGISTERS = 4 * ROWS * BANDS
 LONG = 160
 #: Members of a group that are compared with one another in one task, and shingles of the documents confirmed in one.
-CELL, CONFIRM = 512, 300_000
-CACHE = 1_000_000
+CELL, CONFIRM = 512, 60_000
+CACHE = 300_000
 U = np.uint64
 M1, M2, GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 SKETCH = "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, regs binary"
@@ -99,13 +100,20 @@ def registers(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def short_register(r: np.ndarray) -> np.ndarray:
-    """8 bits of each: leading zeros (to 30) and 3 bits of mantissa; 0: empty."""
-    return np.where(r == 0, 0, np.minimum(r >> 10, 31) << 3 | (r >> 7) & 7).astype(np.uint8)
+def pack(r: np.ndarray) -> bytes:
+    """Four bits of each: leading zeros (to 2) and 2 bits of mantissa; 0: empty."""
+    c = np.where(r == 0, 0, 1 + np.minimum((r >> 10).astype(np.int64) - 1, 2) * 4 + ((r >> 8) & 3)).astype(np.uint8)
+    return (c[0::2] << 4 | c[1::2]).tobytes()
 
 
-#: Chance that different elements make equal 8-bit registers: sum over zeros of 4^-(z+1), times 2^-3.
-COLLISION = 1 / 24
+def unpack(sketches: list[bytes]) -> np.ndarray:
+    """A row of registers each, in an order of its own."""
+    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, REGISTERS // 2)
+    return np.hstack([packed >> 4, packed & 15])
+
+
+#: Chance that different elements make equal 4-bit registers: (1/4 + 1/16 + 1/16) for the zeros, times 1/4.
+COLLISION = 0.09375
 
 
 def estimate(equal: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -119,6 +127,12 @@ def least_estimate(filled: np.ndarray, threshold: float) -> np.ndarray:
     return threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1)) - 2 / np.maximum(filled, 1)
 
 
+def may_reach(same: np.ndarray, filled: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """By the estimate, and by a bound that holds for sure: each register that differs takes an element that only one set has."""
+    apart = (1 - threshold) / (1 + threshold) * sizes + 1e-9
+    return (filled - same <= apart) & (estimate(same, filled) >= least_estimate(filled, threshold))
+
+
 def size_class(n: int) -> int:
     k = 0
     while 1.25 ** (k + 1) <= n:
@@ -150,7 +164,9 @@ def keys(h: np.ndarray, regs: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(np.diff(b, prepend=-1))
         out.append(mix(np.add.reduceat(m, first) ^ mix(b[first].astype(U) + U(1000 * (c + 1)))))
     if 1.25**k >= LONG:
-        bands = regs.reshape(BANDS, ROWS).astype(U)
+        cells = regs.reshape(-1, 4)
+        at = (cells > 0).argmax(1)  # the least hash of four buckets is in the first that is filled
+        bands = np.where(cells.any(1), cells[np.arange(len(cells)), at].astype(U) + (at.astype(U) << U(16)), U(0)).reshape(BANDS, ROWS)
         x = np.full(BANDS, U(7)) + np.arange(BANDS, dtype=U)
         for i in range(ROWS):
             x = mix(x ^ bands[:, i])
@@ -170,7 +186,7 @@ def _sketch(k: int):
                 s1.append(int(mix(h).sum(dtype=U).astype(np.int64)))
                 s2.append(int(mix(h ^ M1).sum(dtype=U).astype(np.int64)))
                 ks.append(keys(h, regs).astype(np.int64))
-                rs.append(short_register(regs).tobytes())
+                rs.append(pack(regs))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ks])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ks, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists, pa.array(rs, pa.binary())], names=["doc_id", "n", "s1", "s2", "keys", "regs"])
@@ -179,16 +195,17 @@ def _sketch(k: int):
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_sketch(k), SKETCH)
 
 
 def _estimated(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.frombuffer(b"".join(b.column("rx").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            y = np.frombuffer(b"".join(b.column("ry").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            x, y = unpack(b.column("rx").to_pylist()), unpack(b.column("ry").to_pylist())
             filled = ((x > 0) | (y > 0)).sum(1)
-            keep = estimate(((x == y) & (x > 0)).sum(1), filled) >= least_estimate(filled, threshold)
+            sizes = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            keep = may_reach(((x == y) & (x > 0)).sum(1), filled, sizes, threshold)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -198,8 +215,9 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, threshold: float) -> Data
     """Those of (a, b) whose sizes and sketches allow the threshold."""
     one = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("rx"))
     two = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("ry"))
-    both = pairs.join(one, "a").join(two, "b").filter((F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
-    return both.select("a", "b", "rx", "ry").mapInArrow(_estimated(threshold), "a bigint, b bigint")
+    # merge joins at every size: a broadcast that only small inputs allow would hide what large ones move
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter((F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
+    return both.select("a", "b", "na", "nb", "rx", "ry").mapInArrow(_estimated(threshold), "a bigint, b bigint")
 
 
 def _confirm(k: int, percent: int):
@@ -233,7 +251,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, perc
     # how many cells a hub has comes by a second join, not by a window over its partners
     mine = sized.join(cells.select("a", "cells"), "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("cell"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sent = hubs.unionByName(mine).join(texts, "doc_id").select("a", "cell", "doc_id", "text")
+    sent = hubs.unionByName(mine).join(texts.hint("merge"), "doc_id").select("a", "cell", "doc_id", "text")
     return sent.groupBy("a", "cell").applyInArrow(_confirm(k, percent), "a bigint, b bigint")
 
 
@@ -259,7 +277,7 @@ def _block(threshold: float):
         i, j = key[1].as_py(), key[2].as_py()
         chunk = table.column("chunk").to_numpy()
         ids, comp, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "n"))
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        regs, prior = unpack(table.column("regs").to_pylist()), [frozenset(p) for p in table.column("prior").to_pylist()]
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         out = []
         for x in left:
@@ -267,8 +285,9 @@ def _block(threshold: float):
             y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9)]
             if len(y):
                 filled = ((regs[y] > 0) | (regs[x] > 0)).sum(1)
-                y = y[estimate(((regs[y] == regs[x]) & (regs[x] > 0)).sum(1), filled) >= least_estimate(filled, threshold)]
-                out += [(min(ids[x], ids[z]), max(ids[x], ids[z])) for z in y]
+                y = y[may_reach(((regs[y] == regs[x]) & (regs[x] > 0)).sum(1), filled, n[y] + n[x], threshold)]
+                # a pair that shares an earlier open key is told there
+                out += [(min(ids[x], ids[z]), max(ids[x], ids[z])) for z in y if prior[x].isdisjoint(prior[z])]
         out = sorted(set(out))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
@@ -276,20 +295,26 @@ def _block(threshold: float):
 
 
 def rest_pairs(grouped: DataFrame, comp: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in one key's group that were not tried with their hub and may be linked."""
+    """Pairs of different components in one key's group that may be linked."""
     named = grouped.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     named = materialise(named, "named")
     mark = F.xxhash64("doc_id").cast("decimal(38,0)")
-    groups = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(mark).alias("m"))
+    groups = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(mark).alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     # groups of the same members are one: by their size and sum of marks
-    open_ = groups.filter("size > 2 and lo <> hi").groupBy("size", "m").agg(F.min("key").alias("key"))
-    open_ = materialise(open_.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("chunks")), "open")
-    members = named.join(open_, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("chunks")).cast("int"))
-    members = members.join(sketches.select("doc_id", "n", "regs"), "doc_id")
+    open_ = groups.filter("lo <> hi").groupBy("size", "m").agg(F.min("key").alias("key"), F.min("a").alias("a"), F.max("b").alias("b"))
+    open_ = materialise(open_.select("key", "size", "a", "b", F.ceil(F.col("size") / CELL).cast("int").alias("chunks")), "open")
+    pairs = near_enough(open_.filter("size = 2").select("a", "b").distinct(), sketches, threshold)
+    large = open_.filter("size > 2").select("key", "chunks")
+    # a member's open keys, at most as many as it has keys, and with each those before it
+    inside = named.join(large, "key").groupBy("doc_id", "component").agg(F.array_sort(F.collect_set(F.struct("key", "chunks"))).alias("ks"))
+    members = inside.join(sketches.select("doc_id", "n", "regs").hint("merge"), "doc_id")
+    members = members.select("doc_id", "component", "n", "regs", F.transform("ks", lambda k: k["key"]).alias("all"), F.posexplode("ks").alias("pos", "k"))
+    members = members.select("doc_id", "component", "n", "regs", F.col("k.key").alias("key"), F.col("k.chunks").alias("chunks"), F.slice("all", F.lit(1), F.col("pos")).alias("prior"))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    cells = members.select("key", "doc_id", "component", "n", "regs", "chunk", other)
+    cells = members.select("key", "doc_id", "component", "n", "regs", "prior", "chunk", other)
     cells = cells.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks")
-    return cells.groupBy("key", "i", "j").applyInArrow(_block(threshold), "a bigint, b bigint").distinct()
+    return cells.groupBy("key", "i", "j").applyInArrow(_block(threshold), "a bigint, b bigint").unionByName(pairs).distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -306,10 +331,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).filter("hub <> most")
     hubs = materialise(hubs.select("key", "hub"), "hubs")
     grouped = materialise(rows.join(hubs, "key").select("key", "doc_id", "hub"), "grouped")
-    tried = grouped.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shared = grouped.filter("doc_id <> hub").groupBy("doc_id", "hub").count()
+    tried = shared.groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a")).select("a", F.col("doc_id").alias("b"))
+    tried = materialise(tried, "tried")
     links = materialise(confirm(near_enough(tried, full, threshold), docs, full, k, percent), "links")
     comp = components(links)
-    more = materialise(rest_pairs(grouped.select("key", "doc_id").distinct(), comp, full, threshold), "more")
+    more = rest_pairs(grouped.select("key", "doc_id").distinct(), comp, full, threshold)
+    more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         late = materialise(confirm(more, docs, full, k, percent), "links")
         if late.limit(1).count():

@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from .common import small_batches
+
 KEY = "weftgraph surrogate key"  # production passes its own
-CACHE = 200_000
+CACHE = 50_000
 
 #: Runs of characters of one class; a character is replaced within its class.
 CLASSES = (
@@ -272,6 +274,7 @@ SPANS = ArrayType(StructType().add("start", LongType()).add("end", LongType()).a
 
 def anonymise(docs: DataFrame, key: str = KEY, spans: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; with ``spans``, a column of that name lists what was replaced."""
+    small_batches(docs.sparkSession)
     schema = StructType([StructType().add("text", StringType()).fields[0] if f.name == "text" else f for f in docs.schema.fields])
     if spans:
         schema = schema.add(spans, SPANS)

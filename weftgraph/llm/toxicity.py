@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled documents to fit on, about: the bound of what reaches the driver.
 SAMPLE = 12_000
 #: Features to fit, chosen by chi-square over the sample.
@@ -40,7 +42,7 @@ GROUPS = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-CACHE = 400_000
+CACHE = 150_000
 
 
 def features(token: str) -> tuple[str, ...]:
@@ -165,6 +167,7 @@ def is_training(doc_id):  # noqa: ANN001, ANN201
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float = 1.0, groups: tuple[tuple[str, ...], ...] = GROUPS) -> Model | None:
     """Fits on labelled rows outside the held-out fold; None without labels of both kinds."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & is_training(F.col("doc_id"))).select("doc_id", "toxic")
     total = known.count()
     share = min(1.0, sample / max(total, 1))
