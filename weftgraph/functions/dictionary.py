@@ -37,10 +37,8 @@ def terms(dictionary: DataFrame) -> list[tuple[str, str]]:
 
 
 def _bounded(alias: str) -> str:
-    """Latin aliases are whole words; Hangul ones may have endings after them."""
-    left = r"(?<![A-Za-z0-9])" if alias[:1].isascii() else r"(?<![가-힣])"
-    right = r"(?![A-Za-z0-9])" if alias[-1:].isascii() else ""
-    return f"{left}{re.sub(r'([^A-Za-z0-9가-힣 ])', r'\\\1', alias)}{right}"
+    """The alias as whole words."""
+    return rf"(?<![\p{{L}}\p{{N}}_]){re.sub(r'([^A-Za-z0-9가-힣 ])', r'\\\1', alias)}(?![\p{{L}}\p{{N}}_])"
 
 
 def normalize_query(query: Column, entries: list[tuple[str, str]], mode: str = "expand") -> Column:
@@ -50,17 +48,18 @@ def normalize_query(query: Column, entries: list[tuple[str, str]], mode: str = "
         for alias, canonical in entries:
             out = F.regexp_replace(out, f"(?i){_bounded(alias)}", canonical.replace("\\", "\\\\").replace("$", "\\$"))
         return out
-    found = [F.when(query.rlike(f"(?i){_bounded(a)}") & ~F.contains(F.lower(query), F.lit(c.lower())), c) for a, c in sorted(entries)]
+    found = [F.when(query.rlike(f"(?i){_bounded(a)}") & ~F.contains(F.lower(query), F.lit(c.lower())), c) for a, c in entries]
     extra = F.array_distinct(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
     return F.when(F.size(extra) > 0, F.concat_ws(" ", query, F.array_join(extra, " "))).otherwise(query)
 
 
 def normalize_text(text: Column, entries: list[tuple[str, str]]) -> Column:
-    """alias becomes alias(canonical), at its first place, longest alias first."""
+    """Every place of an alias becomes alias(canonical), unless it is that already; longest alias first."""
+    plain = lambda t: t.replace("\\", "\\\\").replace("$", "\\$")
     out = text
-    for alias, canonical in entries:
-        c = canonical.replace("\\", "\\\\").replace("$", "\\$")
-        out = F.regexp_replace(out, f"(?is)\\A(.*?)({_bounded(alias)})(?!\\()", f"$1$2({c})")
+    for alias, canonical in sorted(entries, key=lambda e: (-len(e[0]), e[0])):
+        done = re.sub(r"([^A-Za-z0-9가-힣 ])", r"\\\1", canonical)
+        out = F.regexp_replace(out, f"(?i){_bounded(alias)}(?!\\({done}\\))", plain(f"{alias}({canonical})"))
     return out
 
 

@@ -96,10 +96,8 @@ def head_noun_edges(labels: DataFrame, chunks_of: DataFrame | None = None, corpu
     cand = names.select(F.col("name").alias("child"), F.posexplode(tails(F.col("name"))).alias("place", "head"))
     found = cand.join(names.withColumnRenamed("name", "head"), "head", "left_semi").filter("child <> head and length(head) >= 2")
     first = found.groupBy("child").agg(F.min_by("head", "place").alias("head"))
-    before = F.trim(F.substring_index("child", F.col("head"), 1))
     lead = F.trim(F.expr("left(child, length(child) - length(head))"))
     code = lead.rlike("^(?=\\S*\\d)[A-Za-z0-9][A-Za-z0-9.\\-]*$")
-    del before
     out = first.withColumn("kind", F.when(F.endswith("child", F.col("head")) & code, "sameAs").otherwise("edge"))
     if chunks_of is not None and corpus_chunks >= COVERAGE_FROM:
         members = first.select("head", F.col("child").alias("name")).unionByName(first.select("head", F.col("head").alias("name")).distinct())

@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from weftgraph.functions import text as T
 from weftgraph.functions import values as V
-from weftgraph.schemas import Graph, conform
+from weftgraph.schemas import Graph, conform, settled
+from weftgraph.session import settle
 
 RESERVED = {
     "instanceOf": "instanceOf", "instance_of": "instanceOf", "isA": "instanceOf", "is_a": "instanceOf", "type": "instanceOf", "rdf:type": "instanceOf",
@@ -65,6 +66,7 @@ def normalize_graph(g: Graph, structural: tuple[str, ...] = (), relabelled: bool
     """The loading rules; ``relabelled``: names are in canonical spelling already. Nothing is collected: each rule is a plan."""
     if not relabelled:
         g = relabel(g)
+    g = settled(g)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     fits = lambda c: V.is_class_name(F.col(c))
     named = g.instances.filter(empty("identity") != "").select("name").distinct()
@@ -88,7 +90,7 @@ def normalize_graph(g: Graph, structural: tuple[str, ...] = (), relabelled: bool
     declared_o = object_props.select(F.col("name").alias("predicate"), F.lit(True).alias("_o")).distinct()
     marked = plain.join(declared_d, "predicate", "left").join(declared_o, "predicate", "left").join(named.select(F.col("name").alias("object"), F.lit(True).alias("_row")), "object", "left")
     attribute = F.when(F.col("predicate_type") == "DatatypeProperty", True).when(F.col("_d") & F.col("_o").isNull(), True).when(F.col("_o") & F.col("_d").isNull(), False).otherwise(V.is_value_like(F.col("object")) & F.col("_row").isNull())
-    marked = marked.withColumn("_attr", attribute)
+    marked = settle(marked.withColumn("_attr", attribute), "marked")
     to_values = marked.filter("_attr").select(F.col("subject").alias("entity"), F.col("predicate").alias("property"), F.col("object").alias("value"), F.lit("xsd:string").alias("value_type"), "source_chunks", (F.col("ord") + (1 << 60)).alias("ord"))
     rel = conform(marked.filter("not _attr"), "relations")
     # instances: types that are no classes go, typings come, sameAs is followed one step
@@ -98,11 +100,12 @@ def normalize_graph(g: Graph, structural: tuple[str, ...] = (), relabelled: bool
     inst = merge_rows(rename(inst, "name").filter(empty("name") != ""), ["name", "class_name"], {"identity": False})
     has_type = inst.filter("class_name <> ''").select("name").distinct().withColumn("_t", F.lit(True))
     inst = inst.join(has_type, "name", "left").filter("class_name <> '' or _t is null").drop("_t")
-    rel = rename(rename(rel, "subject"), "object")
+    inst = settle(inst, "instances")
+    rel = settle(rename(rename(rel, "subject"), "object"), "relations")
     values = rename(conform(g.data_values, "data_values").unionByName(conform(to_values, "data_values")), "entity")
     row_names = named.select(F.col("name").alias("entity"), F.lit(True).alias("_row"))
     values = values.join(row_names, "entity", "left").filter((empty("entity") != "") & (empty("property") != "") & F.col("value").isNotNull() & (~V.is_value_like(F.col("entity")) | F.col("_row"))).drop("_row")
-    values = first(values, "entity", "property", "value")
+    values = settle(first(values, "entity", "property", "value"), "values")
     # classes that are referred to
     refs = [data_props.select("domain"), object_props.select("domain"), object_props.select("range"), sub.select("object"), sub.select("subject"), typed.select("object"), g.instances.select("class_name")]
     wanted = refs[0].toDF("name")
@@ -122,6 +125,7 @@ def normalize_graph(g: Graph, structural: tuple[str, ...] = (), relabelled: bool
     merged = merge_rows(rel, ["subject", "predicate", "object"], {"predicate_type": False, "label": True}, summed=F.sum(F.coalesce(F.nullif(F.col("weight"), F.lit(0.0)), F.lit(1.0))))
     stated = F.size(F.filter("source_chunks", lambda c: c != ""))
     merged = merged.withColumn("weight", F.when(stated > 0, stated.cast("double")).otherwise(F.col("summed"))).drop("summed")
+    merged = settle(merged, "merged")
     pair = [F.least("subject", "object").alias("_a"), F.greatest("subject", "object").alias("_b")]
     names = merged.filter(~F.col("predicate").isin(*VOCABULARY)).select(*pair).distinct().withColumn("_named", F.lit(True))
     paired = merged.withColumn("_a", pair[0]).withColumn("_b", pair[1]).join(names, ["_a", "_b"], "left")

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.schemas import Graph, conform, evidence
+from weftgraph.schemas import Graph, conform, evidence, settled
+from weftgraph.session import settle
 
 
 def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ()) -> Graph:
     """``g`` without the chunks (chunk_id) and what they alone supported. Only classes are iterated: a schema is small."""
-    gone = gone.select("chunk_id").distinct()
-    ev = evidence(g)
+    g = settled(g)
+    gone = settle(gone.select("chunk_id").distinct(), "gone")
+    ev = settle(evidence(g), "evidence")
     hit = ev.join(gone, "chunk_id", "left_semi").select("name").distinct()
     left = ev.join(gone, "chunk_id", "left_anti").join(hit, "name", "left_semi")
     remaining = hit.join(left.groupBy("name").agg(F.collect_set("chunk_id").alias("_left")), "name", "left").withColumn("_left", F.coalesce("_left", F.array().cast("array<string>")))
+    remaining = settle(remaining, "remaining")
     # relations: the chunks that stay, by explode, anti join and regroup (many sources may go at once)
     rel = g.relations.withColumn("_rid", F.xxhash64("subject", "predicate", "object", "label", "ord"))
     kept_chunks = rel.select("_rid", F.posexplode("source_chunks").alias("_p", "chunk_id")).join(gone, "chunk_id", "left_anti")
@@ -26,7 +29,7 @@ def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ())
     free = F.col("predicate").isin(*structural) if structural else F.lit(False)
     shared = F.coalesce(F.arrays_overlap("_ls", "_lo"), F.lit(False))
     dies = is_object & F.when(own, F.col("_keep").isNull()).otherwise(~free & F.col("_ls").isNotNull() & F.col("_lo").isNotNull() & ~shared)
-    r = r.filter(~dies)
+    r = settle(r.filter(~dies), "relations")
     classes = g.classes.select("name").distinct()
     orphans = remaining.filter(F.size("_left") == 0).select("name").join(classes, "name", "left_anti")
     # classes: few, so rounds are over small frames; each round's names are bounded by the schema
@@ -35,7 +38,7 @@ def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ())
     linked = edges.join(classes.withColumnRenamed("name", "subject"), "subject", "left_semi").select("subject", "object").unionByName(edges.join(classes.withColumnRenamed("name", "object"), "object", "left_semi").select("subject", "object"))
     hit_classes = hit.join(classes, "name", "left_semi").unionByName(g.instances.join(orphans, "name", "left_semi").filter("coalesce(class_name, '') <> ''").select(F.col("class_name").alias("name")).join(classes, "name", "left_semi")).distinct()
     bare = hit_classes.join(remaining.filter(F.size("_left") > 0), "name", "left_anti")
-    dead = _dead_classes(g, bare, typing, linked, hit_classes)
+    dead = _dead_classes(g, ev, bare, typing, linked, hit_classes)
     gone_names = orphans.unionByName(g.spark.createDataFrame([(n,) for n in sorted(dead)], "name string"))
     keep = lambda df, c: df.join(gone_names.withColumnRenamed("name", c), c, "left_anti")
 
@@ -70,7 +73,7 @@ def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ())
 MAX_CLASSES = 100_000
 
 
-def _dead_classes(g: Graph, bare: DataFrame, typing: DataFrame, linked: DataFrame, start: DataFrame) -> set[str]:
+def _dead_classes(g: Graph, ev: DataFrame, bare: DataFrame, typing: DataFrame, linked: DataFrame, start: DataFrame) -> set[str]:
     """Classes without evidence that nothing refers to, round by round, on the schema's own (bounded) tables."""
     if not start.limit(1).count():
         return set()
@@ -94,10 +97,8 @@ def _dead_classes(g: Graph, bare: DataFrame, typing: DataFrame, linked: DataFram
         if not new:
             break
         candidates = {p for p, c in up if c in new} | {classes[n] for n in new if classes.get(n)} | {r for d, r in props if d in new and r}
-        unsupported |= {c for c in candidates if c in classes and not _has_evidence(g, c)}
+        asked = sorted(candidates & classes.keys())
+        stated = {n for (n,) in few(ev.filter(F.col("name").isin(*asked)).select("name").distinct())} if asked else set()
+        unsupported |= set(asked) - stated
         candidates -= dead
     return dead
-
-
-def _has_evidence(g: Graph, name: str) -> bool:
-    return evidence(g).filter(F.col("name") == name).limit(1).count() > 0

@@ -12,7 +12,7 @@ from weftgraph.functions import text as T
 from weftgraph.operators import cluster, facts, govern, hierarchy, normalize, profile, quality, relations, star
 from weftgraph.operators.community import detect_communities
 from weftgraph.operators.retract import retract_chunks
-from weftgraph.schemas import Graph, conform, empty, graph
+from weftgraph.schemas import Graph, conform, empty, graph, settled
 from weftgraph.sources import documents as D
 from weftgraph.sources import grids, rdf
 from weftgraph.streaming.sync import diff_rows
@@ -124,16 +124,16 @@ class GraphBuilder:
         """Coverage, dedup, hierarchy, governance, normalisation, in this order, over the whole graph."""
         if coverage:
             g = apply_coverage(g, self.max_coverage, protected)
-        g = normalize.reconcile_identities(g)
+        g = settled(normalize.reconcile_identities(settled(g)))
         if self.dedup:
             vectors = relations.embed(g.classes.select("name"), self.embedder) if self.embedder else None
-            g = cluster.deduplicate(g, vectors=vectors)
+            g = settled(cluster.deduplicate(g, vectors=vectors))
         if self.resolve:
-            g = normalize.rename_names(g, cluster.resolve_renames(g.instances))
+            g = settled(normalize.rename_names(g, cluster.resolve_renames(g.instances)))
         if self.with_hierarchy:
-            g = hierarchy.induce_hierarchy(g)
+            g = settled(hierarchy.induce_hierarchy(g))
         g = g.with_(relations=govern.govern_predicates(g.relations, g.object_props))
-        g = normalize.normalize_graph(g, STRUCTURAL)
+        g = settled(normalize.normalize_graph(settled(g), STRUCTURAL))
         return hierarchy.fix_self_typed(hierarchy.clean_hierarchy(g))
 
     # upkeep

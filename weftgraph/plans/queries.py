@@ -13,7 +13,8 @@ from weftgraph.functions import values as V
 from weftgraph.operators import cluster, community, facts, govern, hierarchy, normalize, profile, quality, reads, star
 from weftgraph.operators.retract import retract_chunks
 from weftgraph.plans.builder import STRUCTURAL, GraphBuilder
-from weftgraph.schemas import Graph, graph
+from weftgraph.schemas import Graph, graph, settled
+from weftgraph.session import settle
 from weftgraph.sources import documents, grids, rdf, store
 from weftgraph.streaming import sync
 
@@ -233,10 +234,11 @@ def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TERMS = [("the", "DEF-ART"), ("of", "PREP-OF"), ("die", "DEF-ART")]
-_HAS = "regexp_matches(text, '(?i)(^|[^A-Za-z0-9]){a}([^A-Za-z0-9]|$)') and not contains(lower(text), lower('{c}'))"
+_HAS = r"regexp_matches(text, '(?i)(^|[^\pL\pN_]){a}([^\pL\pN_]|$)') and not contains(lower(text), lower('{c}'))"
 
 
-@query(f"""with f as (select doc_id, text, list_filter([case when {_HAS.format(a='die', c='DEF-ART')} or {_HAS.format(a='the', c='DEF-ART')} then 'DEF-ART' end, case when {_HAS.format(a='of', c='PREP-OF')} then 'PREP-OF' end], lambda x: x is not null) as x from documents where text is not null)
+@query(f"""with f as (select doc_id, text, list_filter([case when {_HAS.format(a='the', c='DEF-ART')} then 'DEF-ART' end, case when {_HAS.format(a='of', c='PREP-OF')} then 'PREP-OF' end,
+    case when {_HAS.format(a='die', c='DEF-ART')} and not ({_HAS.format(a='the', c='DEF-ART')}) then 'DEF-ART' end], lambda x: x is not null) as x from documents where text is not null)
     select doc_id, sha256(case when len(x) > 0 then text || ' ' || array_to_string(x, ' ') else text end) as expanded, len(x) as terms from f""")
 def dictionary_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").filter("text is not null")
@@ -391,14 +393,14 @@ def known_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_ROWS}, {_EDGES} select (select count(distinct name) from rows_) as instances, 4 as classes, 3 as object_properties, 9 as data_properties, (select count(*) from edges_) as relations, (select count(*) from customer) as data_values, 0 as chunks")
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.stats(star_graph(spark, sf_dir))
+    return normalize.stats(settled(star_graph(spark, sf_dir)))
 
 
 @query(f"""with {_ROWS}, {_EDGES} select 4 as class_count, (select count(distinct name) from rows_) as instance_count, 3 as relation_count, 0 as classes_without_instance, 0 as dangling, 0 as ungoverned, 0 as domain_violation,
-    (select count(*) from edges_) as inst_relations, 100.0 as completeness_pct, 100.0 as grounding_pct, 100.0 as quality_score""")
+    (select count(*) from edges_) as inst_relations, cast(100 as double) as completeness_pct, cast(100 as double) as grounding_pct, cast(100 as double) as quality_score""")
 def quality_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["class_count", "instance_count", "relation_count", "classes_without_instance", "dangling", "ungoverned", "domain_violation", "inst_relations", "completeness_pct", "grounding_pct", "quality_score"]
-    return quality.review_quality(star_graph(spark, sf_dir)).select(*cols)
+    return quality.review_quality(settled(star_graph(spark, sf_dir))).select(*cols)
 
 
 @query("""with g as (select c_custkey % 5 = 0 as gone, c_custkey, c_name from customer) select c_name as name from g where not gone union all select s_name from supplier union all select n_name from nation union all select r_name from region""")
@@ -455,7 +457,7 @@ def head_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
+    g = settled(star_graph(spark, sf_dir))
     return flat(community.detect_communities(g))
 
 
@@ -470,7 +472,7 @@ def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return store.graph_rows(star_graph(spark, sf_dir))
+    return {k: settle(df, k) for k, df in store.graph_rows(settled(star_graph(spark, sf_dir))).items()}
 
 
 _URI = "'urn:weft:instance#' || replace({x}, ' ', '_')"
@@ -554,12 +556,12 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 'urn:weft:schema#sourceChunk', (select count(*) from rows_) union all select 'urn:weft:schema#c_mktsegment', (select count(*) from customer)
     union all select 'urn:weft:schema#' || p, count(*) from (select distinct p, s, o from edges_) group by p""")
 def rdf_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rdf.to_rdf_triples(star_graph(spark, sf_dir)).groupBy("p").agg(F.count("*").alias("n"))
+    return rdf.to_rdf_triples(settled(star_graph(spark, sf_dir))).groupBy("p").agg(F.count("*").alias("n"))
 
 
 @query()
 def turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rdf.to_turtle(rdf.to_rdf_triples(star_graph(spark, sf_dir)))
+    return rdf.to_turtle(rdf.to_rdf_triples(settled(star_graph(spark, sf_dir))))
 
 
 @query("""select 'entity:' || sha256('["weft","instance","' || n_name || '"]') as id, n_name as label, 'instance' as kind from nation union all select 'entity:' || sha256('["weft","class","Nation"]'), 'Nation', 'class'""")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import settle
+
 LAYOUT = {
     "classes": "name string, description string, parent string, source string, source_chunks array<string>, ord bigint",
     "object_props": "name string, domain string, range string, description string, ord bigint",
@@ -52,6 +55,13 @@ class Graph:
         return Graph(**{x.name: f(x.name, getattr(self, x.name)) for x in fields(self)})
 
 
+def settled(g: Graph) -> Graph:
+    """``g`` with its statements written and read again, so that the next stage plans from tables; the rest is small or read as it is."""
+    names = ("classes", "hierarchy", "object_props", "data_props", "instances", "relations", "data_values")
+    with ThreadPoolExecutor(len(names)) as pool:  # independent jobs
+        return g.with_(**dict(zip(names, pool.map(lambda k: settle(getattr(g, k), k), names), strict=True)))
+
+
 def empty(spark: SparkSession) -> Graph:
     return Graph(**{k: spark.createDataFrame([], v) for k, v in LAYOUT.items()})
 

@@ -1,10 +1,15 @@
-"""A local session with the settings that tests and bench.py share; a cluster brings its own."""
+"""A local session with the settings that tests and bench.py share, and cuts of lineage in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
+import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -19,3 +24,29 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+
+
+_own_dir: list[str] = []
+_settled: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="weft-shared-"))
+        atexit.register(shutil.rmtree, _own_dir[0].removeprefix("file://"), ignore_errors=True)
+    return _own_dir[0]
+
+
+def settle(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: later steps plan from there and survive lost executors."""
+    if df in _settled:
+        return df
+    path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}/{tag}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _settled.add(out)
+    return out

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql import types as T
 
-from weftgraph.schemas import Graph, graph
+from weftgraph.schemas import Graph, graph, settled
+from weftgraph.session import settle
 
 VERSION = "1.0"
 COMPONENTS = ("hierarchy", "content", "embeddings", "graph")
@@ -186,6 +187,7 @@ def export_knowledge(g: Graph, source: Bundle, snapshot_id: str) -> Bundle:
 
     Borrowing is in the order typings, hierarchy, relations, values: what a stage has told widens what later ones may borrow.
     """
+    g = settled(g)
     corpus = F.lit(source.corpus_id)
     evidence = source.chunks.select(stable_id("evidence", corpus, F.col("id")).alias("id"), F.col("id").alias("chunk_id"), F.lit("{}").alias("locator"), F.lit("{}").alias("extensions"))
     ref = evidence.select("chunk_id", F.col("id").alias("e"))
@@ -200,7 +202,7 @@ def export_knowledge(g: Graph, source: Bundle, snapshot_id: str) -> Bundle:
     unknown = every.filter("chunk_id is not null and chunk_id <> ''").join(ref.select("chunk_id"), "chunk_id", "left_anti").limit(1).count()
     if unknown:
         raise ContractError("the graph names chunks that the source lacks")
-    support = every.join(ref, "chunk_id", "left").groupBy("k").agg(F.collect_set("e").alias("ev"))
+    support = settle(every.join(ref, "chunk_id", "left").groupBy("k").agg(F.collect_set("e").alias("ev")), "support")
     none = F.array().cast("array<string>")
 
     def stage(rows: DataFrame, support: DataFrame, inferred: bool) -> tuple[DataFrame, DataFrame]:
@@ -213,9 +215,10 @@ def export_knowledge(g: Graph, source: Bundle, snapshot_id: str) -> Bundle:
         has = F.size(F.coalesce("mine", none)) > 0
         borrowed = F.when(F.size(F.coalesce("se", none)) > 0, F.col("se")).otherwise(F.coalesce("oe", none))
         got = got.withColumn("ev", F.when(has, F.col("mine")).otherwise(borrowed)).withColumn("assertion", F.when(has & F.lit(not inferred), "extracted").otherwise("inferred")).filter(F.size("ev") > 0)
+        got = settle(got, "told")
         wider = got.select(F.col("subject").alias("k"), "ev").unionByName(got.filter("object is not null").select(F.col("object").alias("k"), "ev"))
         new = support.unionByName(wider).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("ev"))).alias("ev"))
-        return got, new
+        return got, settle(new, "support")
 
     blank = F.lit(None).cast("string")
     node = "struct<kind:string,name:string>"

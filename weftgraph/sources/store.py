@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from weftgraph.functions import text as X
-from weftgraph.operators.cluster import _cut
+from weftgraph.session import settle
 from weftgraph.operators.normalize import LEGACY_RELATED
 from weftgraph.schemas import Graph, evidence, graph
 
@@ -243,14 +243,14 @@ class GraphStore:
             orphans = near.filter("kind = 'instance'").select("uri")
             used = edges.filter("edge_kind in ('instanceOf', 'subClassOf', 'objectProperty_schema', 'objectProperty')").filter("subject_uri <> object_uri")
             pointed = used.select(F.col("object_uri").alias("uri")).unionByName(used.filter("edge_kind = 'objectProperty'").select(F.col("subject_uri").alias("uri")))
-            orphans = _cut(orphans.unionByName(near.filter("kind = 'concept'").join(pointed, "uri", "left_anti").select("uri")).distinct())
+            orphans = settle(orphans.unionByName(near.filter("kind = 'concept'").join(pointed, "uri", "left_anti").select("uri")).distinct())
             if not orphans.limit(1).count():
                 break
             up = edges.join(orphans.withColumnRenamed("uri", "subject_uri"), "subject_uri", "left_semi").filter("edge_kind in ('instanceOf', 'subClassOf', 'objectProperty_schema')").select(F.col("object_uri").alias("uri"))
-            cand = _cut(up.distinct())
-            edges = _cut(edges.join(orphans.withColumnRenamed("uri", "subject_uri"), "subject_uri", "left_anti").join(orphans.withColumnRenamed("uri", "object_uri"), "object_uri", "left_anti"))
-            nodes = _cut(nodes.join(orphans, "uri", "left_anti"))
-            bare = _cut(bare.join(orphans, "uri", "left_anti"))
+            cand = settle(up.distinct())
+            edges = settle(edges.join(orphans.withColumnRenamed("uri", "subject_uri"), "subject_uri", "left_anti").join(orphans.withColumnRenamed("uri", "object_uri"), "object_uri", "left_anti"))
+            nodes = settle(nodes.join(orphans, "uri", "left_anti"))
+            bare = settle(bare.join(orphans, "uri", "left_anti"))
         left_src = left_src.join(edges.select(*key), key, "left_semi")
         left_links = left_links.join(nodes.select("uri"), "uri", "left_semi")
         enriched = self.table("enriched_chunks").join(gone, "chunk_id", "left_anti")
