@@ -13,6 +13,7 @@ give a row; other columns of the input are not read; an empty table gives an emp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,19 +107,23 @@ def _encode_batches(path: str):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, for each whole text."""
+def split_words(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, words, raw): a text's pre-token words, or, where the library has to split it, the text itself."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     odd = text.rlike(UNSETTLED)
     for s in special_tokens(tokenizer):
         odd = odd | text.contains(s)
-    split = docs.select(
+    return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.when(~odd, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("words"),
         F.when(odd, text).alias("raw"),
     )
-    return split.mapInArrow(_encode_batches(tokenizer), ENCODED)
+
+
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, for each whole text."""
+    return split_words(docs, tokenizer).mapInArrow(_encode_batches(tokenizer), ENCODED)
 
 
 def pieces(tokenizer: str) -> list[bytes]:
@@ -155,12 +160,19 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decode_batches(tokenizer), f"{ENCODED}, text string")
 
 
+def _digest_batches(tokenizer: str):
+    """Encodes and decodes in one worker, so that neither ids nor texts go back and forth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for b in _decode_batches(tokenizer)(_encode_batches(tokenizer)(batches)):
+            of_ids = pa.array(map(sha, b.column("ids").to_pylist()), pa.string())
+            of_text = pa.array([sha(t.encode()) for t in b.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), of_ids, of_text], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """A row per document: number of ids, and digests of the ids and of the decoded text."""
-    back = decode(encode(docs, tokenizer), tokenizer)
-    return back.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text"), 256).alias("decoded_sha256"),
-    )
+    return split_words(docs, tokenizer).mapInArrow(_digest_batches(tokenizer), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
