@@ -1,0 +1,313 @@
+"""The operators against brute force, exact round trips and held-out accuracy, with nulls, empties, ties and repeats."""
+
+import hashlib
+import json
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from weftgraph.llm import ann, bpe, licenses, mixing, neardup, pii, queries, toolcalls, topk, toxicity, url_filter
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def frame(spark, texts, extra=()):
+    rows = [(i, t, ("en", "de", "", None)[i % 4], f"src{i % 7}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, *extra], DOCS)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def shingles(text, k):
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def components(docs, k, percent):
+    sets = {d: shingles(t, k) for d, t in docs.items()}
+    comp = {d: d for d in docs}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    ids = sorted(docs)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            same = len(sets[a] & sets[b])
+            if same and 100 * same >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_match_brute_force(spark, k):
+    rng = random.Random(k)
+    texts = [None, "", "  \t ", "one", "ONE", "one two", "a b c d", "a b c d e"]
+    for n in (4, 9, 20, 60, 200, 700):
+        for _ in range(3):
+            base = prose(rng, n).split()
+            texts.append(" ".join(base))
+            for share in (0.01, 0.03, 0.06, 0.1):
+                other = list(base)
+                for _ in range(max(1, int(share * n / k))):
+                    other[rng.randrange(n)] = "changed" + str(rng.randrange(9))
+                texts.append(" ".join(other))
+    texts += [texts[-1]] * 30
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in neardup.classes(docs, k, 80).collect()}
+    want = components(dict(enumerate(texts)), k, 80)
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == want
+    assert all(r["kept"] == (r["component_id"] == d) for d, r in got.items())
+    kept = {r["doc_id"] for r in neardup.drop(docs, k, 80).collect()}
+    assert kept == {d for d, (_, c) in want.items() if c == d}
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.classes(docs, 2, 80).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+    assert neardup.classes(docs.limit(0), 2, 80).count() == 0
+
+
+def test_estimate_follows_jaccard():
+    rng = np.random.default_rng(0)
+    a = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[:3500], rng.integers(0, 2**64, 500, dtype=np.uint64)]))
+    x, y = neardup.unpack([neardup.pack(neardup.registers(a))]), neardup.unpack([neardup.pack(neardup.registers(b))])
+    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert abs(neardup.estimate(((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1))[0] - true) < 0.06
+
+
+def test_bpe_is_the_library(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer())
+    texts = [None, "", " ", "\n\n  a\t b", "Hello, world! It's 42°C.", "naïve café ÄÖÜ", "Привет мир", "日本語 한국어", "🙂🙂 é ​", "<|endoftext|> x <|endoftext|>", "x" * 20_000, "word " * 5000, "a b\x85c\x1cd", "�\x00"]
+    got = {r["doc_id"]: r for r in bpe.digests(frame(spark, texts), queries.tokenizer()).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        back = tok.decode(ids, skip_special_tokens=False)
+        want = (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want, repr(t)[:40]
+    two_steps = {r["doc_id"]: r["text"] for r in bpe.decode(bpe.encode(frame(spark, texts), queries.tokenizer()), queries.tokenizer()).collect()}
+    assert two_steps == {i: t or "" for i, t in enumerate(texts)}
+
+
+def vectors(spark, n=900, d=16, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((12, d))
+    m = (centres[rng.integers(0, 12, n)] + 0.4 * rng.standard_normal((n, d))).astype(np.float32)
+    m[n // 2 : n // 2 + 50] = m[0]  # ties
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(m)]
+    odd = [(n, None, 0), (n + 1, [1.0] * (d - 1) + [None], 0), (n + 2, [float("nan")] * d, 0), (n + 3, [float("inf")] * d, 0), (None, [1.0] * d, 0), (n + 40, [0.0] * d, 0)]
+    return m, spark.createDataFrame([*rows, *odd], "vec_id bigint, embedding array<float>, label int").repartition(5)
+
+
+def test_topk_is_exact(spark):
+    m, df = vectors(spark)
+    got = {}
+    for r in topk.search(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = np.vstack([m, np.zeros((1, m.shape[1]), np.float32)])
+    ids = np.array([*range(len(m)), len(m) + 40])
+    e = np.floor(256 * whole.astype(np.float64)).astype(np.int64)
+    for q in [i for i in ids if i % 50 == 0]:
+        s = e @ e[np.flatnonzero(ids == q)[0]]
+        best = sorted((-int(x), int(i)) for x, i in zip(s, ids, strict=True) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(best)]
+    assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+    assert topk.search(df.filter("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0, 5).count() == 2
+
+
+def test_ann_recall(spark):
+    m, df = vectors(spark, 6000)
+    rows = ann.search(df, F.col("vec_id") % 20 == 0, 20).collect()
+    x = m.astype(np.float64)
+    hit = total = 0
+    for q in range(0, len(m), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = [r for r in rows if r["query_id"] == q]
+        assert len(mine) == 20 and [r["rank"] for r in sorted(mine, key=lambda r: (-r["score"], r["vec_id"]))] == list(range(1, 21))
+        assert all(abs(r["score"] - s[r["vec_id"]]) < 1e-9 for r in mine)
+        least = np.sort(s)[-20]
+        hit += sum(r["score"] >= least - 1e-9 for r in mine)
+        total += 20
+    assert hit / total >= 0.9
+    assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def test_partitions_are_balanced():
+    rng = np.random.default_rng(1)
+    near = ann.neighbours(rng.standard_normal((1000, 8)), 8)
+    sizes = np.bincount(ann.partition_graph(near, 8))
+    assert len(sizes) == 8 and sizes.max() - sizes.min() <= 8
+
+
+def test_url_rules(spark):
+    urls = ["https://Example.NET/en/x?y", "http://a.b.example.net/en", "http://example.com/de/", "http://example.com/dex", "http://x.org/fr/a#b", "http://x.org/", "mailto:x", None, "", "://", "http://net/", "http://badnet/", "ftp://sub.spam-farm.example.com/x", "http://spam-farm.example.com.de/", "http://x.net?/en/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, urls[0]])], "page_id bigint, url string, html string")
+    rules = {"net/": "block", "example.com/de/": "block", "example.net/en/": "allow", "org/fr/": "allow"}
+
+    def want(u):
+        if u is None or "://" not in u:
+            return "", "", None, "allow"
+        rest = u.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = rest[:cut].lower(), rest[cut:]
+        path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+        fit = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        rule = max(fit, key=len, default=None)
+        spam = any(host == h or host.endswith("." + h) for h in queries.LISTED_HOSTS)
+        return host, path, rule, rules[rule] if rule else "block" if spam else "allow"
+
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, queries.BLOCK, queries.ALLOW, queries.LISTED_HOSTS).collect()}
+    assert got == {i: want(u) for i, u in enumerate([*urls, urls[0]])}
+    assert url_filter.judge(pages.limit(0), queries.BLOCK, queries.ALLOW, queries.LISTED_HOSTS).count() == 0
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = [f"k{i}" for i in range(0, 20_000, 97)]
+    levels = url_filter.build(keys, listed)
+    assert len(levels) >= 2
+    got = {r[0] for r in keys.filter(url_filter.is_listed(F.col("key"), levels)).collect()}
+    assert got == set(listed)
+
+
+def test_surrogates_keep_type_and_coreference(spark):
+    texts = ["Mail anna@example.com or Anna@Example.com, ssn 123-45-6789.", "again anna@example.com; Mr. John Smith met Mary Smith", "ip 10.0.0.1, card 4111 1111 1111 1111, +49 30 1234567", "plain text", None, "", "password=hunter2hunter2"]
+    rows = {r["doc_id"]: r for r in pii.anonymise(frame(spark, texts), spans="e").collect()}
+    assert rows[3]["text"] == "plain text" and rows[4]["text"] is None and rows[5]["text"] == ""
+    of = {(e["type"], pii.canonical(e["type"], e["original"])): pii.canonical(e["type"], e["surrogate"]) for r in rows.values() for e in r["e"]}
+    assert len(set(of.values())) == len(of) and all(k[1] != v for k, v in of.items())
+    assert len({e["surrogate"].lower() for r in rows.values() for e in r["e"] if e["type"] == "email"}) == 1
+    card = next(e["surrogate"] for e in rows[2]["e"] if e["type"] == "card")
+    digits = card.replace(" ", "")
+    assert pii.luhn(digits[:-1]) == int(digits[-1]) and len(card) == 19
+    assert {"anna@example.com", "123-45-6789", "10.0.0.1", "hunter2hunter2"}.isdisjoint(" ".join(r["text"] or "" for r in rows.values()).split(" "))
+    assert pii.collisions(pii.anonymise(frame(spark, texts), spans="e"), "e").count() == 0
+
+
+def test_permutation_is_one():
+    assert sorted(pii.permute(x, 1000, b"k", "t") for x in range(1000)) == list(range(1000))
+
+
+def test_mixing_matches_brute_force(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(1, 30)) for _ in range(400)] + [None, ""]
+    docs = frame(spark, texts)
+    weights = {("web",): 0.7, ("other",): 0.3}
+    domain = F.when(F.col("source").isin("src0", "src1"), "web").otherwise("other")
+    rows = mixing.mix(docs, domain, weights, max_epochs=3).collect()
+    leaf = lambda r: ("web" if r["source"] in ("src0", "src1") else "other", r["lang"] or "?", r["source"] or "?")
+    have, got = {}, {}
+    for r in docs.collect():
+        have[leaf(r)] = have.get(leaf(r), 0) + len((r["text"] or "").split())
+    for r in rows:
+        got[leaf(r)] = got.get(leaf(r), 0) + len((r["text"] or "").split())
+    root = mixing.tree({k: float(v) for k, v in have.items()}, weights, 3)
+    mixing.allocate(root, sum(have.values()))
+    for node in mixing.leaves(root):
+        assert node.budget - 30 <= got.get(node.name, 0) <= node.budget + 1e-6
+    assert abs(sum(n.budget for n in mixing.leaves(root)) - sum(have.values())) < 1e-6
+    seen = [(r["doc_id"], r["mix_epoch"]) for r in rows]
+    assert len(seen) == len(set(seen)) and {d for d, e in seen if e == 1} <= {d for d, e in seen if e == 0}
+    assert sorted(seen) == sorted((r["doc_id"], r["mix_epoch"]) for r in mixing.mix(docs.repartition(7), domain, weights, max_epochs=3).collect())
+    assert mixing.mix(docs.limit(0), domain, weights).count() == 0
+
+
+def test_shortage_goes_to_siblings_first():
+    root = mixing.tree({("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "x"): 100.0}, {("a",): 0.5, ("b",): 0.5}, 1)
+    assert mixing.allocate(root, 100) == 0
+    assert {n.name: round(n.budget, 6) for n in mixing.leaves(root)} == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}
+
+
+def test_license_places(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    broken = mit.replace("without restriction", "with no restriction").replace("merge, ", "")
+    texts = [f"foo bar {mit} baz", f"Before. {broken}", mit[: len(mit) // 4], "nothing here", None, "", f"{licenses.TEMPLATES['MIT-line']} and {licenses.TEMPLATES['MIT-line']}"]
+    rows = licenses.scan(frame(spark, texts)).collect()
+    full = next(r for r in rows if r["doc_id"] == 0)
+    assert full["coverage"] == 1.0 and texts[0][full["start_char"] : full["end_char"]] == mit.rstrip(".")
+    assert next(r for r in rows if r["doc_id"] == 1)["coverage"] > 0.9
+    assert sorted(r["doc_id"] for r in rows) == [0, 1, 6, 6]
+
+
+def test_tool_calls(spark):
+    schema = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}, "additionalProperties": False}}
+    calls = spark.createDataFrame(
+        [("c1", "add", '{"a": 1}', [], 0), ("c2", "add", '{"b": 1}', ["c1"], 1), ("c3", "nope", "{}", ["c2", "c1"], 2), ("x", "add", '{"a":2}', ["y"], 3), ("y", "add", '{"a":3}', ["x"], 4), (None, "add", None, [], 5), ("d", "add", "{", ["zz"], 6), ("d", "add", '{"a":1}', None, 7)],
+        "call_id string, name string, arguments string, depends array<string>, ord bigint",
+    )
+    results = spark.createDataFrame([("c1", "one", 0), ("c1", "two", 1), ("lost", "x", 0)], "call_id string, content string, ord bigint")
+    got = {r["ord"]: r for r in toolcalls.link(calls, results, schema, ["ord"]).collect()}
+    assert [got[i]["level"] for i in range(8)] == [0, 1, 2, None, None, 0, 0, 0]
+    assert got[0]["valid"] and json.loads(got[0]["json"]) == {"arguments": {"a": 1}, "depends_on": [], "id": "c1", "level": 0, "name": "add", "result": "one"}
+    assert "$.a: missing" in got[1]["errors"] and "$.b: not allowed" in got[1]["errors"] and "name: no such tool" in got[2]["errors"]
+    assert "depends: cycle" in got[3]["errors"] and "id: missing" in got[5]["errors"] and "id: duplicate" in got[6]["errors"] and "arguments: not JSON" in got[6]["errors"]
+    assert got[0]["json"] == toolcalls.canonical(json.loads(got[0]["json"]))
+    assert [r["call_id"] for r in toolcalls.orphans(calls, results).collect()] == ["lost"]
+    assert toolcalls.link(calls.limit(0), results, schema).count() == 0
+
+
+def test_chains_of_calls(spark):
+    calls = spark.createDataFrame([(f"c{i}", "t", "{}", [f"c{i - 1}"] if i else [], i) for i in range(40)], "call_id string, name string, arguments string, depends array<string>, ord bigint")
+    assert {r["call_id"]: r["level"] for r in toolcalls.levels(calls).collect()} == {f"c{i}": i for i in range(1, 40)}
+
+
+def test_toxicity_held_out_and_swapped(spark):
+    rng = random.Random(3)
+    bad, groups = ["zorgle", "blarg"], ["women", "muslims", "immigrants"]
+    texts, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        # a group is named in toxic texts above all: what a plain classifier would learn
+        named = rng.choice(groups) if rng.random() < (0.9 if toxic else 0.15) else ""
+        texts.append(f"{prose(rng, 12)} {named} {rng.choice(bad) if toxic else ''}")
+        labels.append((i, 1, int(toxic)))
+    docs = frame(spark, [*texts, None, "", "women muslims immigrants and men"])
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.judged(docs, known).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for d, r in rows.items())
+    held = [(rows[i]["predicted"], t) for i, _, t in labels if rows[i]["held_out"]]
+    assert sum(p == t for p, t in held) / len(held) > 0.95
+    assert rows[902]["predicted"] == 0 and rows[900]["score"] == rows[901]["score"]
+    assert toxicity.judged(docs, known.limit(0)).filter("score <> 0").count() == 0
+    model = toxicity.fit(docs, known)
+    odd = docs.withColumn("_score", F.lit("x")).withColumn("_text", F.lit(1))
+    assert toxicity.reject(odd, model).columns == odd.columns
+
+
+def test_swaps_stay_within_a_kind():
+    out = toxicity.swaps("The women, and gay men.")
+    assert len(out) == 2 and all("women," not in x.split() for x in out)
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [prose(rng, 40) for _ in range(60)]
+    texts += [texts[0], texts[1] + " end", None, "", "x " * 5000, "Mail bob@example.com now " + prose(rng, 20)]
+    frame(spark, texts, [(None, "no id", None, None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(6)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(rows[0].asDict())
+    assert not {60, 61} & {r["doc_id"] for r in rows}
+    docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name != "bpe":
+            assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name

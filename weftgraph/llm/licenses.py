@@ -133,11 +133,12 @@ def scan_codes(index: Index, codes: np.ndarray) -> list[tuple[int, int, int, int
     out = []
     for t, all_starts in sorted(starts.items()):
         last = None
+        band = min(BAND, len(index.texts[t]) // 2)  # less than the distance of two places of a short template
         for s in sorted(set(all_starts)):
-            if last is not None and s - last <= BAND:
+            if last is not None and s - last <= band:
                 continue  # within the band of the place before
             last = s
-            matched, a, z = align(index.texts[t], codes, s)
+            matched, a, z = align(index.texts[t], codes, s, band)
             if matched >= least_coverage(len(index.texts[t])) * len(index.texts[t]):
                 out.append((t, matched, a, z))
     return sorted(set(out), key=lambda x: (x[2], x[0]))

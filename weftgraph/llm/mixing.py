@@ -12,7 +12,7 @@ the prefix ends. The number of cells follows the number of rows, so a leaf with
 group, and documents are chosen where they are read.
 
 Defined results: null or blank lang and source form leaves named "?"; empty texts have 0 tokens and are
-taken in their place in the order; a domain, language or source without a weight has weight 1; with no budget
+taken in their place in the order; a column mix_epoch of the input is replaced; a domain, language or source without a weight has weight 1; with no budget
 or no tokens, nothing is taken; a document of a further epoch is one more row.
 """
 
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], float],
     take, as a multiple of the tokens there are.
     """
     name = lambda c: F.when(F.trim(F.coalesce(c.cast("string"), F.lit(""))) == "", "?").otherwise(c.cast("string"))
-    cols = docs.columns
+    cols = [c for c in docs.columns if c != "mix_epoch"]
     key = docs.select(
         F.struct(*[docs[c] for c in cols]).alias("_row"),
         name(domain).alias("_d"), name(docs["lang"]).alias("_l"), name(docs["source"]).alias("_s"),

@@ -212,8 +212,8 @@ def _scored(model: Model | None, keep: str):
                         hit.update(ids)
                 z = model.bias + math.fsum(weights[h] for h in hit)
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            rest = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_text"] if keep else [b.column("doc_id")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], names=[*(b.schema.names if keep else ["doc_id"]), "_score" if keep else "score"])
+            rest = b.columns if keep else [b.column("doc_id")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], names=[*(b.schema.names if keep else ["doc_id"]), keep or "score"])
 
     return run
 
@@ -227,8 +227,11 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
     """The documents that score under ``threshold``, with all their columns."""
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("_score", DoubleType())
-    return docs.mapInArrow(_scored(model, "rows"), schema).filter(F.col("_score") < threshold).drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    schema = StructType([*docs.schema.fields]).add(name, DoubleType())
+    return docs.mapInArrow(_scored(model, name), schema).filter(F.col(name) < threshold).drop(name)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
