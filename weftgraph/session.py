@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 _own_dir: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 _settled: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
@@ -49,4 +50,17 @@ def settle(df: DataFrame, tag: str = "cut") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _settled.add(out)
+    _written.append((df.sparkSession, path))
     return out
+
+
+@atexit.register
+def forget() -> None:
+    """Deletes what settle() has written; a cluster's driver ends with it, or a job calls it once results are stored."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may be gone already
+            return
