@@ -36,6 +36,30 @@ def test_retraction_keeps_what_other_chunks_state(spark):
     assert [(r["subject"], r["object"]) for r in out.relations.collect()] == [("Y", "Z")]
 
 
+def test_retraction_looks_at_every_class_edge_and_name(spark):
+    rows = spark.range(110_000)
+    cls = lambda letter, chunk: rows.select(F.concat(F.lit(letter), F.col("id").cast("string")).alias("name"), F.array(F.lit(chunk)).alias("source_chunks"), F.col("id").alias("ord"))
+    edges = rows.select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("parent"), F.concat(F.lit("K"), F.col("id").cast("string")).alias("child"), F.col("id").alias("ord"))
+    g = graph(spark, classes=cls("P", "c1").unionByName(cls("K", "c2")).unionByName(cls("D", "c1")), hierarchy=edges)
+    out = retract_chunks(g, spark.createDataFrame([("c1",)], "chunk_id string"), STRUCTURAL)
+    assert {r["k"]: r["count"] for r in out.classes.groupBy(F.left("name", F.lit(1)).alias("k")).count().collect()} == {"P": 110_000, "K": 110_000}
+    assert out.hierarchy.count() == 110_000
+
+
+def test_retraction_of_classes_to_a_fixpoint(spark):
+    # A over B over C go one by one, with R, the range of a property of A; S has a chunk left, T a typed instance, U a child, V a relation
+    made = [("A", None, ["c1"]), ("B", "A", []), ("C", "B", ["c1"]), ("R", None, []), ("S", None, ["c2"]), ("T", None, ["c1"]), ("U", None, ["c1"]), ("V", None, ["c1"]), ("W", "C", ["c1"]), ("W", "U", ["c1"]), ("Y", "U", ["c2"])]
+    classes = spark.createDataFrame([(n, p, c, i) for i, (n, p, c) in enumerate(made)], "name string, parent string, source_chunks array<string>, ord bigint")
+    props = spark.createDataFrame([("p", "A", "R", 0), ("q", "S", "T", 1)], "name string, domain string, range string, ord bigint")
+    edges = spark.createDataFrame([("A", "B", 0), ("B", "C", 1), ("U", "Y", 2)], "parent string, child string, ord bigint")
+    inst = instances(spark, [("x", "S", ["c1"]), ("y", "T", ["c2"]), ("z", "C", ["c1"])])
+    rel = relations(spark, [("V", STRUCTURAL[0], "y", [])])
+    out = retract_chunks(graph(spark, classes=classes, object_props=props, hierarchy=edges, instances=inst, relations=rel), spark.createDataFrame([("c1",)], "chunk_id string"), STRUCTURAL)
+    assert {(r["name"], r["parent"]) for r in out.classes.collect()} == {("S", None), ("T", None), ("U", None), ("V", None), ("Y", "U")}
+    assert {r["name"] for r in out.object_props.collect()} == {"q"}
+    assert {(r["parent"], r["child"]) for r in out.hierarchy.collect()} == {("U", "Y")}
+
+
 def test_circles_go_in_order(spark):
     edges = spark.createDataFrame([("A", "B", 0), ("B", "C", 1), ("C", "A", 2), ("A", "A", 3)], "parent string, child string, ord bigint")
     classes = spark.createDataFrame([(n, i) for i, n in enumerate("ABC")], "name string, ord bigint")

@@ -10,7 +10,7 @@ from weftgraph.session import settle
 
 
 def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ()) -> Graph:
-    """``g`` without the chunks (chunk_id) and what they alone supported. Only classes are iterated: a schema is small."""
+    """``g`` without the chunks (chunk_id) and what they alone supported. Only classes are iterated, by joins."""
     g = settled(g)
     gone = settle(gone.select("chunk_id").distinct(), "gone")
     ev = settle(evidence(g), "evidence")
@@ -31,17 +31,17 @@ def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ())
     dies = is_object & F.when(own, F.col("_keep").isNull()).otherwise(~free & F.col("_ls").isNotNull() & F.col("_lo").isNotNull() & ~shared)
     r = settle(r.filter(~dies), "relations")
     classes = g.classes.select("name").distinct()
-    orphans = remaining.filter(F.size("_left") == 0).select("name").join(classes, "name", "left_anti")
-    # classes: few, so rounds are over small frames; each round's names are bounded by the schema
-    typing = g.instances.join(orphans, "name", "left_anti").filter("coalesce(class_name, '') <> ''").select(F.col("class_name").alias("name")).distinct()
-    edges = r.filter(is_object).select("subject", "object").join(orphans.withColumnRenamed("name", "subject"), "subject", "left_anti").join(orphans.withColumnRenamed("name", "object"), "object", "left_anti")
-    linked = edges.join(classes.withColumnRenamed("name", "subject"), "subject", "left_semi").select("subject", "object").unionByName(edges.join(classes.withColumnRenamed("name", "object"), "object", "left_semi").select("subject", "object"))
-    hit_classes = hit.join(classes, "name", "left_semi").unionByName(g.instances.join(orphans, "name", "left_semi").filter("coalesce(class_name, '') <> ''").select(F.col("class_name").alias("name")).join(classes, "name", "left_semi")).distinct()
-    bare = hit_classes.join(remaining.filter(F.size("_left") > 0), "name", "left_anti")
-    dead = _dead_classes(g, ev, bare, typing, linked, hit_classes)
-    gone_names = orphans.unionByName(g.spark.createDataFrame([(n,) for n in sorted(dead)], "name string"))
+    orphans = settle(remaining.filter(F.size("_left") == 0).select("name").join(classes, "name", "left_anti"), "orphans")
+    hit_classes = hit.join(classes, "name", "left_semi").unionByName(g.instances.join(orphans, "name", "left_semi").select(F.col("class_name").alias("name")).distinct().join(classes, "name", "left_semi")).distinct()
+    stated = ev.join(gone, "chunk_id", "left_anti").select("name").distinct()
+    ends = r.filter(is_object).select("subject", "object").join(orphans.withColumnRenamed("name", "subject"), "subject", "left_anti").join(orphans.withColumnRenamed("name", "object"), "object", "left_anti")
+    bare = classes.filter("name <> ''").join(stated, "name", "left_anti").join(ends.select(F.explode(F.array("subject", "object")).alias("name")).distinct(), "name", "left_anti")
+    dead = _dead_classes(g, bare, hit_classes, orphans)
+    gone_names = orphans.unionByName(dead)
     keep = lambda df, c: df.join(gone_names.withColumnRenamed("name", c), c, "left_anti")
 
+    keep_classes = lambda df, c: df.join(dead.withColumnRenamed("name", c), c, "left_anti")
+
     def chunks_left(df: DataFrame, *keys: str) -> DataFrame:
         d = df.withColumn("_id", F.xxhash64(*keys, "ord"))
         stay = d.select("_id", F.posexplode("source_chunks").alias("_p", "chunk_id")).join(gone, "chunk_id", "left_anti").groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "chunk_id"))), lambda s: s["chunk_id"]).alias("_keep"))
@@ -55,50 +55,37 @@ def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ())
     new = F.when(touched, F.when(F.size(stays) > 0, stays).otherwise(borrowed)).otherwise(F.coalesce("_keep", "source_chunks"))
     relations = conform(keep(keep(r.withColumn("source_chunks", new), "subject"), "object"), "relations")
     left_classes = chunks_left(keep(g.classes, "name"), "name")
-    left_classes = left_classes.withColumn("parent", F.when(F.col("parent").isin(*sorted(dead)), None).otherwise(F.col("parent"))) if dead else left_classes
+    is_dead = lambda c, flag: dead.select(F.col("name").alias(c), F.lit(True).alias(flag))
+    left_classes = left_classes.join(is_dead("parent", "_dead"), "parent", "left").withColumn("parent", F.when(F.col("_dead").isNull(), F.col("parent")))
     used_p, used_a = relations.select(F.col("predicate").alias("name")).distinct(), values.select(F.col("property").alias("name")).distinct()
-    object_props, data_props, hierarchy = g.object_props, g.data_props, g.hierarchy
-    if dead:
-        names = sorted(dead)
-        touching = F.coalesce(F.col("domain").isin(*names), F.lit(False)) | F.coalesce(F.col("range").isin(*names), F.lit(False))
-        object_props = conform(object_props.join(used_p.withColumn("_u", F.lit(True)), "name", "left").filter(~touching | F.col("_u").isNotNull()), "object_props")
-        data_props = conform(data_props.join(used_a.withColumn("_u", F.lit(True)), "name", "left").filter(~F.coalesce(F.col("domain").isin(*names), F.lit(False)) | F.col("_u").isNotNull()), "data_props")
-        hierarchy = hierarchy.filter(~F.col("parent").isin(*names) & ~F.col("child").isin(*names))
+    marked = lambda props, used: props.join(is_dead("domain", "_dd"), "domain", "left").join(is_dead("range", "_dr"), "range", "left").join(used.withColumn("_u", F.lit(True)), "name", "left")
+    object_props = conform(marked(g.object_props, used_p).filter("(_dd is null and _dr is null) or _u is not null"), "object_props")
+    data_props = conform(marked(g.data_props, used_a).filter("_dd is null or _u is not null"), "data_props")
+    hierarchy = conform(keep_classes(keep_classes(g.hierarchy, "parent"), "child"), "hierarchy")
     chunks = g.chunks.join(gone.withColumnRenamed("chunk_id", "id"), "id", "left_anti").select(*g.chunks.columns)
     enriched = g.enriched.join(gone, "chunk_id", "left_anti")
     return g.with_(classes=conform(left_classes, "classes"), object_props=object_props, data_props=data_props, hierarchy=hierarchy, instances=instances, relations=relations, data_values=values, chunks=chunks, enriched=enriched)
 
 
-#: Classes that a retraction may touch; a schema with more is no schema.
-MAX_CLASSES = 100_000
-
-
-def _dead_classes(g: Graph, ev: DataFrame, bare: DataFrame, typing: DataFrame, linked: DataFrame, start: DataFrame) -> set[str]:
-    """Classes without evidence that nothing refers to, round by round, on the schema's own (bounded) tables."""
-    if not start.limit(1).count():
-        return set()
-    few = lambda df: [tuple(r) for r in df.limit(MAX_CLASSES).collect()]
-    classes = {n: p for n, p in few(g.classes.select("name", "parent"))}
-    up = few(g.hierarchy.select("parent", "child").distinct())
-    props = few(g.object_props.select("domain", "range").distinct())
-    unsupported, typed = {n for (n,) in few(bare)}, {n for (n,) in few(typing.join(g.classes.select("name"), "name", "left_semi"))}
-    ends = linked.select(F.explode(F.array("subject", "object")).alias("name")).join(g.classes.select("name"), "name", "left_semi").distinct()
-    near = {n for (n,) in few(ends)}
-    dead: set[str] = set()
-    candidates = {n for (n,) in few(start)}
-    while candidates:
-        referred = set(typed) | near
-        referred |= {p for p, c in up if c != p and c not in dead}
-        referred |= {p for n, p in classes.items() if p and p != n and n not in dead}
-        referred |= {r for d, r in props if r and r != d and d not in dead}
-        new = {n for n in candidates if n in classes and n not in dead and n in unsupported and n not in referred}
-        # a parent or a range becomes a candidate when its last child goes; it must be bare, which for names never touched means unsupported anyway
-        dead |= new
-        if not new:
-            break
-        candidates = {p for p, c in up if c in new} | {classes[n] for n in new if classes.get(n)} | {r for d, r in props if d in new and r}
-        asked = sorted(candidates & classes.keys())
-        stated = {n for (n,) in few(ev.filter(F.col("name").isin(*asked)).select("name").distinct())} if asked else set()
-        unsupported |= set(asked) - stated
-        candidates -= dead
-    return dead
+def _dead_classes(g: Graph, bare: DataFrame, start: DataFrame, orphans: DataFrame) -> DataFrame:
+    """(name) of ``bare`` classes that nothing refers to, round by round from ``start``; rounds are joins on written tables."""
+    bare = settle(bare, "bare")
+    candidates = settle(start.join(bare, "name", "left_semi"), "candidates")
+    if not candidates.limit(1).count():
+        return bare.limit(0)
+    # name is referred to while "by" is there; with up, it is looked at again when "by" goes
+    of = lambda df, by, name, up=True: df.select(F.col(by).alias("by"), F.col(name).alias("name"), F.lit(up).alias("up"))
+    refs = of(g.hierarchy, "child", "parent").unionByName(of(g.classes, "name", "parent")).unionByName(of(g.object_props, "domain", "range")).filter("not (by <=> name)")
+    # an instance goes later only as a class of that name; the others of a class are one row before the join on it
+    typed = g.instances.select("name", "class_name").join(orphans, "name", "left_anti").join(bare.withColumn("_c", F.lit(True)), "name", "left").withColumn("_by", F.when(F.col("_c"), F.col("name")))
+    refs = refs.join(orphans.withColumnRenamed("name", "by"), "by", "left_anti").unionByName(of(typed.select("_by", "class_name").distinct(), "_by", "class_name", False))
+    refs = settle(refs.distinct().join(bare, "name", "left_semi").select("by", "name", "up"), "refs")
+    dead = bare.limit(0)
+    while True:
+        new = settle(candidates.join(refs, "name", "left_anti"), "dead")
+        if not new.limit(1).count():
+            return dead
+        dead = settle(dead.unionByName(new), "dead")
+        went = new.withColumnRenamed("name", "by")
+        candidates = settle(refs.filter("up").join(went, "by", "left_semi").select("name").distinct(), "candidates")
+        refs = settle(refs.join(went, "by", "left_anti").select("by", "name", "up"), "refs")
