@@ -150,6 +150,23 @@ def test_ann_recall(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+@pytest.mark.parametrize("sigma", [0.0, 1.0])
+def test_ann_recall_beyond_the_sample_and_with_unequal_norms(spark, sigma):
+    rng = np.random.default_rng(3)
+    n = 4 * ann.SAMPLE
+    m = rng.standard_normal((n, 16))
+    m *= rng.lognormal(0, sigma, (n, 1)) / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>")
+    rows = ann.search(df, F.col("vec_id") % 100 == 0, 20).collect()
+    asked = np.arange(0, n, 100)
+    s = m[asked] @ m.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    least = dict(zip(asked.tolist(), np.partition(s, -20, 1)[:, -20], strict=True))
+    recall = sum(r["score"] >= least[r["query_id"]] - 1e-9 for r in rows) / (20 * len(asked))
+    print("recall", sigma, recall)
+    assert recall >= 0.9
+
+
 def test_partitions_are_balanced():
     rng = np.random.default_rng(1)
     near = ann.neighbours(rng.standard_normal((1000, 8)), 8)

@@ -3,7 +3,8 @@
 On a bounded sample: a neighbour graph, its balanced partitioning (recursive bisection by the second
 eigenvector, halves at the median, then swaps that lower the cut), and a small softmax classifier of vectors by
 the partitions of their neighbours. The classifier indexes every row and routes each query to its most probable
-partitions, as many as reach TARGET recall on the sample; their rows are reranked by exact products.
+partitions, as many as reach TARGET recall on the sample and, for ASKED queries, of their true neighbours by inner
+product among all rows (the longest vectors may lie in any direction); their rows are reranked by exact products.
 
 Candidates are classified where they are read and meet the queries routed to their partition there: a partition
 with a third of all rows is no hot group.
@@ -16,7 +17,7 @@ a query, which skips all rows of its own vec_id; ties go to the smaller vec_id;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ SAMPLE = 8192
 NEIGHBOURS = 10
 #: Recall on the sample that the number of probes must reach.
 TARGET = 0.94
+#: Queries whose true neighbours among all rows set the number of probes.
+ASKED = 256
 
 
 @dataclass(frozen=True)
@@ -149,7 +152,20 @@ def fit(m: np.ndarray, k: int, parts: int | None = None, target: float = TARGET,
     return Index(w, probes, np.zeros(d))
 
 
-def scan(query_ids: np.ndarray, queries: np.ndarray, index: Index, k: int):
+def calibrated(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, index: Index, k: int) -> Index:
+    """``index`` with as many probes, its own at least, as find TARGET of the true neighbours of ASKED queries among all rows."""
+    parts = index.weights.shape[1]
+    if index.probes == parts:
+        return index
+    asked = np.random.default_rng(0).permutation(len(ids))[:ASKED]
+    ranks = np.argsort(np.argsort(-index.logits(queries[asked]), 1, kind="stable"), 1)
+    found = vectors.merged(rows.mapInArrow(scan(ids[asked], queries[asked], replace(index, probes=parts), k, ranks), vectors.FOUND), k)
+    at = np.array([r["vec_id"] for r in found.select("vec_id").collect()])  # ASKED * k rows at most
+    return replace(index, probes=next(p for p in range(index.probes, parts + 1) if p == parts or (at < p).mean() >= TARGET)) if len(at) else index
+
+
+def scan(query_ids: np.ndarray, queries: np.ndarray, index: Index, k: int, ranks: np.ndarray | None = None):
+    """With ``ranks`` (queries x partitions), the rank of a found row's partition stands in place of its vec_id."""
     d = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +194,8 @@ def scan(query_ids: np.ndarray, queries: np.ndarray, index: Index, k: int):
                 q, c = np.concatenate(qs), np.concatenate(cs)
                 scores = np.concatenate([(rows[c[x : x + 50_000]] * queries[q[x : x + 50_000]]).sum(1) for x in range(0, len(q), 50_000)] or [np.empty(0)])
                 good = (own[c] != query_ids[q]) & (scores >= top.least[q])
-                top.add(q[good], own[c[good]], scores[good])
+                q, c = q[good], c[good]
+                top.add(q, own[c] if ranks is None else ranks[q, part[c]], scores[good])
         yield vectors.batch(top, query_ids)
 
     return run
@@ -199,4 +216,6 @@ def search(df: DataFrame, is_query: Column, k: int, parts: int | None = None) ->
         return vectors.merged(rows.sparkSession.createDataFrame([], vectors.FOUND), k)
     index = fit(got, k, parts)
     blocks = list(vectors.query_blocks(rows.filter(is_query)))
+    if blocks:
+        index = calibrated(rows, *blocks[0], index, k)
     return vectors.merged(vectors.search(rows, lambda b: scan(*blocks[b], index, k), len(blocks)), k)
