@@ -328,3 +328,13 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
         if name != "bpe":
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_turns_without_a_key_are_kept_and_flagged(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, "user", "c"), (1, None, "user", "d"), (None, None, "user", "e"), (None, 1, "assistant", "f"), (2, 5, "assistant", "g")], "conv_id long, turn int, role string, text string")
+    calls, results = toolcalls.from_turns(df)
+    rows = {(r["conv_id"], r["turn"]): r for r in toolcalls.link(calls, results, toolcalls.TURN_SCHEMA, ["conv_id", "turn"]).collect()}
+    assert set(rows) == {(1, 0), (None, 0), (1, None), (None, None)}
+    assert rows[1, 0]["valid"] and rows[1, 0]["call_id"] == "1:0"
+    assert all(rows[k]["call_id"] is None and not rows[k]["valid"] and "id: missing" in rows[k]["errors"] for k in rows if k != (1, 0))
+    assert sorted(r["content"] for r in toolcalls.orphans(calls, results).collect()) == ["f", "g"]

@@ -69,6 +69,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of every user's turn; an assistant's turn without a user's turn before it gives none (``toolcalls.orphans``)."""
     calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
     linked = toolcalls.link(calls, results, toolcalls.TURN_SCHEMA, ["conv_id", "turn"])
     return linked.withColumn("errors", F.to_json("errors"))

@@ -162,11 +162,12 @@ TURN_SCHEMA = {
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns as tool traffic: a user's turn calls ``reply`` under the identifier conv:turn and depends on the user's turn two
-    before, if any; an assistant's turn is the result of the call one turn before."""
-    base = conversations.select("conv_id", "turn", "role", "text").filter("conv_id is not null and turn is not null")
-    ident = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    before, if any; an assistant's turn is the result of the call one turn before. Without conv_id or turn, the identifier is
+    null: such a user's turn is a call that links with nothing, such an assistant's turn a result that ``orphans`` lists."""
+    base = conversations.select("conv_id", "turn", "role", "text")
+    ident = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
     users = base.filter("role = 'user'")
-    ids = users.select(ident(0).alias("on")).distinct()
+    ids = users.select(ident(0).alias("on")).filter("on is not null").distinct()
     calls = users.select("conv_id", "turn", ident(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), ident(2).alias("on"), F.col("turn").alias("ord"))
     calls = calls.join(ids.withColumn("_there", F.lit(True)), "on", "left").withColumn("depends", F.when(F.col("_there"), F.array("on")).otherwise(F.array().cast("array<string>"))).drop("on", "_there")
     return calls, base.filter("role = 'assistant'").select(ident(1).alias("call_id"), F.col("text").alias("content"), F.col("turn").alias("ord"))
