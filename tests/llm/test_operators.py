@@ -338,3 +338,13 @@ def test_turns_without_a_key_are_kept_and_flagged(spark):
     assert rows[1, 0]["valid"] and rows[1, 0]["call_id"] == "1:0"
     assert all(rows[k]["call_id"] is None and not rows[k]["valid"] and "id: missing" in rows[k]["errors"] for k in rows if k != (1, 0))
     assert sorted(r["content"] for r in toolcalls.orphans(calls, results).collect()) == ["f", "g"]
+
+
+def test_no_name_is_its_own_surrogate():
+    for key in (pii.KEY.encode(), b"k1", b"k2"):
+        for names in pii.GIVEN:
+            new = [pii._word(n, key) for n in names]
+            assert sorted(new) == sorted(names) and all(a != b for a, b in zip(new, names, strict=True))
+        short = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+        new = [pii._word(n, key) for n in short]
+        assert len(set(new)) == len(new) and all(a != b for a, b in zip(new, short, strict=True))

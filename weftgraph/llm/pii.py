@@ -90,15 +90,23 @@ def _round(key: bytes, tweak: str, i: int, half: int, size: int) -> int:
 
 
 def permute(x: int, n: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(n), without exchange of tables: a balanced Feistel network, walked into range."""
+    """A keyed permutation of range(n) in one circle, so that none stays itself if n > 1: the next in the order of a balanced Feistel network, walked into range."""
     if n <= 1:
         return x
     half = max(1, ((n - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
+    mask, tweak = (1 << half) - 1, f"{tweak}|{n}"
     while True:
         a, b = x >> half, x & mask
         for i in range(8):
-            a, b = b, a ^ _round(key, f"{tweak}|{n}", i, b, half)
+            a, b = b, a ^ _round(key, tweak, i, b, half)
+        x = a << half | b
+        if x < n:
+            break
+    x = (x + 1) % n
+    while True:
+        a, b = x >> half, x & mask
+        for i in reversed(range(8)):
+            a, b = b ^ _round(key, tweak, i, a, half), a
         x = a << half | b
         if x < n:
             return x
