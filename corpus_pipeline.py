@@ -43,7 +43,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoded),
 ]
 
-#: Trained scores, sketches, keyed surrogates and BPE are beyond SQL: tests hold the stages against brute force.
+#: Trained scores, sketches, keyed surrogates and BPE are beyond SQL. Tests hold near duplicates, mixing's budgets and BPE against brute force, the classifier against held-out labels, surrogates against stated cases; run() is not compared row by row.
 ORACLE_SQL = None
 
 
