@@ -1,5 +1,7 @@
 """Small fixtures: communities, hierarchy, retraction, dictionary, lineage cuts."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from weftgraph.functions import dictionary
@@ -8,6 +10,7 @@ from weftgraph.operators.retract import retract_chunks
 from weftgraph.plans.builder import STRUCTURAL
 from weftgraph.schemas import graph
 from weftgraph.session import settle, shared_dir
+from weftgraph.sources import documents
 
 
 def relations(spark, rows):
@@ -79,3 +82,49 @@ def test_settled_frames_stand_on_files_of_the_shared_folder(spark):
     df = settle(spark.range(5))
     assert settle(df) is df and df.count() == 5
     assert shared_dir(spark).removeprefix("file://") in df.inputFiles()[0]
+
+
+def chunked(text, most, overlap):
+    """Brute force: paragraphs by lines, sentences by characters, then packed."""
+    text = (text or "").replace("\r\n", "\n").replace("\r", "\n").strip()
+    if len(text) <= most:
+        return [text] if text else []
+    paragraphs = [[]]
+    for line in text.split("\n"):
+        paragraphs[-1].append(line) if line.strip() else paragraphs.append([])
+    units = []
+    for p in ("\n".join(x).strip() for x in paragraphs):
+        sentences = [""]
+        for i, c in enumerate(p):
+            if len(p) > most and (c == "\n" or c == " " and i and p[i - 1] in ".!?。！？"):
+                sentences.append("")
+            else:
+                sentences[-1] += c
+        for s in map(str.strip, sentences):
+            while s:
+                units.append(s[:most])
+                s = s[most:]
+    out = []
+    for u in units:
+        if out and len(out[-1]) + 1 + len(u) <= most:
+            out[-1] += "\n" + u
+        elif out:
+            end = out[-1][-overlap:]
+            if len(out[-1]) > overlap and " " in end[: overlap // 2]:
+                end = end[end.index(" ") + 1 :]
+            out.append(end + "\n" + u)
+        else:
+            out.append(u)
+    return [c.strip() for c in out if c.strip()]
+
+
+def test_long_documents_are_chunked_as_by_brute_force(spark):
+    rng = random.Random(5)
+    sentence = lambda: " ".join("x" * rng.randint(1, 9) + str(rng.randint(0, 99)) for _ in range(rng.randint(1, 40))) + rng.choice(".!?。")
+    paragraph = lambda: rng.choice([" ", "\n", "\r\n"]).join(sentence() for _ in range(rng.randint(1, 20)))
+    texts = [rng.choice(["\n\n", "\n  \n"]).join(paragraph() for _ in range(rng.randint(1, 8))) for _ in range(40)]
+    texts += ["y" * 5000, "a " * 3000, "z" * 1200, "z" * 1201, " \n ", "", None]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc string, text string")
+    got = {(r["chunk_id"], r["doc"], r["chunk_index"], r["chunk_text"]) for r in documents.chunk_documents(df).collect()}
+    want = {(f"{i}#{k}", str(i), k, c) for i, t in enumerate(texts) for k, c in enumerate(chunked(t, 1200, 150))}
+    assert got == want and len(want) > 100
