@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import struct
 import zlib
@@ -196,27 +197,80 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), queries.BLOCK, queries.ALLOW, queries.LISTED_HOSTS).count() == 0
 
 
-def test_cascade_is_exact_over_its_universe(spark):
-    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+@pytest.mark.parametrize("most", [url_filter.MAX_BITS, 640])
+def test_cascade_is_exact_over_its_universe(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "MAX_BITS", most)
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key")).unionByName(spark.createDataFrame([(None,)], "key string"))
     listed = [f"k{i}" for i in range(0, 20_000, 97)]
-    levels = url_filter.build(keys, listed)
-    assert len(levels) >= 2
-    got = {r[0] for r in keys.filter(url_filter.is_listed(F.col("key"), levels)).collect()}
+    cascades = url_filter.build(keys, listed)
+    assert all(len(levels) >= 2 for levels in cascades) and (len(cascades) > 1) == (most == 640)
+    got = {r[0] for r in url_filter.marked(keys, ["key"], cascades, ["hit"]).filter("hit").collect()}
     assert got == set(listed)
+    assert url_filter.build(keys, spark.createDataFrame([], "key string")) == []
+
+
+def test_hosts_of_a_frame_are_judged_as_those_of_a_list(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.b.c/x", "http://b.c", "http://c/", "http://x.a.b.c.d/"])], "page_id long, url string")
+    hosts = ["b.c", "a.b.c.d"]
+    want = {0: "block", 1: "block", 2: "allow", 3: "block"}
+    for listed in (hosts, spark.createDataFrame([(h,) for h in hosts], "host string")):
+        assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, [], [], listed).collect()} == want
 
 
 def test_surrogates_keep_type_and_coreference(spark):
     texts = ["Mail anna@example.com or Anna@Example.com, ssn 123-45-6789.", "again anna@example.com; Mr. John Smith met Mary Smith", "ip 10.0.0.1, card 4111 1111 1111 1111, +49 30 1234567", "plain text", None, "", "password=hunter2hunter2"]
-    rows = {r["doc_id"]: r for r in pii.anonymise(frame(spark, texts), spans="e").collect()}
+    docs = frame(spark, texts).withColumn("e", F.lit("a column named as the spans"))
+    rows = {r["doc_id"]: r for r in pii.checked(docs, spans="e").collect()}
     assert rows[3]["text"] == "plain text" and rows[4]["text"] is None and rows[5]["text"] == ""
-    of = {(e["type"], pii.canonical(e["type"], e["original"])): pii.canonical(e["type"], e["surrogate"]) for r in rows.values() for e in r["e"]}
+    found = [(i, e, texts[i][e["start"] : e["end"]]) for i, r in rows.items() for e in r["e"]]
+    of = {(e["type"], pii.canonical(e["type"], o)): pii.canonical(e["type"], e["surrogate"]) for _, e, o in found}
     assert len(set(of.values())) == len(of) and all(k[1] != v for k, v in of.items())
-    assert len({e["surrogate"].lower() for r in rows.values() for e in r["e"] if e["type"] == "email"}) == 1
-    card = next(e["surrogate"] for e in rows[2]["e"] if e["type"] == "card")
+    assert len({e["surrogate"].lower() for _, e, _ in found if e["type"] == "email"}) == len({e["entity"] for _, e, _ in found if e["type"] == "email"}) == 1
+    card = next(e["surrogate"] for _, e, _ in found if e["type"] == "card")
     digits = card.replace(" ", "")
     assert pii.luhn(digits[:-1]) == int(digits[-1]) and len(card) == 19
     assert {"anna@example.com", "123-45-6789", "10.0.0.1", "hunter2hunter2"}.isdisjoint(" ".join(r["text"] or "" for r in rows.values()).split(" "))
-    assert pii.collisions(pii.anonymise(frame(spark, texts), spans="e"), "e").count() == 0
+    assert not any(o in str(e) for _, e, o in found)
+
+
+def test_texts_around_entities_stay(spark):
+    """Brute force: every text is its parts between the spans, with the spans' surrogates between them, and nothing else is found in it."""
+    rng = random.Random(11)
+    whats = ["anna.b@mail.example.org", "+44 20 7946 0958", "078-05-1120", "192.168.7.9", "5500 0000 0000 0004", "Dr. Łukasz Žižka", "token: abcdEFGH1234", "GB82 WEST 1234 5698 7654 32"]
+    texts, want = [], []
+    for _ in range(60):
+        parts, spans, at = [], [], 0
+        for _ in range(rng.randint(1, 6)):
+            words = " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 8))) + " "
+            what = rng.choice(whats)
+            begin = at + len(words) + (4 if what.startswith("Dr. ") else 7 if what.startswith("token") else 0)
+            parts.append(words + what + " ; ")
+            spans.append((begin, at + len(words) + len(what)))
+            at += len(parts[-1])
+        texts.append("".join(parts))
+        want.append(spans)
+    for r in pii.anonymise(frame(spark, texts), spans="e").collect():
+        t, out, last = texts[r["doc_id"]], "", 0
+        assert [(e["start"], e["end"]) for e in r["e"]] == want[r["doc_id"]]
+        for e in r["e"]:
+            assert len(e["surrogate"]) == e["end"] - e["start"] or e["type"] == "ip"
+            out += t[last : e["start"]] + e["surrogate"]
+            last = e["end"]
+        assert r["text"] == out + t[last:]
+
+
+@pytest.mark.parametrize("text, name", [("met Wei Zhang today", "Wei Zhang"), ("met Fatima Haddad today", "Fatima Haddad"), ("Mr. Øystein Łukasz came", "Øystein Łukasz"), ("my name is Kofi Mensah.", "Kofi Mensah"), ("어제 김민수 씨가 왔다", "김민수"), ("昨天，王小明先生来了", "王小明"), ("قابلت السيد محمود درويش اليوم", "محمود درويش")])
+def test_names_of_many_scripts(text, name):
+    assert [text[a:z] for a, z, kind in pii.find(text) if kind == "name"] == [name]
+    new, _ = pii.replace(text, b"k")
+    assert name not in new and len(new.split()) == len(text.split())
+
+
+def test_capitals_of_letters_without_one_stay():
+    words = ["ÂN", "COK", "STRAßE", "GROẞ", "İZMİR", "ÀÉ"]
+    for key in (b"a", b"b", b"c"):
+        new = [pii._cased(w, key) for w in words]
+        assert len(set(new)) == len(new) and all(len(a) == len(b) and a != b for a, b in zip(new, words, strict=True))
 
 
 def test_permutation_is_one():
@@ -247,6 +301,61 @@ def test_mixing_matches_brute_force(spark):
     assert mixing.mix(docs.limit(0), domain, weights).count() == 0
 
 
+def test_mixing_takes_what_an_independent_allocator_gives(spark):
+    """Brute force: budgets by bisection of one water level a node, then prefixes of each leaf's epochs, document by document."""
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(0, 40)) for _ in range(300)]
+    docs = frame(spark, texts)
+    weights = {("web",): 0.8, ("other",): 0.2, ("web", "en"): 3.0, ("web", "de"): 1.0, ("other", "en", "src3"): 5.0}
+    domain = F.when(F.col("source").isin("src0", "src1", "src2"), "web").otherwise("other")
+    epochs, n = 2, lambda t: len((t or "").split())
+    rows = [r.asDict() for r in docs.collect()]
+    leaf = lambda r: ("web" if r["source"] in ("src0", "src1", "src2") else "other", r["lang"] or "?", r["source"] or "?")
+    size = {}
+    for r in rows:
+        size[leaf(r)] = size.get(leaf(r), 0) + n(r["text"])
+
+    def room(prefix):
+        return epochs * sum(v for k, v in size.items() if k[: len(prefix)] == prefix)
+
+    def give(prefix, budget):
+        if len(prefix) == 3:
+            return {prefix: budget}
+        children = sorted({k[: len(prefix) + 1] for k in size if k[: len(prefix)] == prefix})
+        lo, hi = 0.0, 1e9  # level of water: each child takes its weight times the level, up to its room
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            if sum(min(weights.get(c, 1.0) * mid, room(c)) for c in children) < budget:
+                lo = mid
+            else:
+                hi = mid
+        out = {}
+        for c in children:
+            out |= give(c, min(weights.get(c, 1.0) * hi, room(c)))
+        return out
+
+    budget = give((), min(sum(size.values()), room(())))
+    order = {(r["doc_id"], r["e"]): r["o"] for r in docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("e"), F.xxhash64(F.lit(42), F.col("doc_id"), F.col("text")).alias("h")).select("doc_id", "e", F.xxhash64(F.lit(42), "e", "h").alias("o")).collect()}
+    got = {}
+    for r in mixing.mix(docs, domain, weights, max_epochs=epochs).collect():
+        got.setdefault(leaf(r.asDict()), set()).add((r["doc_id"], r["mix_epoch"]))
+    mask = (1 << 64) - 1
+    cells = 1 << max(0, (max(sum(leaf(r) == k for r in rows) for k in size) // mixing.CELL_ROWS).bit_length())
+    for k in size:
+        mine, want, left = [r for r in rows if leaf(r) == k], set(), budget[k]
+        e = 0
+        while size[k] and left >= size[k] - 1e-6:
+            want |= {(r["doc_id"], e) for r in mine}
+            left, e = left - size[k], e + 1
+        place = lambda o: (((o & mask) >> 32) % cells, o)
+        for r in sorted(mine, key=lambda r: place(order[r["doc_id"], e])) if left > 1e-6 else []:
+            left -= n(r["text"])
+            if left < -1e-6:
+                break
+            want.add((r["doc_id"], e))
+        assert got.get(k, set()) == want, (k, budget[k], size[k])
+
+
 def test_shortage_goes_to_siblings_first():
     root = mixing.tree({("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "x"): 100.0}, {("a",): 0.5, ("b",): 0.5}, 1)
     assert mixing.allocate(root, 100) == 0
@@ -264,6 +373,52 @@ def test_license_places(spark):
     assert sorted(r["doc_id"] for r in rows) == [0, 1, 6, 6]
 
 
+def test_license_places_match_brute_force(spark):
+    """Brute force: at each place, the template's words that a longest common subsequence finds in a window of its length."""
+    rng = random.Random(3)
+    templates = {"long": " ".join(f"t{i}" for i in range(40)), "short": "alpha beta gamma delta epsilon zeta"}
+    texts = []
+    for _ in range(40):
+        name = rng.choice(list(templates))
+        words = templates[name].split()
+        for _ in range(rng.randint(0, 2 if name == "long" else 0)):
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(f"{prose(rng, rng.randint(0, 30))} {' '.join(words)} {prose(rng, rng.randint(0, 30))}")
+    texts += ["İstanbul " * 100 + templates["short"], prose(rng, 50)]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    got = {}
+    for r in licenses.scan(frame(spark, texts), templates).collect():
+        t = texts[r["doc_id"]]
+        assert r["coverage"] == r["matched"] / r["template_words"]
+        assert common(templates[r["license"]].split(), licenses.words(t[r["start_char"] : r["end_char"]])) == r["matched"]
+        got.setdefault(r["doc_id"], []).append((r["license"], r["matched"]))
+    for i, t in enumerate(texts):
+        words = licenses.words(t)
+        want = []
+        for name, template in templates.items():
+            size = len(template.split())
+            best = max((common(template.split(), words[k : k + size]) for k in range(len(words))), default=0)
+            if best >= licenses.least_coverage(size) * size:
+                want.append((name, best))
+        assert got.get(i, []) == want, i
+
+
+def test_of_overlapping_places_the_best_stays(spark):
+    t = licenses.TEMPLATES
+    rows = licenses.scan(frame(spark, [t["Apache-2.0"], t["BSD-2-Clause"], t["BSD-3-Clause"], t["GPL-2.0-notice"], t["LGPL-3.0-notice"]])).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in rows) == [(0, "Apache-2.0"), (1, "BSD-2-Clause"), (2, "BSD-3-Clause"), (3, "GPL-2.0-notice"), (4, "LGPL-3.0-notice")]
+    assert all(r["coverage"] == 1.0 for r in rows)
+
+
 def test_tool_calls(spark):
     schema = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}, "additionalProperties": False}}
     calls = spark.createDataFrame(
@@ -281,6 +436,52 @@ def test_tool_calls(spark):
     assert toolcalls.link(calls.limit(0), results, schema).count() == 0
 
 
+def test_links_match_brute_force(spark):
+    """Random calls with repeats, nulls, circles, broken arguments: levels by the longest chain, flags by looking at all."""
+    rng = random.Random(12)
+    schema = {"t": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 0}}}}
+    ids = [f"c{i}" for i in range(60)]
+    texts = ['{"n": 1}', '{"n": -1}', '{"m": 2}', "[]", "{", None, '{"n": NaN}', '{"n": 1e999}', '{"n":true}']
+    calls = []
+    for k in range(80):
+        i = None if rng.random() < 0.1 else rng.choice(ids)
+        deps = [rng.choice([*ids[: (ids.index(i) if i and rng.random() < 0.9 else 60)], None, "unknown"]) for _ in range(rng.randint(0, 2))]
+        calls.append((i, rng.choice(["t", "t", "u"]), rng.choice(texts), None if rng.random() < 0.1 else deps, k, "kept"))
+    results = [(rng.choice([*ids, None]), f"r{k}", rng.randint(0, 3)) for k in range(40)]
+    df = spark.createDataFrame(calls, "call_id string, name string, arguments string, depends array<string>, ord bigint, level string")
+    got = {r["ord"]: r for r in toolcalls.link(df, spark.createDataFrame(results, "call_id string, content string, ord bigint"), schema, ["ord", "level"]).collect()}
+    have = [c[0] for c in calls if c[0]]
+    needs = {i: {d for c in calls if c[0] == i for d in c[3] or [] if d in have} for i in have}
+
+    def level(i, above=()):
+        if i in above:
+            return math.inf
+        return max((1 + level(d, (*above, i)) for d in needs[i]), default=0)
+
+    for i, name, args, deps, k, _ in calls:
+        want = set()
+        if i is None:
+            want.add("id: missing")
+        else:
+            want |= {"id: duplicate"} if have.count(i) > 1 else set()
+            want |= {"depends: cycle"} if level(i) == math.inf else set()
+            want |= {"depends: unknown id"} if any(d is not None and d not in have for c in calls if c[0] == i for d in c[3] or []) else set()
+        answers = sorted((r[2], r[1]) for r in results if i is not None and r[0] == i)
+        want |= set() if answers else {"result: missing"}
+        if args is None:
+            want.add("arguments: missing")
+        elif name == "u":
+            want.add("name: no such tool")
+            want |= {"arguments: not JSON"} if args in ("{", '{"n": NaN}', '{"n": 1e999}') else set()
+        else:
+            want |= {'{"n": -1}': {"$.n: too small"}, '{"m": 2}': {"$.n: missing"}, "[]": {"$: not object"}, '{"n":true}': {"$.n: not integer"}, '{"n": 1}': set()}.get(args, {"arguments: not JSON"})
+        r = got[k]
+        assert set(r["errors"]) == want and r["valid"] == (not want), (i, args, r["errors"], want)
+        assert r["kept_level"] == "kept" and r["level"] == (0 if i is None else None if level(i) == math.inf else level(i))
+        body = json.loads(r["json"], parse_constant=lambda x: pytest.fail(x))
+        assert body["result"] == (answers[0][1] if answers else None) and body["depends_on"] == sorted(d for d in deps or [] if d is not None)
+
+
 def test_chains_of_calls(spark):
     calls = spark.createDataFrame([(f"c{i}", "t", "{}", [f"c{i - 1}"] if i else [], i) for i in range(40)], "call_id string, name string, arguments string, depends array<string>, ord bigint")
     assert {r["call_id"]: r["level"] for r in toolcalls.levels(calls).collect()} == {f"c{i}": i for i in range(1, 40)}
@@ -311,7 +512,47 @@ def test_toxicity_held_out_and_swapped(spark):
 
 def test_swaps_stay_within_a_kind():
     out = toxicity.swaps("The women, and gay men.")
-    assert len(out) == 2 and all("women," not in x.split() for x in out)
+    assert len(out) == 4 and all("women," not in x.split() and "gay" not in x.split() for x in out)
+    assert {x.split()[1] for x in out} == {"men,", "girls,", "boys,"} and len({x.split()[3] for x in out}) == 4
+    assert toxicity.swaps("nobody here") == []
+
+
+def test_the_penalty_lowers_scores_of_neutral_mentions(spark):
+    rng = random.Random(4)
+    groups = ["women", "muslims", "immigrants"]
+    texts, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        named = rng.choice(groups) if rng.random() < (0.9 if toxic else 0.1) else ""
+        texts.append(f"{prose(rng, 12)} {named} {rng.choice(['zorgle', 'blarg']) if toxic and rng.random() < 0.7 else ''}")
+        labels.append((i, 1, int(toxic)))
+    neutral = [f"{prose(rng, 12)} {g}" for g in groups for _ in range(30)]
+    docs = frame(spark, texts + neutral)
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    mean = {}
+    for fair in (0.0, 8.0):
+        model = toxicity.fit(docs, known, fair=fair)
+        rows = toxicity.score(docs.filter("doc_id >= 900"), model).collect()
+        mean[fair] = (sum(r["score"] for r in rows) / len(rows), sum(r["score"] >= toxicity.THRESHOLD for r in rows))
+    print("neutral mentions: mean score, false positives", mean)
+    assert mean[8.0][0] < mean[0.0][0] - 0.05 and mean[8.0][1] <= mean[0.0][1]
+
+
+def test_scores_match_brute_force(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(1, 40)) + (" zorgle" if i % 2 else "") for i in range(300)] + [None, "", "ZORGLE, Zorgle! (zorgle)"]
+    docs = frame(spark, texts)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id bigint, quality int, toxic int"))
+
+    def score(text):
+        hit = set()
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            hit |= {w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)}
+        z = model.bias + sum(model.weights.get(zlib.crc32(f.encode()), 0.0) for f in sorted(hit))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9
 
 
 def test_pipeline_of_odd_documents(spark, tmp_path):

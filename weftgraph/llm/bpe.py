@@ -1,129 +1,219 @@
-"""Byte-level BPE by distinct words, and decoding through an id-to-piece table.
+"""Byte-level BPE by a distinct-word table of the corpus, and decoding through an id-to-piece join.
 
-Spark splits every whole text into pre-token words (JVM regex). Each task keeps a distinct-word table: the
-words of an Arrow batch are factorised, each distinct word is encoded once, and its ids are joined back by
-position with array gathers. Decoding joins ids to a piece table of vocabulary size, a bounded table.
+``split`` cuts every whole text into pre-token words, where it is read, and numbers them: a block (about BLOCK_CHARS of
+text, or one longer text) has one row of its distinct words, and each of its texts one row of word numbers. The blocks'
+words, made distinct over the corpus, are encoded once each (``word_table``). The table is joined to the blocks' words,
+and ids come back to texts by position, block by block: no task sees more than a block, however frequent a word or
+long the corpus. Decoding joins ids to pieces; that table has one entry an id, so its size is the vocabulary's.
 
-Texts with code points whose classes differ between Unicode versions, or with the string of a special token,
-are split by the tokenizer library itself; nothing is cut short in either case.
+A character's class (letter, number, space, other) is asked of the library's own pre-tokenizer once, so words are cut
+as the library cuts them, whatever its Unicode version. Special tokens in a text are cut out first, as the library does.
 
-Defined results: null text counts as empty (no ids, empty decoded text); null or repeated doc_id rows each
-give a row; other columns of the input are not read; an empty table gives an empty table.
+Defined results: null text counts as empty (no ids, empty decoded text); null or repeated doc_id rows each give a row;
+a text of any length is one row; other columns of the input are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import batches_by_chars, lean, materialise, small_batches
 
-SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Outside these ranges a character's class may differ between the JVM's and the tokenizer's Unicode versions.
-UNSETTLED = r"[^\x00-\u02ff\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u0527\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0660-\u0669\u0905-\u0939\u2000-\u2027\u202f-\u205e\u20a0-\u20b0\u2190-\u21ff\u2500-\u25ff\u3000-\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
-#: Entries of a task's word table; beyond them it starts anew, which changes no result.
-TABLE_WORDS = 300_000
+#: Characters of text and distinct words of a block, and characters that are cut into words at once, about.
+BLOCK_CHARS, BLOCK_WORDS, CHUNK_CHARS = 4_000_000, 100_000, 500_000
+#: Word numbers that are turned into ids at once.
+GATHER = 500_000
+SPLIT = "block bigint, doc_id bigint, codes binary, words array<string>"
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
+LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 
 
+@lru_cache(1)
 def _tokenizer(path: str):
-    import os
-
+    """One a process, as it takes longer to read than a small task to run."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-def special_tokens(path: str) -> list[str]:
-    return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
-
-
-class WordTable:
-    """Distinct word -> its ids, kept as one flat id array with starts and lengths."""
-
-    def __init__(self, path: str) -> None:
-        self.tok = _tokenizer(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.flat, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """Rows of the table for distinct words; words not seen before are encoded once and added."""
-        if len(self.rows) + len(words) > TABLE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self.rows]
-        if new:
-            ids = [e.ids for k in range(0, len(new), 5_000) for e in self.tok.encode_batch(new[k : k + 5_000], add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
-            base = len(self.rows)
-            self.rows.update(zip(new, range(base, base + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-            self.lens = np.concatenate([self.lens, lens])
-            self.flat = np.concatenate([self.flat, flat])
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-
-    def join(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of word occurrences, in order, and the ids before each occurrence."""
-        lens = self.lens[rows]
+def special_tokens(path: str) -> dict[str, int]:
+    return {t.content: i for i, t in _tokenizer(path).get_added_tokens_decoder().items()}
+
+
+class Splitter:
+    """Texts to words. ``classes`` is filled as characters are met."""
+
+    def __init__(self) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.pre = ByteLevel(add_prefix_space=False, use_regex=True)
+        self.classes = np.full(0x110000, UNKNOWN, np.uint8)
+
+    def class_of(self, c: str) -> int:
+        """That of the sign with which it makes one word; white space makes one with none."""
+        return next((k for k, sign in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(self.pre.pre_tokenize_str(sign + c)) == 1), SPACE)
+
+    def cuts(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Places where words begin, and the end; first: whether a place begins a text."""
+        n = len(codes)
+        kind = self.classes[codes]
+        if (kind == UNKNOWN).any():
+            for c in np.unique(codes[kind == UNKNOWN]).tolist():
+                self.classes[c] = self.class_of(chr(c))
+            kind = self.classes[codes]
+        new = first.copy()
+        new[1:] |= kind[1:] != kind[:-1]
+        a = np.flatnonzero(new)  # runs of one class within a text
+        z = np.append(a[1:], n)
+        k = kind[a]
+        final = np.append(first, True)[z]  # ends its text
+        cut = np.append(new, True)
+        # a blank goes with the word after it
+        led = (k != SPACE) & ~first[a] & (codes[a - 1] == 32)
+        cut[a[led]], cut[a[led] - 1] = False, True
+        # of several spaces before a word the last is apart, and so is one that is no blank
+        apart = (k == SPACE) & ~final & (z - a > 1)
+        cut[z[apart] - 1] = True
+        # English short forms: an apostrophe by itself, not after a blank, with the letters after it
+        short = np.flatnonzero((k == OTHER) & (z - a == 1) & (codes[a] == ord("'")) & ~led & ~final)
+        short = short[k[short + 1] == LETTER]
+        at, room = a[short], (z - a)[short + 1]
+        one = codes[at + 1]
+        two = np.where(room > 1, codes[np.minimum(at + 2, n - 1)], 0)
+        is_ = lambda x, letters: np.isin(x, [ord(c) for c in letters])
+        length = np.where(is_(one, "stmd"), 1, np.where((is_(one, "rv") & is_(two, "e")) | (is_(one, "l") & is_(two, "l")), 2, 0))
+        cut[at[length > 0] + 1] = False
+        cut[(at + 1 + length)[length > 0]] = True
+        return np.flatnonzero(cut)
+
+    def __call__(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Words of all texts in order, and how many are of each."""
+        whole = "".join(texts)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not whole:
+            return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         ends = np.cumsum(lens)
-        before = np.concatenate([[0], ends])
-        at = np.arange(int(before[-1]), dtype=np.int64) + np.repeat(self.starts[rows] - before[:-1], lens)
-        return self.flat[at], before
+        first = np.zeros(len(codes), bool)
+        first[(ends - lens)[lens > 0]] = True
+        places = self.cuts(codes, first)
+        width = (codes >= 0x80).astype(np.uint8) + (codes >= 0x800) + (codes >= 0x10000) + np.uint8(1)
+        offsets = np.append(0, np.cumsum(width, dtype=np.int64))[places]
+        words = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+        return words, np.diff(np.searchsorted(places, np.append(0, ends)))
+
+
+class _Block:
+    """Distinct words and numbered texts, until it is full."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.rows, self.chars = number, {}, 0
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        coded = words.dictionary_encode()
+        rows, known = self.rows, []
+        for w in coded.dictionary.to_pylist():
+            known.append(rows.setdefault(w, len(rows)))
+        return np.array(known, np.int32)[coded.indices.to_numpy(zero_copy_only=False)] if known else np.empty(0, np.int32)
+
+    def full(self) -> bool:
+        return self.chars >= BLOCK_CHARS or len(self.rows) >= BLOCK_WORDS
+
+
+def _pieces_of(text: str, most: int) -> Iterator[str]:
+    """Parts of a long text, cut before a blank between two signs that are no spaces, where a word begins whatever is around."""
+    while len(text) > most:
+        m = re.compile(r"(?<=\S)(?= \S)").search(text, most)
+        if m is None:
+            break
+        yield text[: m.start()]
+        text = text[m.start() :]
+    yield text
+
 
+def _split(special: dict[str, int]):
+    pattern = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
-def _encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(path)
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 32
+        splitter, block = Splitter(), _Block(number)
+
+        def rows(docs: list, texts: list[str | None]) -> pa.RecordBatch:
+            sections: list[str] = []
+            parts: list[list[int]] = []  # of each text: numbers of its sections, and -1 - id of special tokens
+            for t in texts:
+                mine: list[int] = []
+                for s in pattern.split(t) if pattern and t and any(x in t for x in special) else [t or ""]:
+                    if s in special:
+                        mine.append(-1 - special[s])
+                    else:
+                        for p in _pieces_of(s, CHUNK_CHARS):
+                            mine.append(len(sections))
+                            sections.append(p)
+                parts.append(mine)
+            coded: list[np.ndarray] = []
+            for group in batches_by_chars(sections, CHUNK_CHARS):
+                words, counts = splitter(group)
+                coded += np.split(block.numbers(words), np.cumsum(counts)[:-1])
+            out = [np.concatenate([np.array([i], np.int32) if i < 0 else coded[i] for i in mine] or [np.empty(0, np.int32)]).tobytes() for mine in parts]
+            n = len(docs)
+            return pa.RecordBatch.from_arrays([pa.array([block.number] * n, pa.int64()), pa.array(docs, pa.int64()), pa.array(out, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=["block", "doc_id", "codes", "words"])
+
+        def dictionary() -> pa.RecordBatch:
+            words = pa.array([list(block.rows)], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([block.number], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), words], names=["block", "doc_id", "codes", "words"])
+
         for b in batches:
-            for k in range(0, b.num_rows, 512):  # bounds the gathers, whatever the batch
-                part = b.slice(k, 512)
-                lists, raw = part.column("words"), part.column("raw")
-                values = lists.flatten()
-                coded = values.dictionary_encode()
-                if coded.dictionary.type == pa.large_string():
-                    coded = coded.cast(pa.dictionary(pa.int32(), pa.large_string()))
-                rows = words.look_up(coded.dictionary.to_pylist())
-                ids, before = words.join(rows[coded.indices.to_numpy(zero_copy_only=False)]) if len(values) else (np.empty(0, np.uint32), np.zeros(1, np.int64))
-                n_words = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-                cut = before[np.concatenate([[0], np.cumsum(n_words)])]
-                out, counts = [], []
-                for i, text in enumerate(raw.to_pylist()):
-                    own = ids[cut[i] : cut[i + 1]] if text is None else np.array(words.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-                    out.append(own.astype("<u4").tobytes())
-                    counts.append(len(own))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            at = 0
+            for group in batches_by_chars(texts, CHUNK_CHARS):
+                yield rows(docs[at : at + len(group)], group)
+                at += len(group)
+                block.chars += sum(len(t or "") for t in group)
+                if block.full():
+                    yield dictionary()
+                    number += 1
+                    block = _Block(number)
+        if block.rows:
+            yield dictionary()
+
+    return lean(run)
+
+
+def split(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """SPLIT rows: for each text (block, doc_id, codes: numbers of its words, as 32-bit integers), for each block its words by number."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_split(special_tokens(tokenizer)), SPLIT)
 
-    return run
 
+def _encode_words(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _tokenizer(path)
+        for b in batches:
+            for k in range(0, b.num_rows, 2_000):
+                part = b.column("word").slice(k, 2_000)
+                ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(part.to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.binary())], names=["word", "ids"])
 
-def split_words(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, words, raw): a text's pre-token words, or, where the library has to split it, the text itself."""
-    small_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    odd = text.rlike(UNSETTLED)
-    for s in special_tokens(tokenizer):
-        odd = odd | text.contains(s)
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.when(~odd, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("words"),
-        F.when(odd, text).alias("raw"),
-    )
+    return lean(run)
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, for each whole text."""
-    return split_words(docs, tokenizer).mapInArrow(_encode_batches(tokenizer), ENCODED)
+def word_table(parts: DataFrame, tokenizer: str) -> DataFrame:
+    """(word, ids): each distinct word of split()'s blocks, encoded once."""
+    words = parts.filter("words is not null").select(F.explode("words").alias("word")).distinct()
+    return words.mapInArrow(_encode_words(tokenizer), "word string, ids binary")
 
 
 def pieces(tokenizer: str) -> list[bytes]:
@@ -132,47 +222,129 @@ def pieces(tokenizer: str) -> list[bytes]:
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
     odd = [x for x in range(256) if x not in keep]
     byte = {chr(x): x for x in keep} | {chr(256 + i): x for i, x in enumerate(odd)}
-    out = [b""] * (max(tok.get_vocab(with_added_tokens=True).values()) + 1)
-    for piece, i in tok.get_vocab(with_added_tokens=True).items():
+    vocabulary = tok.get_vocab(with_added_tokens=True)
+    out = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for piece, i in vocabulary.items():
         out[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
     return out
 
 
-def _decode_batches(tokenizer: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(pieces(tokenizer), pa.large_binary())
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                ids = part.column("ids").to_pylist()
-                joined = table.take(pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<u4").astype(np.int64)))
-                offsets = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
-                data = memoryview(joined.buffers()[2]) if len(joined) else memoryview(b"")
-                ends = offsets[np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in ids])])]
-                texts = [str(data[a:z], "utf-8", "replace") for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
+def _binaries(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column as 32-bit integers, and the ends of its rows among these."""
+    lens = [len(x) // 4 if x is not None else 0 for x in column.to_pylist()]
+    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), "<i4"), np.append(0, np.cumsum(np.array(lens, np.int64)))
+
+
+class _Decoder:
+    def __init__(self, table: list[bytes]) -> None:
+        self.table = pa.array(table, pa.large_binary())
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        """The pieces of ids, joined; parts of a text that begin anywhere may be joined again."""
+        if not len(ids):
+            return b""
+        got = self.table.take(pa.array(ids.astype(np.int64)))
+        offsets = np.frombuffer(got.buffers()[1], np.int64)[: len(got) + 1]
+        return memoryview(got.buffers()[2])[offsets[0] : offsets[-1]].tobytes()
+
+
+def _joined(digest: list[bytes] | None, with_ids: bool):
+    """Texts' word numbers and a block's ids by number, to rows of texts."""
+
+    def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        order = np.argsort(words.column("i").to_numpy())
+        flat, ends = _binaries(words.column("ids"))
+        starts, sizes = ends[:-1][order], np.diff(ends)[order]
+        decode = _Decoder(digest) if digest is not None else None
+
+        def ids_of(codes: np.ndarray) -> np.ndarray:
+            """Ids in order. A negative number is an id itself, less by one."""
+            own = codes < 0
+            number = np.where(own, 0, codes)
+            lens = np.where(own, 1, sizes[number]) if len(sizes) else np.ones(len(codes), np.int64)
+            begin = np.cumsum(lens) - lens
+            at = np.repeat((starts[number] if len(starts) else np.zeros(len(codes), np.int64)) - begin, lens) + np.arange(int(lens.sum()))
+            out = flat[np.minimum(at, max(len(flat) - 1, 0))] if len(flat) else np.zeros(len(at), np.int32)
+            if own.any():
+                out = out.copy()
+                out[begin[own]] = -1 - codes[own]
+            return out.astype("<u4")
+
+        doc, n, raw, of_ids, of_text = [], [], [], [], []
+        for d, codes in zip(texts.column("doc_id").to_pylist(), texts.column("codes"), strict=True):
+            numbers = np.frombuffer(codes.as_buffer(), "<i4") if codes.is_valid else np.empty(0, "<i4")
+            one, two, total, kept = hashlib.sha256(), Utf8Digest(), 0, []
+            for k in range(0, len(numbers), GATHER):
+                ids = ids_of(numbers[k : k + GATHER])
+                total += len(ids)
+                if with_ids:
+                    kept.append(ids.tobytes())
+                if decode is not None:
+                    one.update(ids.tobytes())
+                    two.update(decode(ids))
+            doc.append(d)
+            n.append(total)
+            raw.append(b"".join(kept))
+            of_ids.append(one.hexdigest())
+            of_text.append(two.hexdigest())
+        cols = {"doc_id": pa.array(doc, pa.int64()), "n_tokens": pa.array(n, pa.int64())}
+        if with_ids:
+            cols["ids"] = pa.array(raw, pa.binary())
+        if decode is not None:
+            cols |= {"ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+        return pa.table(cols)
 
     return run
 
 
-def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """encode()'s rows with ``text``, joined from the pieces of the ids."""
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decode_batches(tokenizer), f"{ENCODED}, text string")
+class Utf8Digest:
+    """Of the text that bytes in parts are, with the replacement character where they are none."""
+
+    def __init__(self) -> None:
+        import codecs
+
+        self.sum, self.reader = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+
+    def update(self, part: bytes) -> None:
+        self.sum.update(self.reader.decode(part).encode())
+
+    def hexdigest(self) -> str:
+        self.sum.update(self.reader.decode(b"", True).encode())
+        return self.sum.hexdigest()
+
+
+def _encoded(docs: DataFrame, tokenizer: str, digest: list[bytes] | None, with_ids: bool) -> DataFrame:
+    parts = materialise(split(docs, tokenizer), "words")
+    table = materialise(word_table(parts, tokenizer), "table")
+    words = parts.filter("words is not null").select("block", F.posexplode("words").alias("i", "word"))
+    # a merge join: the table grows with the corpus, and a word that every block has is a key that Spark can split
+    ids = words.join(table.hint("merge"), "word").select(F.col("block").alias("of_block"), "i", "ids")
+    texts = parts.filter("words is null").select("block", "doc_id", "codes")
+    schema = "doc_id bigint, n_tokens bigint" + (", ids binary" if with_ids else "") + (", ids_sha256 string, decoded_sha256 string" if digest is not None else "")
+    return texts.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_joined(digest, with_ids), schema)
 
 
-def _digest_batches(tokenizer: str):
-    """Encodes and decodes in one worker, so that neither ids nor texts go back and forth."""
+def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, for each whole text."""
+    return _encoded(docs, tokenizer, None, True)
+
 
+def _decode_batches(table: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in _decode_batches(tokenizer)(_encode_batches(tokenizer)(batches)):
-            of_ids = pa.array(map(sha, b.column("ids").to_pylist()), pa.string())
-            of_text = pa.array([sha(t.encode()) for t in b.column("text").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), of_ids, of_text], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        decode = _Decoder(table)
+        for b in batches:
+            texts = [decode(np.frombuffer(x or b"", "<u4")).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), b.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
-    return run
+    return lean(run)
+
+
+def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """encode()'s rows with ``text``, joined from the pieces of the ids."""
+    small_batches(encoded.sparkSession)
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decode_batches(pieces(tokenizer)), f"{ENCODED}, text string")
 
 
-def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """A row per document: number of ids, and digests of the ids and of the decoded text."""
-    return split_words(docs, tokenizer).mapInArrow(_digest_batches(tokenizer), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+    """A row per document: number of ids, and digests of the ids and of the decoded text; the ids themselves if wanted."""
+    return _encoded(docs, tokenizer, pieces(tokenizer), with_ids)

@@ -1,33 +1,23 @@
-"""What the training-data operators share: table access, the shared folder, written cuts of lineage."""
+"""What the training-data operators share: table access, written cuts of lineage, and bounds of what a Python worker holds."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
+from weftgraph import session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="weft-shared-"))
-    return _own_dir[0]
-
-
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows of an Arrow batch of texts, at most: what a Python worker holds at once follows it."""
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Rows of an Arrow batch of texts, at most: what a Python worker holds at once follows it. A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
@@ -35,26 +25,42 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: the lineage ends there, on files every executor sees."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Deletes what materialise() has written in this session; results that still read it must be consumed before."""
-    for s, path in list(_written):
-        if s is spark:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-            _written.remove((s, path))
-
-
-@atexit.register
-def _forget_all() -> None:
-    for s, _ in list(_written):
-        try:
-            forget(s)
-        except Exception:  # the session may be gone already
-            return
+    return session.settle(df, tag)
+
+
+def forget() -> None:
+    """Deletes what materialise() has written; results that still read it must be consumed before."""
+    session.forget()
+
+
+def batches_by_chars(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """Neighbours of about ``most`` characters together; a longer text is by itself."""
+    group: list[str | None] = []
+    size = 0
+    for t in texts:
+        if group and size + len(t or "") > most:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t or "")
+    if group:
+        yield group
+
+
+def release() -> None:
+    """Gives the allocators' free memory back to the system: a reused worker would keep it from one task to the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with release() at the end of each task, after what it held is gone."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return task

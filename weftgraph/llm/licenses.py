@@ -5,7 +5,8 @@ bounded size: it depends on the templates alone. Every trigram of a whole text i
 WINDOW + 2 words that text and template share is always found. Hits on nearby diagonals make a candidate place,
 and a banded local alignment of the template there gives matched words, coverage and span.
 
-Defined results: null and empty texts give no rows; each place of a template gives a row, repeated ones too;
+Defined results: null and empty texts give no rows; each place of a template gives a row, repeated ones too, but of
+places that overlap by more than half the best one;
 null or repeated doc_ids are handed through; other columns are not read; no templates or documents give no rows.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,48 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
+from .license_texts import TEMPLATES
 
 WORD = re.compile(r"[^\W_]+")
 GRAM, WINDOW, BAND = 3, 2, 8
-CACHE = 150_000
+CACHE = 60_000
 FOUND = "doc_id bigint, license string, coverage double, matched int, template_words int, start_char bigint, end_char bigint"
 
-TEMPLATES = {
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "MIT-line": "Released under the MIT License.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed "
-        "to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
-        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
-    ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer in the documentation and/or other materials provided with the distribution."
-    ),
-    "GPL-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-}
-
-
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """In lower case, each by itself: a letter whose lower case has another length moves no place."""
+    return [w.lower() for w in WORD.findall(text)]
 
 
 def winnow(codes: list[int], base: int) -> list[tuple[int, int]]:
@@ -141,7 +112,23 @@ def scan_codes(index: Index, codes: np.ndarray) -> list[tuple[int, int, int, int
             matched, a, z = align(index.texts[t], codes, s, band)
             if matched >= least_coverage(len(index.texts[t])) * len(index.texts[t]):
                 out.append((t, matched, a, z))
-    return sorted(set(out), key=lambda x: (x[2], x[0]))
+    return sorted(alone(set(out), [len(t) for t in index.texts]), key=lambda x: (x[2], x[0]))
+
+
+def alone(places: set[tuple[int, int, int, int]], sizes: list[int]) -> list[tuple[int, int, int, int]]:
+    """Of places that share more than half of the shorter one's words, the one with most matched words times coverage: a notice, not
+    the line in it, and of two versions the nearer one."""
+    kept: list[tuple[int, int, int, int]] = []
+    starts: list[int] = []
+    reach = max((z - a for _, _, a, z in places), default=0)
+    for p in sorted(places, key=lambda x: (-x[1] * x[1] / sizes[x[0]], x[2], x[0])):
+        _, _, a, z = p
+        near = kept[bisect_left(starts, a - reach) : bisect_left(starts, z)]
+        if all(2 * (min(z, e) - max(a, b)) <= min(z - a, e - b) for _, _, b, e in near):
+            at = bisect_left(starts, a)
+            starts.insert(at, a)
+            kept.insert(at, p)
+    return kept
 
 
 def least_coverage(n: int) -> float:
@@ -169,7 +156,7 @@ def _scan(templates: dict[str, str]):
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                tokens = text.lower().split() if text else []
+                tokens = text.split() if text else []
                 if not tokens:
                     continue
                 if len(cache) > CACHE:
@@ -181,10 +168,10 @@ def _scan(templates: dict[str, str]):
                     codes = np.fromiter((c for x in lists for c in x), np.int64)
                 found = scan_codes(index, codes)
                 if found:
-                    places = [m.span() for m in WORD.finditer(text.lower())] if len(text.lower()) == len(text) else [m.span() for m in WORD.finditer(text)]
+                    places = [m.span() for m in WORD.finditer(text)]
                     for t, matched, a, z in found:
                         size = len(index.texts[t])
-                        rows.append((doc, index.names[t], matched / size, matched, size, places[a][0], places[min(z, len(places)) - 1][1]))
+                        rows.append((doc, index.names[t], matched / size, matched, size, places[a][0], places[z - 1][1]))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             types = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "license", "coverage", "matched", "template_words", "start_char", "end_char"])
@@ -195,4 +182,4 @@ def _scan(templates: dict[str, str]):
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """A row for each place of a template: coverage, matched words and span in characters."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(TEMPLATES if templates is None else templates), FOUND)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(_scan(TEMPLATES if templates is None else templates)), FOUND)

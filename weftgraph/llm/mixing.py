@@ -5,7 +5,8 @@ node can't take is offered to its siblings, by weight, before it goes up to the
 documents are then taken in the order of seeded epochs, up to its budget in tokens: the document whose last
 token would pass the budget is the first to stay out, and with it others of the same place in the order.
 
-The tree has few leaves (bounded by MAX_LEAVES, checked); documents are never gathered by leaf. A leaf's order
+The tree has few leaves: it is what the weights speak of, and MAX_LEAVES bounds what is broadcast or sent to the driver of
+it (a row a leaf, checked, an error beyond); documents are never gathered by leaf. A leaf's order
 is a keyed hash of (seed, epoch, doc_id, text); the hash space is cut in cells, tokens are summed by (leaf,
 cell), and only the one cell in which the budget ends is ordered document by document, for the hash at which
 the prefix ends. The number of cells follows the number of rows, so a leaf with a third of all rows is no hot
@@ -94,13 +95,10 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], float],
     """
     name = lambda c: F.when(F.trim(F.coalesce(c.cast("string"), F.lit(""))) == "", "?").otherwise(c.cast("string"))
     cols = [c for c in docs.columns if c != "mix_epoch"]
-    key = docs.select(
-        F.struct(*[docs[c] for c in cols]).alias("_row"),
-        name(domain).alias("_d"), name(docs["lang"]).alias("_l"), name(docs["source"]).alias("_s"),
-        n_tokens(docs["text"]).alias("_n"),
-        F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("_h"),
-    )
     leaf = ["_d", "_l", "_s"]
+    places = [name(domain).alias("_d"), name(docs["lang"]).alias("_l"), name(docs["source"]).alias("_s"), F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("_h")]
+    # texts are counted here alone; what follows reads four small columns
+    key = materialise(docs.select(*places, n_tokens(docs["text"]).alias("_n")), "counted")
     sums = key.groupBy(*leaf).agg(F.sum("_n").alias("n"), F.count("*").alias("rows")).limit(MAX_LEAVES + 1).collect()
     if len(sums) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves: domain, lang and source must name a tree, not documents")
@@ -131,7 +129,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], float],
     ends = {tuple(r)[:3]: r["_edge"] for r in edges}
     full = [(*p, ends.get(p[:3]), cuts.get(p[:3])) for p in plan]
     final = F.broadcast(spark.createDataFrame(full, "_d string, _l string, _s string, _whole int, _rest double, _edge bigint, _cut bigint"))
-    epochs = place(key.join(final, leaf).withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("_whole")))))
+    rows = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), *places)
+    epochs = place(rows.join(final, leaf).withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("_whole")))))
     # no edge: the rest is nothing, or all of the epoch
     inside = F.expr("_e < _whole or (_rest > 0 and (_edge is null or _c < _edge or (_c = _edge and _o <= _cut)))")
     return epochs.filter(inside).select(*[F.col("_row")[c].alias(c) for c in cols], F.col("_e").alias("mix_epoch"))

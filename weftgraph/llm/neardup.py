@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import lean, materialise, small_batches
 
 ROWS, BANDS = 6, 42
 REGISTERS = 4 * ROWS * BANDS
 LONG = 160
 #: Members of a group that are compared with one another in one task, and shingles of the documents confirmed in one.
 CELL, CONFIRM = 512, 60_000
-CACHE = 300_000
+CACHE = 60_000
 U = np.uint64
 M1, M2, GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 SKETCH = "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, regs binary"
@@ -196,7 +196,7 @@ def _sketch(k: int):
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_sketch(k), SKETCH)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lean(_sketch(k)), SKETCH)
 
 
 def _estimated(threshold: float):
@@ -217,7 +217,7 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, threshold: float) -> Data
     two = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("ry"))
     # merge joins at every size: a broadcast that only small inputs allow would hide what large ones move
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter((F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
-    return both.select("a", "b", "na", "nb", "rx", "ry").mapInArrow(_estimated(threshold), "a bigint, b bigint")
+    return both.select("a", "b", "na", "nb", "rx", "ry").mapInArrow(lean(_estimated(threshold)), "a bigint, b bigint")
 
 
 def _confirm(k: int, percent: int):
@@ -299,21 +299,26 @@ def rest_pairs(grouped: DataFrame, comp: DataFrame, sketches: DataFrame, thresho
     named = grouped.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     named = materialise(named, "named")
     mark = F.xxhash64("doc_id").cast("decimal(38,0)")
-    groups = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(mark).alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(mark).alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    groups = parts.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.sum("m").alias("m"), F.min("a").alias("a"), F.max("b").alias("b"), F.max(F.struct("n", "component")).alias("main"))
     # groups of the same members are one: by their size and sum of marks
-    open_ = groups.filter("lo <> hi").groupBy("size", "m").agg(F.min("key").alias("key"), F.min("a").alias("a"), F.max("b").alias("b"))
-    open_ = materialise(open_.select("key", "size", "a", "b", F.ceil(F.col("size") / CELL).cast("int").alias("chunks")), "open")
+    open_ = groups.filter("parts > 1").groupBy("size", "m").agg(F.min(F.struct("key", "a", "b", "main")).alias("g")).select("size", "g.*")
+    chunks = lambda n: F.ceil(n / CELL).cast("int")
+    open_ = materialise(open_.select("key", "size", "a", "b", F.col("main.component").alias("main"), chunks(F.col("main.n")).alias("own"), chunks(F.col("size") - F.col("main.n")).alias("rest")), "open")
     pairs = near_enough(open_.filter("size = 2").select("a", "b").distinct(), sketches, threshold)
-    large = open_.filter("size > 2").select("key", "chunks")
+    large = open_.filter("size > 2").select("key", "main", "own", "rest")
     # a member's open keys, at most as many as it has keys, and with each those before it
-    inside = named.join(large, "key").groupBy("doc_id", "component").agg(F.array_sort(F.collect_set(F.struct("key", "chunks"))).alias("ks"))
+    inside = named.join(large, "key").groupBy("doc_id", "component").agg(F.array_sort(F.collect_set(F.struct("key", "main", "own", "rest"))).alias("ks"))
     members = inside.join(sketches.select("doc_id", "n", "regs").hint("merge"), "doc_id")
     members = members.select("doc_id", "component", "n", "regs", F.transform("ks", lambda k: k["key"]).alias("all"), F.posexplode("ks").alias("pos", "k"))
-    members = members.select("doc_id", "component", "n", "regs", F.col("k.key").alias("key"), F.col("k.chunks").alias("chunks"), F.slice("all", F.lit(1), F.col("pos")).alias("prior"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    cells = members.select("key", "doc_id", "component", "n", "regs", "prior", "chunk", other)
-    cells = cells.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks")
+    members = members.select("doc_id", "component", "n", "regs", "k.*", F.slice("all", F.lit(1), F.col("pos")).alias("prior"))
+    # chunks of the largest component come after the others' and never meet one another: they hold no pair to try
+    is_main = F.col("component") == F.col("main")
+    spot = F.xxhash64("doc_id", F.lit(3))
+    members = members.withColumn("chunk", F.when(is_main, F.col("rest") + F.pmod(spot, F.col("own"))).otherwise(F.pmod(spot, F.col("rest"))).cast("int"))
+    last = F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1
+    cells = members.select("key", "doc_id", "component", "n", "regs", "prior", "chunk", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    cells = cells.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
     return cells.groupBy("key", "i", "j").applyInArrow(_block(threshold), "a bigint, b bigint").unionByName(pairs).distinct()
 
 
@@ -324,9 +329,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     full = sk.filter("n > 0 and doc_id is not null")
     same = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
     same = materialise(same.select("s1", "s2", "n", "rep"), "same")
-    copies = full.select("doc_id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).select("doc_id", "rep").filter("doc_id <> rep")
+    text = ["doc_id", "s1", "s2", "n"]
+    copies = full.select(*text).join(same, ["s1", "s2", "n"]).filter("doc_id <> rep").select(*text, "rep")
     copies = materialise(copies.distinct(), "copies")
-    nodes = full.join(copies.select("doc_id"), "doc_id", "left_anti")
+    # a repeated doc_id is a copy by one text and may be a node by another
+    nodes = full.join(copies.select(*text), text, "left_anti")
     rows = nodes.select("doc_id", F.explode("keys").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).filter("hub <> most")
     hubs = materialise(hubs.select("key", "hub"), "hubs")
@@ -334,7 +341,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = grouped.filter("doc_id <> hub").groupBy("doc_id", "hub").count()
     tried = shared.groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("a")).select("a", F.col("doc_id").alias("b"))
     tried = materialise(tried, "tried")
-    links = materialise(confirm(near_enough(tried, full, threshold), docs, full, k, percent), "links")
+    both = copies.join(nodes.select("doc_id"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = materialise(confirm(near_enough(tried, full, threshold), docs, full, k, percent).unionByName(both).distinct(), "links")
     comp = components(links)
     more = rest_pairs(grouped.select("key", "doc_id").distinct(), comp, full, threshold)
     more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
@@ -343,7 +351,6 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         if late.limit(1).count():
             comp = components(links.unionByName(late))
     named = copies.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    # a repeated doc_id can be a copy and a node of its own: the smallest of its names holds
     named = named.unionByName(comp.select(F.col("id").alias("doc_id"), "component")).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sk.select("doc_id", "n").join(named, "doc_id", "left")
     cid = F.coalesce("component", "doc_id")

@@ -6,10 +6,13 @@ a Feistel network of keyed hashes permutes (cycle walking keeps it in range). A
 collision check, over all documents and without any exchange between tasks: equal entities get equal
 replacements (coreference), different ones different replacements (distinctness). Listed given names are
 permuted within their list, by script and gender; other names walk on until they leave the lists.
-``collisions`` is the explicit check over a corpus.
+``collisions`` is the explicit check over a corpus, which the query runs too.
+
+Names are found by a title, a phrase that introduces one, a listed given name, or an honorific after them (Hangul, Han,
+kana); not by shape alone, which would take any capitalised words. Spans name an entity by a keyed digest, never by itself.
 
 Defined results: null text stays null; texts without entities stay as they are, byte for byte; rows with null
-or repeated ids are handled as any others; all columns of the input are kept.
+or repeated ids are handled as any others; all columns of the input are kept, but one named as the spans, which they replace.
 """
 
 from __future__ import annotations
@@ -25,31 +28,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import small_batches
+from .common import lean, materialise, small_batches
+
+KEY = "weftgraph surrogate key"  # for tests: whoever knows a key can undo the surrogates, so a job sets its own
+CACHE = 20_000
+
+
+
+def _letters(first: int, last: int) -> str:
+    """Small letters that have one capital, and are its only small letter."""
+    return "".join(c for c in map(chr, range(first, last + 1)) if c.islower() and len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c)
+
+
+def _rest(first: int, last: int, without: str) -> str:
+    return "".join(c for c in map(chr, range(first, last + 1)) if c.isalpha() and c not in without)
 
-KEY = "weftgraph surrogate key"  # production passes its own
-CACHE = 50_000
 
+_SMALL = (_letters(0x61, 0x7A), _letters(0xDF, 0x17F), _letters(0x430, 0x45F), _letters(0x3AC, 0x3CE))
+# Syllables and characters that are common in names; the rest of their scripts are classes of their own.
+_HANGUL = "가나다라마바사아자차카타파하김이박최정강조윤장임한오서신권황안송류전홍고문양손배백허유남심노"
+_HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧"
 #: Runs of characters of one class; a character is replaced within its class.
 CLASSES = (
-    "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "äöüßéèêçñáíóúàâîôû", "ÄÖÜÉÈÊÇÑÁÍÓÚÀÂÎÔÛ",
-    "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
-    "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
-    "가나다라마바사아자차카타파하김이박최정강조윤장임한오서신권황안송류전홍고문양손배백허유남심노",
-    "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧",
+    "0123456789", *_SMALL, *(x.upper() for x in _SMALL), _HANGUL, _rest(0xAC00, 0xD7A3, _HANGUL), _HAN, _rest(0x4E00, 0x9FA5, _HAN),
+    _rest(0x3041, 0x3096, ""), _rest(0x30A1, 0x30FA, ""), _rest(0x621, 0x64A, "ـ"), _rest(0x5D0, 0x5EA, ""), _rest(0x905, 0x939, ""),
 )
 OF = {c: (k, i) for k, chars in enumerate(CLASSES) for i, c in enumerate(chars)}
-#: Given names by script and gender.
+# Given names by script and gender.
 GIVEN = (
-    ("james", "john", "robert", "michael", "william", "david", "thomas", "peter", "paul", "mark", "daniel", "martin", "hans", "jean", "pierre", "juan", "carlos", "luis", "pablo", "karl"),
-    ("mary", "anna", "linda", "susan", "sarah", "karen", "emma", "laura", "julia", "maria", "marie", "claire", "sophie", "carmen", "lucia", "elena", "petra", "ingrid", "heidi", "alice"),
+    ("james", "john", "robert", "michael", "william", "david", "thomas", "peter", "paul", "mark", "daniel", "martin", "hans", "jean", "pierre", "juan", "carlos", "luis", "pablo", "karl",
+     "wei", "ahmed", "mohammed", "ali", "omar", "raj", "arjun", "hiroshi", "kenji", "minho", "piotr", "jakub", "lars", "ivan", "giovanni", "marco", "kwame", "diego", "miguel", "øystein"),
+    ("mary", "anna", "linda", "susan", "sarah", "karen", "emma", "laura", "julia", "maria", "marie", "claire", "sophie", "carmen", "lucia", "elena", "petra", "ingrid", "heidi", "alice",
+     "mei", "fatima", "aisha", "layla", "priya", "ananya", "yuki", "sakura", "jiwoo", "agnieszka", "zofia", "astrid", "giulia", "chiara", "amara", "sofia", "isabel", "olga", "natalia", "chloé"),
     ("иван", "пётр", "сергей", "алексей", "дмитрий", "николай", "андрей", "михаил"),
     ("анна", "мария", "елена", "ольга", "наталья", "татьяна", "ирина", "светлана"),
-)
+)
 LISTED = {n: g for g in GIVEN for n in g}
+# Titles; phrases that introduce a whole name; honorifics after one.
 TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Don|Doña|Господин|Госпожа"
-_NAME = r"[^\W\d_]*[A-ZÄÖÜÉÈÑÁÍÓÚА-ЯΑ-Ω][^\W\d_]+"
+INTRODUCED = ("name is", "name:", "named", "signed by", "signed,", "regards,", "sincerely,", "heiße", "m'appelle", "me llamo", "меня зовут")
+FAR_TITLES = ("السيد", "السيدة", "الدكتور", "الدكتورة", "גברת")
+AFTER_HANGUL, AFTER_HAN, AFTER_KANA = ("씨", "님", "선생님", "교수님"), ("先生", "女士", "小姐", "教授"), ("さん", "様")
+_CAPITAL = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
+_NAME = rf"[^\W\d_]*[{_CAPITAL}][^\W\d_]+"
 _GIVENS = "|".join(sorted({n.capitalize() for g in GIVEN for n in g}, key=len, reverse=True))
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@])"), "@"),
@@ -62,11 +83,17 @@ PATTERNS = (
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"), None),
     ("name", re.compile(rf"\b(?:{TITLES})\b\.?\s+({_NAME}(?:[ -]{_NAME}){{0,2}})"), None),
     ("name", re.compile(rf"\b((?:{_GIVENS}) {_NAME})"), None),
+    ("name", re.compile(rf"(?i:{'|'.join(map(re.escape, INTRODUCED))})\s+({_NAME}(?: {_NAME}){{1,2}})"), None),
+    ("name", re.compile(rf"(?:{'|'.join(FAR_TITLES)})\s+([ء-ي]+(?: [ء-ي]+)?|[א-ת]+(?: [א-ת]+)?)"), None),
+    ("name", re.compile(rf"(?<![가-힣])([가-힣]{{2,4}}?)(?= ?(?:{'|'.join(AFTER_HANGUL)})(?![가-힣]))"), None),
+    ("name", re.compile(rf"(?<![一-龥])([一-龥]{{2,4}}?)(?=(?:{'|'.join(AFTER_HAN)}))"), None),
+    ("name", re.compile(rf"(?<![一-龥ぁ-ゖァ-ヺ])([一-龥ぁ-ゖァ-ヺ]{{2,6}}?)(?=(?:{'|'.join(AFTER_KANA)}))"), None),
 )
 #: Cheap tests that decide for most texts; every match of a type's pattern passes its type's test.
 _DIGITS = re.compile(r"\d[ .()-]{0,2}\d[ .()-]{0,2}\d[ .()-]{0,2}\d")
 _SECRET = ("passw", "pwd", "token", "secret", "api", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 _WORDS = frozenset(x + dot for x in TITLES.split("|") for dot in ("", ".")) | frozenset(n.capitalize() for g in GIVEN for n in g)
+_FAR = (*FAR_TITLES, *AFTER_HANGUL, *AFTER_HAN, *AFTER_KANA)
 _OPEN = re.compile(rf"[^\w\s](?:{TITLES}|{_GIVENS})\b")
 
 
@@ -79,7 +106,8 @@ def _may_hold(text: str) -> set[str]:
     low = text.lower()
     if any(x in low for x in _SECRET):
         kinds.add("secret")
-    if not _WORDS.isdisjoint(text.split()) or _OPEN.search(text):
+    introduced = any(x in low for x in INTRODUCED) or not (text.isascii() or not any(x in text for x in _FAR))
+    if introduced or not _WORDS.isdisjoint(text.split()) or _OPEN.search(text):
         kinds.add("name")
     return kinds
 
@@ -195,13 +223,20 @@ def _word(low: str, key: bytes) -> str:
     return new
 
 
+def _each(s: str, change: Callable[[str], str]) -> str:
+    """Letter by letter, but those of which two would come."""
+    return "".join(x if len(x := change(c)) == 1 else c for c in s)
+
+
 def _name(s: str, key: bytes) -> str:
     return re.sub(r"[^\W\d_]+", lambda m: _cased(m[0], key), s)
 
 
 def _cased(w: str, key: bytes) -> str:
-    new = _word(w.lower(), key)
-    return new.upper() if len(w) > 1 and w.isupper() else new[:1].upper() + new[1:] if w[:1].isupper() else new
+    new = _word(_each(w, str.lower), key)
+    if len(w) > 1 and w.isupper():
+        return _each(new, str.upper)
+    return _each(new[:1], str.upper) + new[1:] if w[:1].isupper() else new
 
 
 MAKERS: dict[str, Callable[[str, bytes], str]] = {
@@ -240,7 +275,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 def canonical(kind: str, s: str) -> str:
     """The spelling in which mentions of one entity agree."""
-    return s.lower() if kind in ("email", "name") else s
+    return _each(s, str.lower) if kind in ("email", "name") else s
+
+
+def entity(kind: str, s: str, key: bytes) -> str:
+    """What stands for an entity where it must not be named."""
+    return hmac.new(key, f"entity|{kind}|{canonical(kind, s)}".encode(), hashlib.sha256).hexdigest()[:32]
 
 
 def surrogate(kind: str, s: str, key: bytes) -> str:
@@ -267,29 +307,41 @@ def _batches(key: str, schema: StructType, with_spans: bool):
             for t in b.column(at).to_pylist():
                 new, found = replace(t, key.encode(), make) if t else (t, [])
                 texts.append(new)
-                spans.append([{"start": a, "end": z, "type": k, "original": o, "surrogate": n} for a, z, k, o, n in found])
-            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)]
+                spans.append(([{"start": a, "end": z, "type": k, "entity": entity(k, o, key.encode()), "surrogate": n} for a, z, k, o, n in found] if with_spans else []))
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i, n in enumerate(b.schema.names)]
             if with_spans:
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
                 cols.append(pa.array(spans, kind))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     return run
 
 
-SPANS = ArrayType(StructType().add("start", LongType()).add("end", LongType()).add("type", StringType()).add("original", StringType()).add("surrogate", StringType()))
+SPANS = ArrayType(StructType().add("start", LongType()).add("end", LongType()).add("type", StringType()).add("entity", StringType()).add("surrogate", StringType()))
 
 
 def anonymise(docs: DataFrame, key: str = KEY, spans: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in ``text``; with ``spans``, a column of that name lists what was replaced."""
+    """``docs`` with surrogates in ``text``; with ``spans``, a column of that name lists what was replaced: places in the original
+    text, types, keyed digests of the entities and their surrogates."""
     small_batches(docs.sparkSession)
+    docs = docs.drop(spans) if spans else docs
     schema = StructType([StructType().add("text", StringType()).fields[0] if f.name == "text" else f for f in docs.schema.fields])
     if spans:
         schema = schema.add(spans, SPANS)
-    return docs.mapInArrow(_batches(key, schema, bool(spans)), schema)
+    return docs.mapInArrow(lean(_batches(key, schema, bool(spans))), schema)
 
 
 def collisions(anonymised: DataFrame, spans: str) -> DataFrame:
-    """(type, surrogate, originals) where different entities met in one surrogate: none, unless a rule is broken."""
-    e = anonymised.select(F.explode(spans).alias("e")).select("e.type", F.lower("e.original").alias("o"), F.lower("e.surrogate").alias("s")).distinct()
-    return e.groupBy("type", F.col("s").alias("surrogate")).agg(F.count("*").alias("originals")).filter("originals > 1")
+    """(type, surrogate, entities) where different entities met in one surrogate: none, unless a rule is broken."""
+    low = F.when(F.col("e.type").isin("email", "name"), F.lower("e.surrogate")).otherwise(F.col("e.surrogate"))
+    e = anonymised.select(F.explode(spans).alias("e")).select("e.type", "e.entity", low.alias("surrogate")).distinct()
+    return e.groupBy("type", "surrogate").agg(F.count("*").alias("entities")).filter("entities > 1")
+
+
+def checked(docs: DataFrame, key: str = KEY, spans: str = "entities") -> DataFrame:
+    """anonymise(), written, once collisions() has found none in it."""
+    out = materialise(anonymise(docs, key, spans), "anonymised")
+    met = collisions(out, spans).limit(1).count()
+    if met:
+        raise RuntimeError("different entities met in one surrogate")
+    return out

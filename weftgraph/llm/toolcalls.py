@@ -5,10 +5,12 @@ identifier is a shuffled hash join of calls with the first result of each identi
 aggregation has made one row, so a hot identifier costs no more than its calls. Levels come by rounds over the calls
 that depend on others: by pointer doubling where each depends on one at most, else by peeling.
 
-Defined results: a null call_id links with nothing and is flagged; of repeated identifiers, every call is
+Defined results: a null call_id links with nothing and is flagged (such calls go round the joins, as they would all meet
+in one task); of repeated identifiers, every call is
 flagged "duplicate id" and gets the first result (ties: the smaller content); results without a call are
 dropped here and listed by ``orphans``; a cycle's calls have a null level and are flagged; unknown dependencies
-are flagged and count as met; null arguments are flagged; empty tables give no rows.
+are flagged and count as met, null ones among them are passed over; null arguments are flagged, and so are those that JSON
+has no form for (NaN, infinity); kept columns named as the result's own get ``kept_`` before them; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int,
@@ -28,8 +30,19 @@ _TYPES = {
 
 
 def canonical(value: object) -> str:
-    """Sorted keys, no white space, text as it is."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no white space, text as it is. An error for what JSON has no form for."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _no_number(text: str) -> object:
+    raise ValueError(text)
+
+
+def read(arguments: str) -> object:
+    """JSON as the standard has it; an error else, also for numbers that are too large for a double."""
+    value = json.loads(arguments, parse_constant=_no_number)
+    canonical(value)
+    return value
 
 
 def errors(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -65,6 +78,9 @@ def errors(value: object, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+RESULT = ("call_id", "level", "valid", "errors", "json")
+
+
 def _finish(schemas: dict[str, dict], rest: list[str], has_rest: pa.Schema | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,8 +88,8 @@ def _finish(schemas: dict[str, dict], rest: list[str], has_rest: pa.Schema | Non
             for r in b.select(["call_id", "name", "arguments", "level", "content", "linked", "flags", "depends"]).to_pylist():
                 found = [f for f in r["flags"] if f]
                 try:
-                    args = json.loads(r["arguments"]) if r["arguments"] is not None else None
-                except ValueError:
+                    args = read(r["arguments"]) if r["arguments"] is not None else None
+                except (ValueError, RecursionError):
                     args = r["arguments"]
                     found.append("arguments: not JSON")
                 if r["arguments"] is None:
@@ -86,7 +102,7 @@ def _finish(schemas: dict[str, dict], rest: list[str], has_rest: pa.Schema | Non
                     found.append("result: missing")
                 valid.append(not found)
                 problems.append(found)
-                texts.append(canonical({"arguments": args, "depends_on": sorted(r["depends"] or []), "id": r["call_id"], "level": r["level"], "name": r["name"], "result": r["content"]}))
+                texts.append(canonical({"arguments": args, "depends_on": sorted(d for d in r["depends"] or [] if d is not None), "id": r["call_id"], "level": r["level"], "name": r["name"], "result": r["content"]}))
             cols = [b.column(c) for c in rest] + [b.column(c) for c in ("call_id", "level")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(valid, pa.bool_()), pa.array(problems, pa.list_(pa.string())), pa.array(texts, pa.string())], names=[*rest, "call_id", "level", "valid", "errors", "json"])
 
@@ -96,7 +112,7 @@ def _finish(schemas: dict[str, dict], rest: list[str], has_rest: pa.Schema | Non
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level, cycle) of calls that depend on known others; the rest are of level 0."""
     ids = calls.filter("call_id is not null").select("call_id").distinct()
-    edges = calls.filter("call_id is not null and size(depends) > 0").select("call_id", F.explode("depends").alias("on")).distinct()
+    edges = calls.filter("call_id is not null and size(depends) > 0").select("call_id", F.explode("depends").alias("on")).filter("on is not null").distinct()
     edges = materialise(edges.join(ids.withColumnRenamed("call_id", "on"), "on", "left_semi"), "edges")
     most = edges.groupBy("call_id").count().agg(F.max("count")).first()[0]
     if most is None:
@@ -133,41 +149,55 @@ def levels(calls: DataFrame) -> DataFrame:
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], keep: list[str] | None = None) -> DataFrame:
     """(kept columns, call_id, level, valid, errors, json) of every call; calls in order are by level, then ord."""
-    keep = keep or []
+    names = [f"kept_{c}" if c in RESULT else c for c in keep or []]
+    calls = calls.select("call_id", "name", "arguments", "depends", *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep or [])])
+    kept = [c for c in calls.columns if c.startswith("_")]
+    some = calls.filter("call_id is not null")
     first = results.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct("ord", "content")).alias("r")).select("call_id", F.col("r.content").alias("content"), F.lit(True).alias("linked"))
-    twice = calls.filter("call_id is not null").groupBy("call_id").count().filter("count > 1").select("call_id", F.lit(True).alias("twice"))
-    known = calls.filter("call_id is not null").select(F.col("call_id").alias("on")).distinct()
-    asked = calls.filter("size(depends) > 0").select("call_id", F.explode("depends").alias("on")).distinct()
+    twice = some.groupBy("call_id").count().filter("count > 1").select("call_id", F.lit(True).alias("twice"))
+    known = some.select(F.col("call_id").alias("on")).distinct()
+    asked = some.filter("size(depends) > 0").select("call_id", F.explode("depends").alias("on")).filter("on is not null").distinct()
     unknown = asked.join(known, "on", "left_anti").select("call_id").distinct().withColumn("unknown", F.lit(True))
-    out = calls.join(first.hint("shuffle_hash"), "call_id", "left").join(twice, "call_id", "left").join(levels(calls), "call_id", "left").join(unknown, "call_id", "left")
+    # flags of an identifier come as one small table, so that calls meet results and flags in a join each
+    marks = twice.join(levels(some), "call_id", "full_outer").join(unknown, "call_id", "full_outer")
+    out = some.join(first.hint("shuffle_hash"), "call_id", "left").join(marks, "call_id", "left")
+    none = lambda t: F.lit(None).cast(t)
+    lost = calls.filter("call_id is null").select("*", none("string").alias("content"), none("boolean").alias("linked"), none("boolean").alias("twice"), none("int").alias("level"), none("boolean").alias("cycle"), none("boolean").alias("unknown"))
+    out = out.unionByName(lost)
     flags = F.array(
         F.when(F.col("call_id").isNull(), "id: missing"), F.when(F.col("twice"), "id: duplicate"),
         F.when(F.col("cycle"), "depends: cycle"), F.when(F.col("unknown"), "depends: unknown id"),
     )
     level = F.when(F.col("cycle"), None).otherwise(F.coalesce("level", F.lit(0)))
-    ready = out.select(*keep, "call_id", "name", "arguments", "depends", level.cast("int").alias("level"), "content", F.coalesce("linked", F.lit(False)).alias("linked"), flags.alias("flags"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ready.select(*keep).schema.fields) if keep else ""
-    return ready.mapInArrow(_finish(schemas, keep), schema + "call_id string, level int, valid boolean, errors array<string>, json string")
+    ready = out.select(*kept, "call_id", "name", "arguments", "depends", level.cast("int").alias("level"), "content", F.coalesce("linked", F.lit(False)).alias("linked"), flags.alias("flags"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ready.select(*kept).schema.fields) if kept else ""
+    done = ready.mapInArrow(lean(_finish(schemas, kept)), schema + "call_id string, level int, valid boolean, errors array<string>, json string")
+    return done.toDF(*names, *RESULT)
 
 
 def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(calls.filter("call_id is not null").select("call_id").distinct(), "call_id", "left_anti")
 
 
-#: Of the call that a user's turn makes.
+_TEXT = {"type": "string", "minLength": 1, "maxLength": 1000}
+#: Of the calls that users' turns make: the first opens a conversation, the others reply, in texts of bounded length.
 TURN_SCHEMA = {
-    "reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}},
+    "open": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": _TEXT, "turn": {"type": "integer", "minimum": 0, "maximum": 0}}},
+    "reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": _TEXT, "turn": {"type": "integer", "minimum": 1}}},
 }
 
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns as tool traffic: a user's turn calls ``reply`` under the identifier conv:turn and depends on the user's turn two
+    """Turns as tool traffic: a user's turn calls ``open`` or ``reply`` under the identifier conv:turn and depends on the user's turn two
     before, if any; an assistant's turn is the result of the call one turn before. Without conv_id or turn, the identifier is
     null: such a user's turn is a call that links with nothing, such an assistant's turn a result that ``orphans`` lists."""
     base = conversations.select("conv_id", "turn", "role", "text")
     ident = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
     users = base.filter("role = 'user'")
     ids = users.select(ident(0).alias("on")).filter("on is not null").distinct()
-    calls = users.select("conv_id", "turn", ident(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), ident(2).alias("on"), F.col("turn").alias("ord"))
-    calls = calls.join(ids.withColumn("_there", F.lit(True)), "on", "left").withColumn("depends", F.when(F.col("_there"), F.array("on")).otherwise(F.array().cast("array<string>"))).drop("on", "_there")
+    calls = users.select("conv_id", "turn", ident(0).alias("call_id"), F.when(F.col("turn") == 0, "open").otherwise("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), ident(2).alias("on"), F.col("turn").alias("ord"))
+    none = F.array().cast("array<string>")
+    lost = calls.filter("on is null").withColumn("depends", none).drop("on")  # they would all meet in one task of the join
+    calls = calls.filter("on is not null").join(ids.withColumn("_there", F.lit(True)), "on", "left").withColumn("depends", F.when(F.col("_there"), F.array("on")).otherwise(none)).drop("on", "_there")
+    calls = calls.unionByName(lost)
     return calls, base.filter("role = 'assistant'").select(ident(1).alias("call_id"), F.col("text").alias("content"), F.col("turn").alias("ord"))

@@ -8,7 +8,8 @@ fine, pairs whose bound is under the query's k-th score so far go; survivors get
 Defined results: null vectors and those with null or non-finite components take no part, nor do vectors of
 another length than the most frequent; a query meets all rows but those of its own vec_id; rows that repeat a
 vec_id count one by one as candidates and once as a query; ties go to the smaller vec_id; extra columns are
-not read; no vectors give no rows.
+not read; no vectors give no rows. Scores are sums of integers in doubles, exact up to 2^53; vectors so long that a
+sum could pass it (the product of the two longest) raise an error rather than give a rounded score.
 """
 
 from __future__ import annotations
@@ -47,9 +48,12 @@ def scan(query_ids: np.ndarray, queries: np.ndarray, k: int, levels: tuple[int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = vectors.TopK(len(query_ids), k)
         stats = [np.hstack(segments(queries, n)).T for n in levels]
+        longest = np.sqrt((queries * queries).sum(1).max(initial=0))
         size = 64
         for b in batches:
             ids, m = b.column("vec_id").to_numpy(), vectors.matrix(b.column("v"), d)
+            if len(ids) and longest * np.sqrt((m * m).sum(1).max()) >= 2.0**53:
+                raise OverflowError("scores of these vectors pass 2^53: scale them down")
             at = 0
             while at < len(ids):
                 own, rows = ids[at : at + size], m[at : at + size]
@@ -80,7 +84,6 @@ def scan(query_ids: np.ndarray, queries: np.ndarray, k: int, levels: tuple[int,
 def search(df: DataFrame, is_query: Column, k: int, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(query_id, rank, vec_id, score long): of integer vectors floor(SCALE * x), by inner product."""
     rows = vectors.clean(df).select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).alias("v"))
-    blocks = list(vectors.query_blocks(rows.filter(is_query)))
-    found = vectors.search(rows, lambda b: scan(*blocks[b], k, levels), len(blocks))
+    found = vectors.search(rows, vectors.query_blocks(rows.filter(is_query)), lambda ids, queries: scan(ids, queries, k, levels))
     out = vectors.merged(found, k)
     return out.withColumn("score", F.col("score").cast("bigint"))

@@ -1,10 +1,11 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Features are a text's distinct words and word beginnings (4 to 6 letters). Logistic loss has an L1 term, and a
+Features are a text's distinct words and word beginnings (4 to 6 letters); those that LEAST sampled texts have and whose
+chi-square with the label passes CHI are fitted, however many. Logistic loss has an L1 term, and a
 counterfactual term: sentences of the labelled sample that name a group are copied with the group swapped for
-others of its kind, and squared changes of the score are penalised, so that naming a group by itself does not
-count. Fitting sees at most about SAMPLE labelled documents (a keyed hash of doc_id picks them); scoring runs
-over every whole text.
+each other of its kind, and squared changes of the score are penalised, so that naming a group by itself does not
+count. Fitting sees at most about SAMPLE labelled documents (a keyed hash of doc_id picks them), which are read and
+written once; scoring runs over every whole text.
 
 Defined results: null and empty texts get the score of a text without features; null doc_id rows are scored
 (held_out null) and never fitted; repeated rows give repeated rows; without usable labels of both kinds every
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, materialise, small_batches
 
 #: Labelled documents to fit on, about: the bound of what reaches the driver.
 SAMPLE = 12_000
-#: Features to fit, chosen by chi-square over the sample.
-FEATURES = 3_000
+#: Sampled texts that have a feature, at least, and its chi-square with the label (0.05 of chance features pass).
+LEAST, CHI = 3, 3.84
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -42,7 +43,7 @@ GROUPS = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-CACHE = 150_000
+CACHE = 50_000
 
 
 def features(token: str) -> tuple[str, ...]:
@@ -71,13 +72,20 @@ def _hashes(text: str | None, cache: dict[str, tuple[int, ...]]) -> set[int]:
 
 
 def swaps(sentence: str, groups: tuple[tuple[str, ...], ...] = GROUPS) -> list[str]:
-    """The sentence with each group it names swapped for the next ones of that kind."""
+    """The sentence with each group it names swapped for each other one of that kind, in turn."""
     words = sentence.lower().split()
-    member = {w: g for g in groups for w in g}
-    bare = [m[0] if (m := LETTERS.findall(w)) else "" for w in words]
-    if not any(b in member for b in bare):
-        return []
-    return [" ".join(w.replace(b, member[b][(member[b].index(b) + step) % len(member[b])], 1) if b in member else w for w, b in zip(words, bare, strict=True)) for step in (1, 2)]
+    kinds = {w: g for g in groups for w in g}
+    named = {i: (bare, kinds[bare]) for i, w in enumerate(words) if (m := LETTERS.search(w)) and (bare := m[0]) in kinds}
+    turns = max((len(g) for _, g in named.values()), default=1)
+
+    def turned(step: int) -> str:
+        out = list(words)
+        for i, (bare, g) in named.items():
+            other = 1 + (step - 1) % (len(g) - 1)  # never back to itself
+            out[i] = out[i].replace(bare, g[(g.index(bare) + other) % len(g)], 1)
+        return " ".join(out)
+
+    return [turned(step) for step in range(1, turns)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float =
     share = min(1.0, sample / max(total, 1))
     pick = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
     rows = docs.filter(pick).select("doc_id", "text").join(known.filter(pick), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = materialise(rows, "sample")
     n, pos = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not pos or pos == n:
         return None
     f, a = F.col("n").cast("double"), F.col("toxic").cast("double")
     chi = (a - f * pos / n) ** 2 / (f * pos / n) + (a - f * pos / n) ** 2 / (f * (n - pos) / n)
-    counts = rows.mapInArrow(_counted, "feature bigint, n bigint, toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    top = counts.filter("n >= 3").orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").collect()  # FEATURES rows at most
+    counts = rows.mapInArrow(lean(_counted), "feature bigint, n bigint, toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    top = counts.filter(F.col("n") >= LEAST).filter(chi >= CHI).select("feature").collect()  # of the bounded sample
     chosen = np.sort(np.array([r[0] for r in top], np.int64))
-    got = rows.mapInArrow(_rows(chosen, groups), "toxic int, ids binary, swapped binary").collect()  # about ``sample`` rows of feature ids
+    got = rows.mapInArrow(lean(_rows(chosen, groups)), "toxic int, ids binary, swapped binary").collect()  # about ``sample`` rows of feature ids
     data = []
     for r in got:
         d = np.frombuffer(r["swapped"], "<i4").astype(np.int64)
@@ -220,7 +229,7 @@ def _scored(model: Model | None, keep: str):
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score) of every whole text."""
-    return docs.select(F.col("doc_id"), "text").mapInArrow(_scored(model, ""), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select(F.col("doc_id"), "text").mapInArrow(lean(_scored(model, "")), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def reject(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -231,7 +240,7 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
     while name in docs.columns:
         name += "_"
     schema = StructType([*docs.schema.fields]).add(name, DoubleType())
-    return docs.mapInArrow(_scored(model, name), schema).filter(F.col(name) < threshold).drop(name)
+    return docs.mapInArrow(lean(_scored(model, name)), schema).filter(F.col(name) < threshold).drop(name)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

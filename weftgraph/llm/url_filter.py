@@ -2,13 +2,15 @@
 
 Level 0 encodes the listed keys. Level 1 encodes those unlisted keys of the corpus that pass level 0, level 2
 the listed keys that pass level 1, and so on until nothing is left. As the levels are built over every key
-that the corpus holds, walking them gives exact membership for it, with neither a join nor a lookup table.
+that the corpus holds, walking them gives exact membership for it, with no join, neither in the walk nor in the
+build: what passes level 0 is told from the list by grouping both together.
 
 A url's keys are its host's suffixes (of as many labels as some rule has) before its path's prefixes (of as
 many characters as some rule has), so rules fit a host, its subdomains and paths that start with theirs.
 
-A cascade's bits are literals in the query. Their number follows the list, times the logarithm of keys by
-listed keys; MAX_BITS bounds it, and beyond that the build raises.
+A level's bits are one row of a written table, met as a scalar subquery: they pass the driver's JVM once and are shared
+by a plan's expressions. A level has at most MAX_BITS; a longer list is cut by a hash of the key into parts with a
+cascade each, and parts are walked in turn over the written pages, so memory stays bounded for lists of any length.
 
 Defined results: a null url or one without ``://`` has an empty host and path, and no rule fits it; page_id
 may be null or repeated, each row gives a row; no pages give no rows.
@@ -23,9 +25,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BITS = 1 << 22
-WORD = 32
-MAX_LEVELS = 64
+from .common import materialise
+
+#: Bits of a level (4 MB), those of a word, and levels of a cascade: each holds about a quarter of the one two before.
+MAX_BITS, WORD, MAX_LEVELS = 1 << 25, 64, 64
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -41,8 +44,8 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def candidate_keys(host: Column, path: Column, rules: list[str]) -> Column:
-    """The longest first: array of keys that some rule could equal."""
+def candidate_keys(host: Column, path: Column, rules: list[str]) -> list[Column]:
+    """The longest first: the key of each shape (labels, path's length) that some rule has; null where the url is shorter."""
     shapes = {(h.count(".") + 1, len(p)) for h, p in map(split_rule, rules)}
     labels = F.split(host, r"\.")
     keys = []
@@ -50,7 +53,7 @@ def candidate_keys(host: Column, path: Column, rules: list[str]) -> Column:
         suffix = F.when(F.size(labels) >= depth, F.substring_index(host, ".", -depth))
         prefix = F.when(F.length(path) >= length, F.substring(path, 1, length))
         keys.append(F.when(host != "", F.concat(suffix, prefix)))
-    return F.array_compact(F.array(*keys))
+    return keys
 
 
 @dataclass(frozen=True)
@@ -58,45 +61,67 @@ class Level:
     bits: int
     hashes: int
     seed: int
-    words: tuple[int, ...]
+    words: DataFrame  # one row, one array
+
+    def positions(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(self.seed * 31 + i)), F.lit(self.bits)) for i in range(self.hashes)]
 
     def has(self, key: Column) -> Column:
-        words = F.expr(f"array({','.join(f'{w}L' for w in self.words)})")
+        words = self.words.scalar()
         test = F.lit(True)
-        for p in _positions(key, self):
+        for p in self.positions(key):
             test = test & (F.getbit(F.get(words, F.floor(p / WORD).cast("int")), (p % WORD).cast("int")) == 1)
         return test
 
 
-def _positions(key: Column, level: Level) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level.seed * 31 + i)), F.lit(level.bits)) for i in range(level.hashes)]
+def _bits(n: int, rate: float) -> int:
+    return max(64, WORD * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / WORD))
 
 
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    bits = max(64, WORD * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / WORD))
-    if bits > MAX_BITS:
-        raise ValueError(f"a level of {bits} bits is over MAX_BITS: join this list instead")
-    shape = Level(bits, max(1, round(bits / max(n, 1) * math.log(2))) if n and bits > 64 else max(1, round(-math.log2(rate))), seed, ())
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), shape))).alias("p"))
-    words = at.groupBy(F.floor(F.col("p") / WORD).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % WORD).cast("int"))).alias("b"))
-    got = {r["w"]: r["b"] for r in words.collect()}  # at most bits / WORD rows
-    return Level(bits, shape.hashes, seed, tuple(got.get(i, 0) for i in range(bits // WORD)))
-
-
-def build(universe: DataFrame, listed: list[str]) -> list[Level]:
-    """Levels for ``listed``, exact for every ``key`` of ``universe``; its keys may repeat and be null."""
+    bits = _bits(n, rate)
+    hashes = max(1, round(bits / max(n, 1) * math.log(2))) if n and bits > 64 else max(1, round(-math.log2(rate)))
+    shape = Level(bits, hashes, seed, keys)
+    at = keys.select(F.explode(F.array(*shape.positions(F.col("key")))).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % WORD).cast("int"))
+    set_ = at.select(F.floor(F.col("p") / WORD).cast("bigint").alias("w"), bit.alias("b"))
+    words = set_.unionByName(keys.sparkSession.range(bits // WORD).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b")))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b"))
+    row = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("words"))  # bits / WORD entries
+    return Level(bits, hashes, seed, materialise(row, "bits"))
+
+
+def build(universe: DataFrame, listed: list[str] | DataFrame) -> list[list[Level]]:
+    """Cascades, one for each part of the list, exact for every ``key`` of ``universe``; its keys may repeat and be null.
+
+    ``listed``: keys, as a list or as a frame with a column ``key``.
+    """
     spark = universe.sparkSession
-    listed = sorted(set(listed))
-    if not listed:
+    inside = listed if isinstance(listed, DataFrame) else spark.createDataFrame([(k,) for k in listed], "key string")
+    inside = materialise(inside.select("key").filter("key is not null").distinct(), "listed")
+    n = inside.count()
+    if not n:
         return []
-    inside = spark.createDataFrame([(k,) for k in listed], "key string")
     total = universe.select(F.approx_count_distinct("key", 0.02)).first()[0]
-    rate = min(0.5, max(1e-9, len(listed) * math.sqrt(0.5) / max(total, 1)))
-    levels = [_level(inside, len(listed), rate, 1)]
-    # those that pass are about as few as the listed keys; the anti join serves the build alone
-    passed = universe.filter(F.col("key").isNotNull() & levels[0].has(F.col("key")))
-    outside = passed.join(F.broadcast(inside), "key", "left_anti").distinct()
-    sides = [outside, inside]
+    rate = min(0.5, max(1e-9, n * math.sqrt(0.5) / max(total, 1)))
+    parts = -(-_bits(n, rate) // MAX_BITS)
+    if parts == 1:
+        return [_cascade(universe, inside, n, rate)]
+    own = [inside.filter(part_of(F.col("key"), parts) == i) for i in range(parts)]
+    return [_cascade(universe.filter(part_of(F.col("key"), parts) == i), x, x.count(), rate) for i, x in enumerate(own)]
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
+
+def _cascade(universe: DataFrame, inside: DataFrame, n: int, rate: float) -> list[Level]:
+    levels = [_level(inside, n, rate, 1)]
+    # those that pass are about as few as the listed keys
+    passed = universe.filter(F.col("key").isNotNull() & levels[0].has(F.col("key"))).select("key", F.lit(False).alias("mine"))
+    told = passed.unionByName(inside.select("key", F.lit(True).alias("mine"))).groupBy("key").agg(F.bool_or("mine").alias("mine"))
+    told = materialise(told, "passed")
+    sides = [told.filter("not mine").select("key"), inside]
     while len(levels) < MAX_LEVELS:
         now = sides[(len(levels) - 1) % 2]
         for k in range((len(levels) + 1) % 2, len(levels), 2):  # of the other side's levels, all let it through
@@ -116,26 +141,48 @@ def is_listed(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def judge(pages: DataFrame, block: list[str], allow: list[str], listed_hosts: list[str]) -> DataFrame:
-    """(page_id, host, path, rule, verdict): the longest rule that fits, else block for listed hosts and their subdomains, else allow."""
+def marked(df: DataFrame, keys: list[str], cascades: list[list[Level]], flags: list[str]) -> DataFrame:
+    """``df`` with a flag for each key column: whether it is listed. Several cascades go one after another, each over a written table."""
+    parts = len(cascades)
+    for f in flags:
+        df = df.withColumn(f, F.lit(False))
+    for i, levels in enumerate(cascades):
+        mine = lambda k: F.col(k).isNotNull() & (part_of(F.col(k), parts) == i if parts > 1 else F.lit(True))  # noqa: B023, E731
+        new = {f: F.when(mine(k), is_listed(F.col(k), levels)).otherwise(F.col(f)) for k, f in zip(keys, flags, strict=True)}
+        df = df.withColumns(new)
+        if parts > 1:
+            df = materialise(df, "marked")
+    return df
+
+
+def judge(pages: DataFrame, block: list[str], allow: list[str], listed_hosts: list[str] | DataFrame) -> DataFrame:
+    """(page_id, host, path, rule, verdict): the longest rule that fits, else block for listed hosts and their subdomains, else allow.
+
+    ``listed_hosts``: a list, or a frame with a column ``host`` (then of one to four labels).
+    """
     host, path = parts(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rules = [*block, *allow]
-    host_rules = [f"{h}/" for h in listed_hosts]
-    keyed = lambda lists: candidate_keys(F.col("host"), F.col("path"), lists)
-    hosts = F.transform(candidate_keys(F.col("host"), F.lit("/"), host_rules), lambda k: k) if host_rules else None
-    universe = base.select(F.explode(keyed(rules)).alias("key"))
-    blocked, allowed = build(universe, block), build(universe, allow)
-    spam = build(base.select(F.explode(hosts).alias("key")), host_rules) if host_rules else []
-    found = base.withColumn("_keys", keyed(rules))
-    # by the longest rule: length, then the key itself
-    hit = F.filter("_keys", lambda k: is_listed(k, blocked) | is_listed(k, allowed))
-    longest = F.reduce(hit, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
-    ruled = found.withColumn("rule", longest)
-    if host_rules:
-        ruled = ruled.withColumn("_spam", F.exists(hosts, lambda k: is_listed(k, spam)))
+    if isinstance(listed_hosts, DataFrame):
+        shapes = ["a/", "a.a/", "a.a.a/", "a.a.a.a/"]
+        spam_list: list[str] | DataFrame = listed_hosts.select(F.concat(F.lower("host"), F.lit("/")).alias("key"))
     else:
-        ruled = ruled.withColumn("_spam", F.lit(False))
-    by_rule = F.when(is_listed(F.col("rule"), blocked), "block").otherwise("allow")
-    verdict = F.when(F.col("rule").isNotNull(), by_rule).when(F.col("_spam"), "block").otherwise("allow")
-    return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+        spam_list = shapes = [f"{h}/" for h in listed_hosts]
+    by_rule = candidate_keys(F.col("host"), F.col("path"), [*block, *allow])
+    by_host = candidate_keys(F.col("host"), F.lit("/"), shapes)
+    rule_keys, host_keys = [f"_r{i}" for i in range(len(by_rule))], [f"_h{i}" for i in range(len(by_host))]
+    every = base.withColumns(dict(zip([*rule_keys, *host_keys], [*by_rule, *by_host], strict=True)))
+    universe = lambda names: every.select(F.explode(F.array(*names)).alias("key")) if names else every.select(F.lit(None).cast("string").alias("key"))
+    of = lambda names, tag: [f"{n}{tag}" for n in names]
+    out = every
+    for names, listed, tag in ((rule_keys, block, "b"), (rule_keys, allow, "a"), (host_keys, spam_list, "s")):
+        out = marked(out, names, build(universe(names), listed) if names else [], of(names, tag))
+    # keys come with the longest host first; the longest rule is the longest key
+    fits = [F.struct(F.length(k).alias("n"), F.col(k).alias("rule"), F.col(f"{k}b").alias("block")) for k in rule_keys]
+    held = [F.when(F.col(f"{k}a") | F.col(f"{k}b"), f) for k, f in zip(rule_keys, fits, strict=True)]
+    none = F.lit(None).cast("struct<n:int,rule:string,block:boolean>")
+    best = F.greatest(none, *held) if len(held) else none
+    spam = F.lit(False)
+    for k in host_keys:
+        spam = spam | F.col(f"{k}s")
+    verdict = F.when(best["rule"].isNotNull(), F.when(best["block"], "block").otherwise("allow")).when(spam, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", best["rule"].alias("rule"), verdict.alias("verdict"))

@@ -1,13 +1,14 @@
 """What the two vector searches share: clean vectors, blocks of queries, running and merged top-k.
 
-Queries go out in blocks of at most about BLOCK rows; each block is broadcast (BLOCK * dimension * 8 bytes) and
-meets every candidate where that is read, so candidates are never shuffled, whatever their distribution. Each
-task returns its own top k of a query, and a window over those rows, few for any query, merges them.
+Queries are written to the shared folder in blocks of about BLOCK rows (BLOCK * dimension * 8 bytes). The driver reads
+one block at a time and sends it with the scan of all candidates, whose rows are never shuffled, whatever their
+distribution; with several blocks, a block's result is written before the next is read. Each task returns its own
+top k of a query, and a window over those rows, few for any query, merges them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BLOCK = 4096
+from .common import materialise
+
+BLOCK = 16_384
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -35,12 +38,14 @@ def clean(df: DataFrame, zero: bool = True) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of each block, by id; a repeated id keeps its smallest vector."""
-    once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = once.count()
-    blocks = -(-n // block)
+    """(ids, matrix) of each block, by id, one at a time; a repeated id keeps its smallest vector."""
+    once = materialise(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    blocks = -(-once.count() // block)
+    if blocks > 1:  # written by block, so that reading one skips the others' files
+        place = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+        once = materialise(once.withColumn("_b", place).repartitionByRange(blocks, "_b"), "blocks")
     for b in range(blocks):
-        rows = once.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()  # about ``block`` rows
+        rows = (once.filter(F.col("_b") == b) if blocks > 1 else once).select("vec_id", "v").orderBy("vec_id").collect()  # about ``block`` rows
         if rows:
             yield np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
 
@@ -70,13 +75,17 @@ class TopK:
         self.least[q[last]] = score[last]
 
 
-def search(candidates: DataFrame, run: Callable[[int], Callable], blocks: int) -> DataFrame:
-    """Union of the blocks' scans."""
-    out = None
-    for b in range(blocks):
-        part = candidates.mapInArrow(run(b), FOUND)
-        out = part if out is None else out.unionByName(part)
-    return candidates.sparkSession.createDataFrame([], FOUND) if out is None else out
+def search(candidates: DataFrame, blocks: Iterable[tuple[np.ndarray, np.ndarray]], run: Callable[[np.ndarray, np.ndarray], Callable]) -> DataFrame:
+    """What the blocks' scans find; only the last block's is not written yet."""
+    out, waiting = None, None
+    for ids, queries in blocks:
+        if waiting is not None:
+            part = materialise(waiting, "found")
+            out = part if out is None else out.unionByName(part)
+        waiting = candidates.mapInArrow(run(ids, queries), FOUND)
+    if waiting is None:
+        return candidates.sparkSession.createDataFrame([], FOUND)
+    return waiting if out is None else out.unionByName(waiting)
 
 
 def batch(top: TopK, ids: np.ndarray) -> pa.RecordBatch:
