@@ -32,10 +32,12 @@ _settled: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; only where that is unset and the master is local (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="weft-shared-"))
         atexit.register(shutil.rmtree, _own_dir[0].removeprefix("file://"), ignore_errors=True)
