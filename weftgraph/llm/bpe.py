@@ -2,9 +2,9 @@
 
 ``split`` cuts every whole text into pre-token words, where it is read, and numbers them: a block (about BLOCK_CHARS of
 text, or one longer text) has one row of its distinct words, and each of its texts one row of word numbers. The blocks'
-words, made distinct over the corpus, are encoded once each (``word_table``). The table is joined to the blocks' words,
-and ids come back to texts by position, block by block: no task sees more than a block, however frequent a word or
-long the corpus. Decoding joins ids to pieces; that table has one entry an id, so its size is the vocabulary's.
+words are dealt by word and sorted, so that all places of a word lie together and it is encoded once for the corpus
+(``coded``); its ids go back to the blocks by position, and block by block to the texts. A task streams a word's places
+and holds no more than a block, however frequent a word or long the corpus. Decoding joins ids to pieces; that table has one entry an id, so its size is the vocabulary's.
 
 A character's class (letter, number, space, other) is asked of the library's own pre-tokenizer once, so words are cut
 as the library cuts them, whatever its Unicode version. Special tokens in a text are cut out first, as the library does.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import batches_by_chars, lean, materialise, small_batches
 
 #: Characters of text and distinct words of a block, and characters that are cut into words at once, about.
-BLOCK_CHARS, BLOCK_WORDS, CHUNK_CHARS = 4_000_000, 100_000, 500_000
+BLOCK_CHARS, BLOCK_WORDS, CHUNK_CHARS = 8_000_000, 150_000, 500_000
 #: Word numbers that are turned into ids at once.
 GATHER = 500_000
 SPLIT = "block bigint, doc_id bigint, codes binary, words array<string>"
@@ -114,6 +114,21 @@ class Splitter:
         return words, np.diff(np.searchsorted(places, np.append(0, ends)))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Word numbers, compressed: those of frequent words are small, as they come early in their blocks."""
+    import zstandard
+
+    # bytes of one weight lie together
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes | None) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if data else np.empty(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel() if len(raw) else np.empty(0, "<i4")
+
+
 class _Block:
     """Distinct words and numbered texts, until it is full."""
 
@@ -167,7 +182,7 @@ def _split(special: dict[str, int]):
             for group in batches_by_chars(sections, CHUNK_CHARS):
                 words, counts = splitter(group)
                 coded += np.split(block.numbers(words), np.cumsum(counts)[:-1])
-            out = [np.concatenate([np.array([i], np.int32) if i < 0 else coded[i] for i in mine] or [np.empty(0, np.int32)]).tobytes() for mine in parts]
+            out = [packed(np.concatenate([np.array([i], np.int32) if i < 0 else coded[i] for i in mine] or [np.empty(0, np.int32)])) for mine in parts]
             n = len(docs)
             return pa.RecordBatch.from_arrays([pa.array([block.number] * n, pa.int64()), pa.array(docs, pa.int64()), pa.array(out, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=["block", "doc_id", "codes", "words"])
 
@@ -193,7 +208,7 @@ def _split(special: dict[str, int]):
 
 
 def split(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """SPLIT rows: for each text (block, doc_id, codes: numbers of its words, as 32-bit integers), for each block its words by number."""
+    """SPLIT rows: for each text (block, doc_id, codes: numbers of its words, packed), for each block its words by number."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_split(special_tokens(tokenizer)), SPLIT)
 
@@ -201,19 +216,32 @@ def split(docs: DataFrame, tokenizer: str) -> DataFrame:
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
+        last: tuple[str | None, bytes] = (None, b"")
         for b in batches:
-            for k in range(0, b.num_rows, 2_000):
-                part = b.column("word").slice(k, 2_000)
-                ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(part.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.binary())], names=["word", "ids"])
+            coded = b.column("word").dictionary_encode()  # sorted: what a batch has of a word lies together
+            words = coded.dictionary.to_pylist()
+            new = [w for w in words if w != last[0]]
+            ids = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
+            if last[0] is not None:
+                ids.setdefault(*last)
+            if words:
+                last = (words[-1], ids[words[-1]])
+            column = pa.array([ids[w] for w in words], pa.binary()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("i"), b.column("word"), column], names=["block", "i", "word", "ids"])
 
     return lean(run)
 
 
-def word_table(parts: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids): each distinct word of split()'s blocks, encoded once."""
-    words = parts.filter("words is not null").select(F.explode("words").alias("word")).distinct()
-    return words.mapInArrow(_encode_words(tokenizer), "word string, ids binary")
+def coded(parts: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, i, word, ids): the words of split()'s blocks by number, with their ids; each distinct word is encoded once."""
+    words = parts.filter("words is not null").select("block", F.posexplode("words").alias("i", "word"))
+    together = words.repartition(F.col("word")).sortWithinPartitions("word")
+    return together.mapInArrow(_encode_words(tokenizer), "block bigint, i int, word string, ids binary")
+
+
+def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(word, ids): the distinct-word table of a corpus."""
+    return coded(split(docs, tokenizer), tokenizer).groupBy("word").agg(F.first("ids").alias("ids"))
 
 
 def pieces(tokenizer: str) -> list[bytes]:
@@ -272,7 +300,7 @@ def _joined(digest: list[bytes] | None, with_ids: bool):
 
         doc, n, raw, of_ids, of_text = [], [], [], [], []
         for d, codes in zip(texts.column("doc_id").to_pylist(), texts.column("codes"), strict=True):
-            numbers = np.frombuffer(codes.as_buffer(), "<i4") if codes.is_valid else np.empty(0, "<i4")
+            numbers = unpacked(codes.as_py())
             one, two, total, kept = hashlib.sha256(), Utf8Digest(), 0, []
             for k in range(0, len(numbers), GATHER):
                 ids = ids_of(numbers[k : k + GATHER])
@@ -315,10 +343,7 @@ class Utf8Digest:
 
 def _encoded(docs: DataFrame, tokenizer: str, digest: list[bytes] | None, with_ids: bool) -> DataFrame:
     parts = materialise(split(docs, tokenizer), "words")
-    table = materialise(word_table(parts, tokenizer), "table")
-    words = parts.filter("words is not null").select("block", F.posexplode("words").alias("i", "word"))
-    # a merge join: the table grows with the corpus, and a word that every block has is a key that Spark can split
-    ids = words.join(table.hint("merge"), "word").select(F.col("block").alias("of_block"), "i", "ids")
+    ids = coded(parts, tokenizer).select(F.col("block").alias("of_block"), "i", "ids")
     texts = parts.filter("words is null").select("block", "doc_id", "codes")
     schema = "doc_id bigint, n_tokens bigint" + (", ids binary" if with_ids else "") + (", ids_sha256 string, decoded_sha256 string" if digest is not None else "")
     return texts.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_joined(digest, with_ids), schema)
