@@ -1,11 +1,15 @@
-"""Class hierarchies: from name structure, cleaned of cycles, with inherited properties; and name fragments.
+"""Class hierarchies: from name structure and from enumerations, cleaned of cycles, with inherited properties; and name fragments.
 
-A schema is small (MAX_EDGES, checked), so what needs an order over all its edges runs on the driver; what runs
-over instances is joins.
+What needs an order over edges is the breaking of circles alone. Edges that lie in no circle are told by joins, level by
+level; only the rest, few in a sound schema, is ordered on the driver (MAX_EDGES, checked).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby, pairwise
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,42 +17,66 @@ from pyspark.sql import Window as W
 from weftgraph.functions import text as T
 from weftgraph.operators.facts import COVERAGE_FROM, MAX_COVERAGE
 from weftgraph.schemas import LAYOUT, Graph, conform
+from weftgraph.session import settle
+from weftgraph.sources.grids import prose_only
+
+#: Edges within circles that are ordered on the driver, at most, and edges that go there at once, without a look for circles.
+MAX_EDGES, FEW_EDGES = 200_000, 20_000
+
 
-MAX_EDGES = 200_000
+def in_circles(edges: DataFrame) -> DataFrame:
+    """The edges (parent, child, ord) that are left when those from or to a name without another end go, again and again."""
+    n = edges.count()
+    while True:
+        inner = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        inner = inner.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child", "ord")
+        edges = settle(inner, "circles")
+        left = edges.count()
+        if left == n:
+            return edges
+        n = left
 
 
-def _schema_rows(df: DataFrame) -> list:
-    rows = df.limit(MAX_EDGES + 1).collect()
+def _ordered(edges: DataFrame) -> list:
+    rows = edges.limit(MAX_EDGES + 1).collect()
     if len(rows) > MAX_EDGES:
-        raise ValueError(f"over {MAX_EDGES} schema edges: instances must have been taken for classes")
-    return rows
+        raise ValueError(f"over {MAX_EDGES} edges within circles: instances must have been taken for classes")
+    return sorted(rows, key=lambda r: (r["ord"], r["parent"], r["child"]))
 
 
-def clean_hierarchy(g: Graph) -> Graph:
+def breakers(rows: list) -> set[tuple[str, str, int]]:
+    """Of edges in order, those that repeat one or close a circle of edges before them."""
+    up: dict[str, set[str]] = {}
+    out = set()
+    for r in rows:
+        p, c = r["parent"], r["child"]
+        above, todo = set(), [p]
+        while todo:
+            x = todo.pop()
+            if x not in above:
+                above.add(x)
+                todo += up.get(x, ())
+        if c in above or p in up.get(c, ()):
+            out.add((p, c, r["ord"]))
+        else:
+            up.setdefault(c, set()).add(p)
+    return out
+
+
+def clean_hierarchy(g: Graph, few: int = FEW_EDGES) -> Graph:
     """Edges between classes, without loops and repeats; in order, an edge that closes a circle goes. A class's parent is its last."""
     names = g.classes.select("name").distinct()
     edges = g.hierarchy.join(names.withColumnRenamed("name", "parent"), "parent", "left_semi").join(names.withColumnRenamed("name", "child"), "child", "left_semi")
-    up: dict[str, set[str]] = {}
-    kept, last = [], {}
-    for r in sorted(_schema_rows(edges.filter("parent <> child").select("parent", "child", "ord")), key=lambda r: r["ord"]):
-        p, c = r["parent"], r["child"]
-        if p in up.get(c, ()):
-            continue
-        stack, seen = [p], set()
-        while stack and c not in seen:
-            x = stack.pop()
-            if x not in seen:
-                seen.add(x)
-                stack += up.get(x, ())
-        if c in seen:
-            continue
-        up.setdefault(c, set()).add(p)
-        last[c] = p
-        kept.append((p, c, r["ord"]))
-    spark = g.spark
-    parents = spark.createDataFrame(sorted(last.items()), "name string, _p string")
+    once = edges.filter("parent <> child").groupBy("parent", "child").agg(F.min("ord").alias("ord"))
+    once = settle(once, "edges")
+    gone = breakers(_ordered(once if once.limit(few + 1).count() <= few else in_circles(once)))
+    kept = once
+    if gone:  # a row for each circle
+        kept = once.join(F.broadcast(g.spark.createDataFrame(sorted(gone), LAYOUT["hierarchy"])), ["parent", "child", "ord"], "left_anti")
+    kept = settle(conform(kept, "hierarchy"), "hierarchy")
+    parents = kept.groupBy(F.col("child").alias("name")).agg(F.max_by("parent", "ord").alias("_p"))
     classes = g.classes.join(parents, "name", "left").withColumn("parent", F.col("_p"))
-    return g.with_(hierarchy=spark.createDataFrame(kept, LAYOUT["hierarchy"]), classes=conform(classes, "classes"))
+    return g.with_(hierarchy=kept, classes=conform(classes, "classes"))
 
 
 def fix_self_typed(g: Graph) -> Graph:
@@ -60,15 +88,17 @@ def fix_self_typed(g: Graph) -> Graph:
 
 
 def closure(hierarchy: DataFrame) -> DataFrame:
-    """(descendant, ancestor, depth), the shortest way, by a recursive query; circles end."""
-    view = "_weft_edges"
-    hierarchy.filter("parent <> child").select("parent", "child").distinct().createOrReplaceTempView(view)
-    return hierarchy.sparkSession.sql(f"""
-        WITH RECURSIVE up(descendant, ancestor, depth) AS (
-            SELECT child, parent, 1 FROM {view}
-            UNION ALL
-            SELECT u.descendant, e.parent, u.depth + 1 FROM up u JOIN {view} e ON e.child = u.ancestor WHERE u.depth < 64
-        ) SELECT descendant, ancestor, min(depth) AS depth FROM up WHERE descendant <> ancestor GROUP BY descendant, ancestor""")
+    """(descendant, ancestor, depth), the shortest way, level by level until a level has nothing new; circles end by that."""
+    edges = settle(hierarchy.filter("parent <> child").select("parent", "child").distinct(), "edges")
+    fresh = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    seen, depth = fresh, 1
+    up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("_next"))
+    while fresh.limit(1).count():
+        depth += 1
+        wider = fresh.join(up, "ancestor").select("descendant", F.col("_next").alias("ancestor")).distinct().filter("descendant <> ancestor")
+        fresh = settle(wider.join(seen, ["descendant", "ancestor"], "left_anti").select("descendant", "ancestor", F.lit(depth).alias("depth")), "level")
+        seen = seen.unionByName(fresh)
+    return seen
 
 
 def inherit_properties(g: Graph) -> Graph:
@@ -135,14 +165,76 @@ def induce_hierarchy(g: Graph, hearst: DataFrame | None = None) -> Graph:
     return clean_hierarchy(g.with_(classes=classes, instances=instances, relations=relations, hierarchy=hierarchy))
 
 
+# The noun that ends an enumeration, tags of its separators and of brackets, and "related to".
+ETC, SEPARATORS, OPENING, CLOSING, RELATED_NOUN, WITH = ("등", "NNB"), frozenset(("SP", "MAG")), "SSO", "SSC", "관련", frozenset(("와", "과"))
+ENUMERATED, NAME_CHARS = frozenset(("NNG", "NNP", "SL", "SN")), (2, 20)
+
+
+def hearst_pairs(text: str | None, morphology: T.Morphology) -> list[tuple[str, str]]:
+    """(hyponym, hypernym) of "A, B etc. C": the nouns before the word, in one line, are kinds of the noun after it.
+
+    Not within brackets, where it is a title's; not if the noun after it makes a verb or an adjective, or is followed by "related to".
+    """
+    if morphology.analyze is None or ETC[0] not in (text or ""):
+        return []
+    tokens, opened, inside = morphology.tokens(text), [], set()
+    for i, t in enumerate(tokens):  # a bracket that nothing closes opens nothing
+        if t.tag == OPENING:
+            opened.append(i)
+        elif t.tag == CLOSING and opened:
+            inside |= set(range(opened.pop(), i))
+    line = list(accumulate(("\n" in text[a.end : b.start] for a, b in pairwise(tokens)), initial=0))
+    name = lambda ts: "".join(t.form for t in ts)
+    fits = lambda s: NAME_CHARS[0] <= len(s) <= NAME_CHARS[1] and T.is_name_shape(s)
+    tag = lambda i: tokens[i].tag if i < len(tokens) else ""
+    out = []
+    for i, t in enumerate(tokens):
+        if (t.form, t.tag) != ETC or i in inside:
+            continue
+        start = next((k for k in range(i + 1, len(tokens)) if not tokens[k].tag.startswith("J")), len(tokens))
+        end = next((k for k in range(start, len(tokens)) if tokens[k].tag not in ENUMERATED or line[k] != line[start]), len(tokens))
+        hypernym = name(tokens[start:end])
+        about = end + 1 < len(tokens) and tokens[end].form in WITH and tag(end).startswith("J") and tokens[end + 1].form == RELATED_NOUN
+        if not fits(hypernym) or tag(end) in T.DERIVED or about:
+            continue
+        begin = next((k + 1 for k in range(i - 1, -1, -1) if tokens[k].tag not in ENUMERATED | SEPARATORS or line[k] != line[i]), 0)
+        for noun, group in groupby(tokens[begin:i], key=lambda x: x.tag in ENUMERATED):
+            hyponym = name(group)
+            if noun and fits(hyponym) and hyponym != hypernym:
+                out.append((hyponym, hypernym))
+    return out
+
+
+def extract_hearst_pairs(chunks: DataFrame, morphology: Callable[[], T.Morphology]) -> DataFrame:
+    """(id, hyponym, hypernym) of the prose of chunks (id, text); texts without the enumerating noun are not sent to Python."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = morphology()
+        for pdf in batches:
+            rows = [(i, *pair) for i, t in zip(pdf["id"], pdf["text"], strict=True) for pair in hearst_pairs(prose_only(t), m)]
+            yield pd.DataFrame(rows, columns=["id", "hyponym", "hypernym"])
+
+    return chunks.select("id", "text").filter(F.contains("text", F.lit(ETC[0]))).mapInPandas(run, "id string, hyponym string, hypernym string")
+
+
 def hearst_hierarchy(pairs: DataFrame, texts: DataFrame, min_hyponyms: int = 2, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """(parent, child) of an analyzer's pairs (hypernym, hyponym, id): parents of enough children, not in too many texts, the best one each."""
+    """(parent, child) of pairs (id, hyponym, hypernym) over texts (id, text): hypernyms that not too many texts hold; a hypernym that
+    begins with another one is that; those with enough hyponyms, and of a child's the one with most."""
     n = max(1, texts.count())
-    ok = pairs.filter("hypernym <> hyponym and not contains(hypernym, hyponym) and not contains(hyponym, hypernym)")
-    parents = ok.groupBy("hypernym").agg(F.countDistinct("hyponym").alias("k"), F.countDistinct("id").alias("c")).filter((F.col("k") >= min_hyponyms) & (F.col("c") / n <= max_coverage))
-    votes = ok.join(parents.select("hypernym"), "hypernym", "left_semi").groupBy("hyponym", "hypernym").agg(F.count("*").alias("v"), F.min("id").alias("first"))
-    w = W.partitionBy("hyponym").orderBy(F.desc("v"), "first", "hypernym")
-    return votes.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(F.col("hypernym").alias("parent"), F.col("hyponym").alias("child"))
+    pairs = settle(pairs.select("hyponym", "hypernym").distinct(), "pairs")
+    names = pairs.select("hypernym").distinct()
+    # a text that holds a name holds its first two signs there: they meet by these, then are compared
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(2))))
+    starts = names.select(F.substring("hypernym", 1, 2).alias("g"), "hypernym")
+    held = texts.select("id", "text", F.explode(grams).alias("g")).join(starts, "g").filter(F.contains("text", F.col("hypernym"))).groupBy("hypernym").agg(F.countDistinct("id").alias("c"))
+    wide = held.filter(F.col("c") / n > max_coverage).select("hypernym")
+    fine = names.join(wide, "hypernym", "left_anti")
+    heads = fine.select("hypernym", F.explode(F.transform(F.sequence(F.lit(1), F.length("hypernym")), lambda k: F.substr(F.col("hypernym"), F.lit(1), k))).alias("parent"))
+    parent = heads.join(fine.select(F.col("hypernym").alias("parent")), "parent").groupBy("hypernym").agg(F.min_by("parent", F.length("parent")).alias("parent"))
+    told = settle(pairs.join(parent, "hypernym").select("parent", F.col("hyponym").alias("child")).distinct(), "told")
+    enough = told.groupBy("parent").agg(F.count("*").alias("k")).filter(F.col("k") >= min_hyponyms)
+    votes = told.join(enough, "parent").filter(~F.contains("child", F.col("parent")) & ~F.contains("parent", F.col("child")))
+    return votes.groupBy("child").agg(F.min_by("parent", F.struct(-F.col("k"), "parent")).alias("parent")).select("parent", "child")
 
 
 def fragment_renames(names: DataFrame, chunks_of: DataFrame, linked: DataFrame) -> DataFrame:
@@ -164,6 +256,39 @@ def fragment_renames(names: DataFrame, chunks_of: DataFrame, linked: DataFrame)
     return flatten_renames(best.select(F.col("frag").alias("name"), F.col("m.holder").alias("canonical")))
 
 
-def prune_common_words(names: DataFrame, linked: DataFrame, is_common) -> DataFrame:  # noqa: ANN001
-    """Unlinked names of 2 to 8 characters that an analyzer (a boolean column function) calls common."""
-    return names.filter("length(name) between 2 and 8").join(linked, "name", "left_anti").filter(is_common(F.col("name")))
+def common_words(names: DataFrame, linked: DataFrame, morphology: Callable[[], T.Morphology], rank: int = T.COMMON_RANK) -> DataFrame:
+    """(name) of unlinked names of 2 to 8 characters that are one common noun of an analyzer's dictionary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = morphology()
+        for pdf in batches:
+            yield pdf[[m.common(n, rank) for n in pdf["name"]]]
+
+    short = names.select("name").distinct().filter("length(name) between 2 and 8").join(linked, "name", "left_anti")
+    return short.mapInPandas(run, "name string")
+
+
+def linked_names(g: Graph) -> DataFrame:
+    """(name) of ends of relations and of entities with values."""
+    ends = g.relations.select(F.explode(F.array("subject", "object")).alias("name")).unionByName(g.data_values.select(F.col("entity").alias("name")))
+    return ends.filter("coalesce(name, '') <> ''").distinct()
+
+
+def without_names(g: Graph, names: DataFrame) -> Graph:
+    """Without instances of these names and what is said of them."""
+    cut = lambda df, c: df.join(names.select(F.col("name").alias(c)), c, "left_anti").select(*df.columns)
+    return g.with_(instances=cut(g.instances, "name"), relations=cut(cut(g.relations, "subject"), "object"), data_values=cut(g.data_values, "entity"))
+
+
+def prune_common_words(g: Graph, morphology: Callable[[], T.Morphology], rank: int = T.COMMON_RANK) -> Graph:
+    return without_names(g, settle(common_words(g.instances, linked_names(g), morphology, rank), "common"))
+
+
+def fold_fragments(g: Graph) -> Graph:
+    """Instances whose names are fragments of others' become these; their chunks go along."""
+    from weftgraph.operators.normalize import rename_names
+
+    chunks_of = g.instances.select("name", F.explode("source_chunks").alias("chunk_id")).distinct()
+    names = g.instances.select("name").distinct()
+    renames = settle(fragment_renames(names, chunks_of, linked_names(g)), "fragments")
+    return rename_names(g, renames) if renames.limit(1).count() else g

@@ -151,8 +151,10 @@ def normalize_graph(g: Graph, structural: tuple[str, ...] = (), relabelled: bool
 
 def merge(into: Graph, new: Graph) -> Graph:
     """Both graphs; classes and properties by name (a property's domain doesn't count), the first record holds."""
-    later = new.map(lambda kind, df: df.withColumn("ord", F.col("ord") + (1 << 61)) if "ord" in df.columns else df)
-    both = Graph(**{k: conform(getattr(into, k), k).unionByName(conform(getattr(later, k), k)) for k in into.__dataclass_fields__})
+    half = F.least(F.shiftright(F.greatest("ord", F.lit(0)), 1), F.lit((1 << 61) - 1))  # room for both, however often graphs are merged
+    put = lambda g, first: g.map(lambda kind, df: df.withColumn("ord", half if first else half + (1 << 61)) if "ord" in df.columns else df)
+    one, two = put(into, True), put(new, False)
+    both = Graph(**{k: conform(getattr(one, k), k).unionByName(conform(getattr(two, k), k)) for k in into.__dataclass_fields__})
     return both.with_(
         classes=first(both.classes, "name"), object_props=first(both.object_props, "name"), data_props=first(both.data_props, "name"),
         hierarchy=first(both.hierarchy, "parent", "child"), chunks=both.chunks.dropDuplicates(["id"]), enriched=both.enriched.distinct(),

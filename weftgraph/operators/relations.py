@@ -17,10 +17,12 @@ from pyspark.sql import Window as W
 
 from weftgraph.functions import scores
 from weftgraph.functions import text as T
-from weftgraph.functions.llm_json import parse_json_lenient
+from weftgraph.functions.llm_json import Answer, invoke_json, invoke_json_meta
 from weftgraph.functions.values import schema_max_items
+from weftgraph.operators.facts import build_units
+from weftgraph.schemas import place
 
-Model = Callable[[str, str], str]  # (prompt, system) -> answer
+Model = Callable[[str, str], str]  # (prompt, system) -> answer; llm_json.invoke_json_meta names what else it may offer
 CHARS, DEPTH, MAX_VOCABULARY, GROUP = 10_000, 3, 120, 300
 FOUND = "doc string, chunk_id string, subject string, predicate string, object string, label string"
 
@@ -93,23 +95,41 @@ def plan_batches(units: list[Unit], budget: int = CHARS, answers: int = 60) -> l
     return out
 
 
-def classify(model: Model, units: list[Unit], domain: str, vocabulary: dict[str, str], depth: int = DEPTH) -> list[tuple[Unit, str, str, str]]:
+@dataclass
+class Costs:
+    """What answers cost, learned as they come: a moving mean of tokens an item and of items a unit. One a task: it sizes its next batches."""
+
+    max_tokens: int = 4096
+    per_item: float = 0.0
+    per_unit: float = 0.0
+
+    def note(self, answer: Answer, items: int, units: int) -> None:
+        mean = lambda old, new: new if not old else 0.7 * old + 0.3 * new
+        if items and answer.out_tokens and not answer.truncated:
+            self.per_item = mean(self.per_item, answer.out_tokens / items)
+        if units and not answer.failed:
+            self.per_unit = mean(self.per_unit, items / units)
+        if answer.truncated:  # what came was not all: assume more
+            self.per_item = max(self.per_item, self.max_tokens / max(items, 1) if items else self.per_item)
+
+    def most_items(self) -> int:
+        return schema_max_items(self.max_tokens, self.per_item)
+
+
+def classify(model: Model, units: list[Unit], domain: str, vocabulary: dict[str, str], depth: int = DEPTH, costs: Costs | None = None) -> list[tuple[Unit, str, str, str]]:
     """A batch's relations. An answer that was cut is kept and its units asked again in halves; an empty one is asked once more."""
+    costs = costs or Costs()
     system = "Name the relations between the numbered mentions of each text. Answer as JSON."
     for _ in range(2):
-        try:
-            raw = model(relation_prompt(units, domain, vocabulary), system)
-        except Exception:
-            raw = ""
-        answer = parse_json_lenient(raw)
-        found = parse_relations(units, answer, set(vocabulary) or None)
-        cut = bool(raw.strip()) and not raw.rstrip().rstrip("`").rstrip().endswith(("}", "]"))
-        if cut and depth and len(units) > 1:
+        answer = invoke_json_meta(model, system, relation_prompt(units, domain, vocabulary), relation_schema(costs.max_tokens, costs.per_item), costs.max_tokens)
+        found = parse_relations(units, answer.value, set(vocabulary) or None)
+        costs.note(answer, len(answer.value.get("relations") or []), len(units))
+        if answer.truncated and depth and len(units) > 1:
             half = len(units) // 2
-            rest = classify(model, units[:half], domain, vocabulary, depth - 1) + classify(model, units[half:], domain, vocabulary, depth - 1)
+            rest = [r for part in (units[:half], units[half:]) for r in classify(model, part, domain, vocabulary, depth - 1, costs)]
             known = {(id(u), s, p, o) for u, s, p, o in found}
             return found + [r for r in rest if (id(r[0]), *r[1:]) not in known]
-        if found or answer.get("relations"):
+        if found or answer.value.get("relations"):
             return found
     return []
 
@@ -132,10 +152,10 @@ class RelationFormer:
         sample = [Unit(r["doc"], r["chunk_id"], r["text"], list(r["mentions"])) for r in rows]
         if not sample:
             return {}
-        answer = parse_json_lenient(self.client()(relation_prompt(sample, self.domain, {}), "Define predicates for these relations as JSON: predicates, each with name and description."))
+        answer = invoke_json(self.client(), "Define predicates for these relations as JSON: predicates, each with name and description.", relation_prompt(sample, self.domain, {}))
         found = {str(p.get("name", "")).strip(): str(p.get("description") or "") for p in answer.get("predicates") or [] if isinstance(p, dict)}
         good = {n: d for n, d in found.items() if n and n.replace("_", "").isalnum() and n.isascii()}
-        return dict(sorted(good.items())[:MAX_VOCABULARY])
+        return dict(list(good.items())[:MAX_VOCABULARY])  # the first ones, in the model's order: the feature's limit
 
     def extract(self, units: DataFrame, vocabulary: dict[str, str] | None = None) -> DataFrame:
         """FOUND rows of units (doc, chunk_id, unit, text, is_row, mentions, heads); documents come in groups, whole or in part."""
@@ -143,11 +163,12 @@ class RelationFormer:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = client()
+            costs = Costs()
             for pdf in batches:
                 items = [Unit(r.doc, r.chunk_id, r.text, list(r.mentions), bool(r.is_row), dict(r.heads or {})) for r in pdf.itertuples()]
                 rows = []
-                for part in plan_batches(items, budget):
-                    rows += [(u.doc, u.chunk_id, s, p, o, (u.heads.get(o) or u.heads.get(s)) if u.is_row else None) for u, s, p, o in classify(model, part, domain, words)]
+                for part in plan_batches(items, budget, costs.most_items()):
+                    rows += [(u.doc, u.chunk_id, s, p, o, (u.heads.get(o) or u.heads.get(s)) if u.is_row else None) for u, s, p, o in classify(model, part, domain, words, costs=costs)]
                 yield pd.DataFrame(rows, columns=["doc", "chunk_id", "subject", "predicate", "object", "label"])
 
         cols = ["doc", "chunk_id", "unit", "text", "is_row", "mentions", "heads"]
@@ -162,6 +183,22 @@ class RelationFormer:
         return ranked.join(k).filter("_n <= k").select("predicate")
 
 
+# Other names that models give to an answer's members, and to those of its items.
+KEYS = {"class": "classes", "concepts": "classes", "클래스": "classes", "entity": "entities", "instance": "entities", "instances": "entities", "개체": "entities", "relation": "relations", "관계": "relations", "attributes": "data_values", "values": "data_values", "속성": "data_values"}
+ITEM_KEYS = {"entity": "name", "type": "class", "class_name": "class", "head": "subject", "tail": "object", "relation": "predicate", "attribute": "property"}
+
+
+def normalized_keys(answer: dict) -> dict:
+    """An answer under the names that the schema has."""
+    out: dict = {}
+    for k, items in answer.items():
+        kind = KEYS.get(k.strip().lower(), k.strip().lower())
+        rename = {a: b for a, b in ITEM_KEYS.items() if not (kind == "data_values" and a == "entity")}
+        rows = [{rename.get(x, x): v for x, v in i.items()} if isinstance(i, dict) else {"name": i} for i in items] if isinstance(items, list) else []
+        out[kind] = out.get(kind, []) + rows
+    return out
+
+
 class DocumentExtractor:
     """Classes, entities, relations and values of chunks in one answer each batch; a batch that fails is halved."""
 
@@ -174,10 +211,7 @@ class DocumentExtractor:
 
         def ask(model: Model, part: list[tuple[str, str]], depth: int) -> list[tuple]:
             body = "\n\n".join(f"[{i}] {t}" for i, (_, t) in enumerate(part, 1))
-            try:
-                got = parse_json_lenient(model(body, "Extract classes, entities, relations and data_values as JSON.\n" + json.dumps(extraction_schema())))
-            except Exception:
-                got = {}
+            got = normalized_keys(invoke_json(model, "Extract classes, entities, relations and data_values as JSON.\n" + json.dumps(extraction_schema()), body, extraction_schema()))
             if not got and depth and len(part) > 1:
                 h = len(part) // 2
                 return ask(model, part[:h], depth - 1) + ask(model, part[h:], depth - 1)
@@ -196,8 +230,7 @@ class DocumentExtractor:
             ents = [e for e in got.get("entities") or [] if isinstance(e, dict)]
             selfs = sum(e.get("name") == e.get("class") for e in ents)
             if ents and 2 * selfs >= len(ents):
-                again = parse_json_lenient(model(body, "The class of an entity is its kind, not its name. Extract again as JSON."))
-                return again or got
+                return normalized_keys(invoke_json(model, "The class of an entity is its kind, not its name. Extract again as JSON.", body)) or got
             return got
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,9 +249,16 @@ class DocumentExtractor:
 
         return chunks.select("id", "text").mapInPandas(run, "chunk_id string, kind string, a string, b string, c string")
 
-    def tables(self, found: DataFrame) -> dict[str, DataFrame]:
-        """Layout tables; a value that is an entity is a relation, and the other way round a relation to no entity a value."""
-        at = lambda *c: F.xxhash64(*c).alias("ord")
+    def extract_relations(self, chunks: DataFrame, labels: DataFrame, vocabulary: dict[str, str] | None = None, domain: str = "") -> DataFrame:
+        """Relations alone, between known labels (chunk_id, labels) of chunks: FOUND rows, by a RelationFormer of the same model."""
+        return RelationFormer(self.client, domain, self.budget).extract(build_units(chunks, labels), vocabulary)
+
+    def tables(self, found: DataFrame, morphology: Callable[[], T.Morphology] = lambda: T.NO_MORPHOLOGY) -> dict[str, DataFrame]:
+        """Layout tables; names that read like sentences are shortened to the nouns they begin with; a value that is an entity
+        is a relation, and the other way round a relation to no entity a value."""
+        if morphology().analyze is not None:
+            found = shortened(found, morphology)
+        at = lambda *c: place(*c).alias("ord")
         ch = F.array_sort(F.collect_set("chunk_id")).alias("source_chunks")
         ent = found.filter("kind = 'entity'").groupBy("a", "b").agg(ch).select(F.col("a").alias("name"), F.coalesce("b", F.lit("")).alias("class_name"), F.lit("").alias("identity"), "source_chunks", at("a", "b"))
         names = ent.select("name").distinct()
@@ -232,6 +272,31 @@ class DocumentExtractor:
         return {"classes": cls, "instances": ent, "relations": rel, "data_values": val}
 
 
+def shortened(found: DataFrame, morphology: Callable[[], T.Morphology]) -> DataFrame:
+    """Rows with the names of entities, and of relations' and values' ends, as T.Morphology.shortened() has them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = morphology()
+        for pdf in batches:
+            ends = {"entity": ("a",), "relation": ("a", "c"), "value": ("a",)}
+            for kind, cols in ends.items():
+                for c in cols:
+                    at = (pdf["kind"] == kind) & pdf[c].notna()
+                    pdf.loc[at, c] = pdf.loc[at, c].map(m.shortened)
+            yield pdf
+
+    return found.mapInPandas(run, found.schema)
+
+
+def class_synonyms(classes: DataFrame, client: Callable[[], Model], most: int = 500) -> DataFrame:
+    """(name, canonical) of classes that a model calls synonyms: asked once about three classes at least and ``most``, the feature's limit, at most."""
+    names = [r["name"] for r in classes.filter("coalesce(name, '') <> ''").groupBy("name").agg(F.min("ord").alias("ord")).orderBy("ord", "name").limit(most).collect()]
+    answer = invoke_json(client(), "Which of these classes mean the same? Answer as a JSON object of name to the name to keep.", "\n".join(names)) if len(names) >= 3 else {}
+    known = set(names)
+    pairs = sorted((a, b) for a, b in answer.items() if isinstance(b, str) and a in known and b in known and a != b)
+    return classes.sparkSession.createDataFrame(pairs, "name string, canonical string")
+
+
 def translate_names(names: DataFrame, client: Callable[[], Model], cache: DataFrame, batch: int = 50) -> DataFrame:
     """(name, translation): cached ones, and the rest asked in batches."""
 
@@ -241,7 +306,7 @@ def translate_names(names: DataFrame, client: Callable[[], Model], cache: DataFr
             todo, rows = sorted(pdf["name"]), []
             for k in range(0, len(todo), batch):
                 part = todo[k : k + batch]
-                got = parse_json_lenient(model("\n".join(part), "Translate each name into English. Answer as a JSON object of name to translation."))
+                got = invoke_json(model, "Translate each name into English. Answer as a JSON object of name to translation.", "\n".join(part))
                 rows += [(n, str(got[n])) for n in part if got.get(n)]
             yield pd.DataFrame(rows, columns=["name", "translation"])
 

@@ -27,6 +27,7 @@ class Table:
     label: str = ""
     fks: list[dict] = field(default_factory=list)  # from_column, to_table, to_column
     source_id: str | None = None  # of declared rows: each is its own source, with an identity
+    chunk: str | None = None  # a column that names the chunk each row is from, which then is its source
 
 
 def class_name(table: str) -> str:
@@ -98,7 +99,7 @@ def build(spark: SparkSession, tables: list[Table], skip_facts: bool = True, siz
             place += 1
         foreign = {fk["from_column"] for fk in t.fks}
         for f in t.rows.schema.fields:
-            if f.name not in foreign:
+            if f.name not in foreign and f.name != t.chunk:
                 data_props.append((f.name, class_name(t.name), V.xsd_type_of(f.dataType), f.name, place))
                 place += 1
         fact = skip_facts and t.source_id is None and is_fact(t.name, count, all_fks)
@@ -108,13 +109,13 @@ def build(spark: SparkSession, tables: list[Table], skip_facts: bool = True, siz
     for n, (name, rows) in enumerate(labelled.items()):
         t = by_name[name]
         cls = class_name(name)
-        chunk = F.array(row_source(t.source_id or name, F.col(t.key) if t.key else None, F.col("_i")))
+        chunk = F.array(F.col(t.chunk) if t.chunk else row_source(t.source_id or name, F.col(t.key) if t.key else None, F.col("_i")))
         ident = F.when(F.trim(F.coalesce(F.col(t.key), F.lit(""))) != "", identity_key(F.lit(t.source_id), t.key, F.col(t.key))).otherwise("") if t.source_id and t.key else F.lit("")
         base = F.lit(n << 40).cast("bigint") + F.col("_i")
         instances.append(rows.select(F.col("_label").alias("name"), F.lit(cls).alias("class_name"), ident.alias("identity"), chunk.alias("source_chunks"), base.alias("ord")))
         kinds = {f.name: V.xsd_type_of(f.dataType) for f in t.rows.schema.fields}
         foreign = {fk["from_column"] for fk in t.fks}
-        own = [c for c in kinds if c not in foreign and c not in (t.key, t.label)]
+        own = [c for c in kinds if c not in foreign and c not in (t.key, t.label, t.chunk)]
         if own:
             cells = F.array(*[F.struct(F.lit(c).alias("property"), F.trim(F.coalesce(F.col(c), F.lit(""))).alias("value"), F.lit(kinds[c]).alias("value_type")) for c in own])
             long = rows.select("_label", chunk.alias("source_chunks"), base.alias("_o"), F.posexplode(cells).alias("_p", "x")).filter("x.value <> ''")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from weftgraph.functions import text as T
 from weftgraph.operators import cluster, facts, govern, hierarchy, normalize, profile, quality, relations, star
 from weftgraph.operators.community import detect_communities
 from weftgraph.operators.retract import retract_chunks
-from weftgraph.schemas import Graph, conform, empty, graph, settled
+from weftgraph.schemas import Graph, conform, empty, graph, place, settled
+from weftgraph.session import settle
 from weftgraph.sources import documents as D
 from weftgraph.sources import grids, rdf
 from weftgraph.streaming.sync import diff_rows
@@ -20,9 +21,37 @@ from weftgraph.streaming.sync import diff_rows
 STRUCTURAL = (T.RELATED, normalize.LEGACY_RELATED, "sameAs")
 
 
+@dataclass
+class BuildReport:
+    """Counts of a build, and what its stages did."""
+
+    mode: str = "basic"
+    classes: int = 0
+    object_properties: int = 0
+    data_properties: int = 0
+    instances: int = 0
+    relations: int = 0
+    data_values: int = 0
+    chunks: int = 0
+    renamed: int = 0
+    predicates_merged: int = 0
+    folded: int = 0
+    pruned: int = 0
+    notes: list[str] = field(default_factory=list)
+
+    def count(self, g: Graph) -> BuildReport:
+        for k, v in normalize.stats(g).first().asDict().items():
+            setattr(self, k, v)
+        return self
+
+
 @dataclass
 class GraphBuilder:
-    """mode: basic (rules alone), enrich (a model names relations), llm (a model extracts)."""
+    """mode: basic (rules alone), enrich (a model names relations), llm (a model extracts).
+
+    With an analyzer (``morphology``), prose gives names, values and enumerations, and common words go. ``report`` holds
+    the last build's counts, which ``with_report`` asks for; ``check`` is called between stages and may raise.
+    """
 
     spark: SparkSession
     mode: str = "basic"
@@ -35,6 +64,11 @@ class GraphBuilder:
     chunk: bool = True
     max_coverage: float = facts.MAX_COVERAGE
     domain: str = ""
+    fold: bool = True
+    common_rank: int = T.COMMON_RANK
+    with_report: bool = False
+    report: BuildReport = field(default_factory=BuildReport)
+    check: Callable[[], None] = lambda: None
 
     # documents
 
@@ -47,7 +81,7 @@ class GraphBuilder:
             if self.client is None:
                 raise ValueError("mode llm needs a client")
             ex = relations.DocumentExtractor(self.client)
-            g = graph(self.spark, chunks=chunks, **ex.tables(ex.extract(chunks)))
+            g = graph(self.spark, chunks=chunks, **ex.tables(settle(ex.extract(chunks), "extracted"), self.morphology))
         else:
             prose = chunks.filter(~D.is_table_file(F.col("doc")))
             g = graph(self.spark, chunks=chunks, **facts.extract(prose, self.max_coverage, 1, self.morphology))
@@ -60,17 +94,33 @@ class GraphBuilder:
                 raise ValueError("mode enrich needs a client")
             former = relations.RelationFormer(self.client, self.domain)
             units = facts.build_units(chunks, facts.labels_by_chunk(g.classes, g.instances))
-            words = former.define_vocabulary(units)
-            found = former.extract(units, words)
+            units = settle(units, "units")
+            found, words = self._enriched(former, units, chunks)
             new = found.groupBy("subject", "predicate", "object").agg(F.max("label").alias("label"), F.array_sort(F.collect_set("chunk_id")).alias("source_chunks"))
-            rel = new.select("subject", "predicate", "object", F.lit("ObjectProperty").alias("predicate_type"), "label", F.lit(1.0).alias("weight"), "source_chunks", F.xxhash64("subject", "predicate", "object").alias("ord"))
+            rel = new.select("subject", "predicate", "object", F.lit("ObjectProperty").alias("predicate_type"), "label", F.lit(1.0).alias("weight"), "source_chunks", place("subject", "predicate", "object").alias("ord"))
             ops = self.spark.createDataFrame([(n, "", "", d, i) for i, (n, d) in enumerate(sorted(words.items()))], "name string, domain string, range string, description string, ord bigint")
             g = g.with_(relations=g.relations.unionByName(conform(rel, "relations")), object_props=g.object_props.unionByName(ops), enriched=units.select("chunk_id").distinct())
         return g
 
+    def _enriched(self, former: relations.RelationFormer, units: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+        """Relations of all units, group by group of whole documents: what a group's relations add to the vocabulary, the next group is asked with."""
+        words = former.define_vocabulary(units)
+        groups = settle(relations.group_documents(chunks), "groups")
+        several = groups.agg(F.max("grp")).first()[0] or 0
+        found = None
+        for k in range(several + 1):
+            self.check()
+            part = units.join(groups.filter(F.col("grp") == k).select("doc"), "doc", "left_semi") if several else units
+            new = settle(former.extract(part, words), "relations")
+            found = new if found is None else found.unionByName(new)
+            if k < several:
+                words = words | {r["predicate"]: "" for r in former.grow_vocabulary(new, words).collect()}  # of a bounded vocabulary
+        return found, words
+
     def tables_of(self, chunks: DataFrame) -> dict[str, DataFrame]:
         """Table documents as frames of text, by doc or doc#sheet=x. Their headers, a line each, come to the driver."""
-        rows = D.split_sheets(chunks).select("table", "chunk_index", F.posexplode(grids.table_cell_rows_udf(F.col("text"))).alias("_p", "cells"))
+        bare = D.split_sheets(chunks).withColumn("text", F.regexp_replace("text", f"{D.SHEET}[^\\n]*\\n?", ""))
+        rows = settle(bare.select("table", "id", "chunk_index", F.posexplode(grids.table_cell_rows_udf(F.col("text"))).alias("_p", "cells")), "cells")
         first = rows.groupBy("table").agg(F.min_by("cells", F.struct("chunk_index", "_p")).alias("h")).collect()
         out = {}
         for r in first:
@@ -80,7 +130,7 @@ class GraphBuilder:
                 head.append(h if seen[h] == 1 else f"{h}_{seen[h]}")
             body = rows.filter((F.col("table") == r["table"]) & (F.size("cells") >= len(head)) & (F.slice("cells", 1, len(head)) != F.array(*map(F.lit, r["h"]))))
             name = r["table"].rsplit("#sheet=", 1)[-1] if "#sheet=" in r["table"] else r["table"].rsplit("/", 1)[-1].rpartition(".")[0] or r["table"]
-            out[name] = body.select((F.col("chunk_index").cast("bigint") * (1 << 20) + F.col("_p")).alias("_row"), *[F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(head)])
+            out[name] = body.select((F.col("chunk_index").cast("bigint") * (1 << 20) + F.col("_p")).alias("_row"), F.col("id").alias("_chunk"), *[F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(head)])
         return out
 
     # tables
@@ -88,25 +138,24 @@ class GraphBuilder:
     def build_tables(self, tables: dict[str, DataFrame]) -> Graph:
         """Inferred schemas: frames of text or of types, ordered by _row where there is one."""
         order = {n: ["_row"] if "_row" in df.columns else df.columns[:1] for n, df in tables.items()}
-        frames = {n: (df.drop("_row") if "_row" not in order[n] else df, order[n]) for n, df in tables.items()}
-        heads = profile.analyze({n: (df, o) for n, (df, o) in frames.items()})
+        own = {n: [c for c in df.columns if c not in ("_row", "_chunk")] for n, df in tables.items()}
+        heads = profile.analyze({n: (df.drop("_chunk"), order[n]) for n, df in tables.items()})
         keys: dict[str, str] = {}
         for r in heads["keys"].filter("column <> '_row'").orderBy("table", "ordinal").collect():  # a few rows a table
             keys.setdefault(r["table"], r["column"])
         fks = [r.asDict() for r in heads["fks"].filter("from_column <> '_row' and to_column <> '_row'").collect()]
-        labels = {}
-        for n, (df, o) in frames.items():
-            for r in profile.label_columns(profile.cells(df.drop("_row"), o, None, n)).collect():
-                labels[r["table"]] = r["column"]
+        cells = None
+        for n, df in tables.items():
+            part = profile.cells(df.select(*own[n]), [], None, n)
+            cells = part if cells is None else cells.unionByName(part)
+        labels = {r["table"]: r["column"] for r in profile.label_columns(cells).collect()}  # of all tables in one job
         items = []
-        for n, (df, o) in frames.items():
-            own = [{"from_column": f["from_column"], "to_table": f["to_table"], "to_column": f["to_column"]} for f in fks if f["from_table"] == n]
-            rows = df
-            if o == ["_row"]:
-                rows = df.withColumnRenamed("_row", "_o").select(*[c for c in df.columns if c != "_row"], "_o")
-                items.append(star.Table(n, rows, ["_o"], keys.get(n), labels.get(n, ""), own))
-            else:
-                items.append(star.Table(n, rows, o, keys.get(n), labels.get(n, ""), own))
+        for n, df in tables.items():
+            refs = [{"from_column": f["from_column"], "to_table": f["to_table"], "to_column": f["to_column"]} for f in fks if f["from_table"] == n]
+            chunk = "_chunk" if "_chunk" in df.columns else None
+            place = [F.col("_row").alias("_o")] if order[n] == ["_row"] else []
+            rows = df.select(*own[n], *place, *([chunk] if chunk else []))
+            items.append(star.Table(n, rows, ["_o"] if place else order[n], keys.get(n), labels.get(n, ""), refs, chunk=chunk))
         g = star.build(self.spark, items)
         hide = lambda df, c: df.filter(F.col(c) != "_o")
         return g.with_(data_props=hide(g.data_props, "name"), data_values=hide(g.data_values, "property"))
@@ -121,20 +170,46 @@ class GraphBuilder:
     # post-build
 
     def postprocess(self, g: Graph, coverage: bool = True, protected: DataFrame | None = None) -> Graph:
-        """Coverage, dedup, hierarchy, governance, normalisation, in this order, over the whole graph."""
+        """Coverage, dedup, fragments and common words, hierarchy, governance, normalisation, in this order, over the whole graph."""
+        analyzer = self.morphology().analyze is not None
         if coverage:
             g = apply_coverage(g, self.max_coverage, protected)
+        self.check()
         g = settled(normalize.reconcile_identities(settled(g)))
+        names = g.instances.select("name").distinct().count() if self.with_report else 0
         if self.dedup:
             vectors = relations.embed(g.classes.select("name"), self.embedder) if self.embedder else None
-            g = settled(cluster.deduplicate(g, vectors=vectors))
+            synonyms = relations.class_synonyms(g.classes, self.client) if self.client else None
+            g = settled(cluster.deduplicate(g, synonyms, vectors))
         if self.resolve:
-            g = settled(normalize.rename_names(g, cluster.resolve_renames(g.instances)))
+            g = settled(normalize.rename_names(g, settle(cluster.resolve_renames(g.instances), "renames")))
+        self.check()
+        before = [names, g.instances.select("name").distinct().count()] if self.with_report else []
+        if self.fold and coverage:
+            g = settled(hierarchy.fold_fragments(g))
+            before += [g.instances.select("name").distinct().count()] if self.with_report else []
+        if analyzer:
+            g = settled(hierarchy.prune_common_words(g, self.morphology, self.common_rank))
+        if self.with_report:
+            after = g.instances.select("name").distinct().count()
+            steps = [*before, after]
+            self.report = BuildReport(self.mode, renamed=steps[0] - steps[1], folded=steps[1] - steps[2] if self.fold and coverage else 0, pruned=steps[-2] - after)
         if self.with_hierarchy:
-            g = settled(hierarchy.induce_hierarchy(g))
+            hearst = None
+            if analyzer:
+                texts = g.chunks.filter("text is not null").select("id", "text")
+                hearst = settle(hierarchy.hearst_hierarchy(hierarchy.extract_hearst_pairs(texts, self.morphology), texts, max_coverage=self.max_coverage), "hearst")
+            g = settled(hierarchy.induce_hierarchy(g, hearst))
+        self.check()
+        used = g.relations.select("predicate").distinct().count() if self.with_report else 0
         g = g.with_(relations=govern.govern_predicates(g.relations, g.object_props))
         g = settled(normalize.normalize_graph(settled(g), STRUCTURAL))
-        return hierarchy.fix_self_typed(hierarchy.clean_hierarchy(g))
+        g = hierarchy.fix_self_typed(hierarchy.clean_hierarchy(g))
+        if self.with_report:
+            g = settled(g)
+            self.report.predicates_merged = max(0, used - g.relations.select("predicate").distinct().count())
+            self.report.count(g)
+        return g
 
     # upkeep
 
@@ -183,8 +258,7 @@ def apply_coverage(g: Graph, max_coverage: float = facts.MAX_COVERAGE, protected
     wide = per.filter((F.col("k") > 1) & (F.col("k") / n > max_coverage)).select("name")
     if protected is not None:
         wide = wide.join(protected.select("name"), "name", "left_anti")
-    cut = lambda df, c: df.join(wide.withColumnRenamed("name", c), c, "left_anti").select(*df.columns)
-    return g.with_(instances=cut(g.instances, "name"), relations=cut(cut(g.relations, "subject"), "object"), data_values=cut(g.data_values, "entity"))
+    return hierarchy.without_names(g, wide)
 
 
 def new_graph(spark: SparkSession) -> Graph:

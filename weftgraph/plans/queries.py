@@ -12,6 +12,7 @@ from weftgraph.functions import text as T
 from weftgraph.functions import values as V
 from weftgraph.operators import cluster, community, facts, govern, hierarchy, normalize, profile, quality, reads, star
 from weftgraph.operators.retract import retract_chunks
+from weftgraph.plans import fixtures
 from weftgraph.plans.builder import STRUCTURAL, GraphBuilder
 from weftgraph.schemas import Graph, graph, settled
 from weftgraph.session import settle
@@ -626,3 +627,7 @@ def build_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("doc"), "text")
     g = GraphBuilder(spark).build(docs)
     return flat(g.instances.select("name", "class_name", "source_chunks"))
+
+
+QUERIES |= fixtures.QUERIES
+ORACLE_SQL |= fixtures.ORACLE_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.session import settle
@@ -92,6 +92,11 @@ def graph(spark: SparkSession, **tables: DataFrame) -> Graph:
     return empty(spark).with_(**{k: conform(v, k) for k, v in tables.items()})
 
 
+def place(*columns: str) -> Column:
+    """An ``ord`` by content, for rows that come in no order: small enough for what stages add to it."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
+
+
 def evidence(g: Graph) -> DataFrame:
     """(name, chunk_id): what chunks state a name, by itself, its relations or its values."""
     own = lambda df, col: df.select(F.col(col).alias("name"), F.explode("source_chunks").alias("chunk_id"))

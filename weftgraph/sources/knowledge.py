@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from threading import Event, Lock
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql import types as T
 
-from weftgraph.schemas import Graph, graph, settled
+from weftgraph.operators.hierarchy import in_circles
+from weftgraph.schemas import Graph, graph, place, settled
 from weftgraph.session import settle
 
 VERSION = "1.0"
@@ -32,6 +36,38 @@ class ContractError(ValueError):
     pass
 
 
+class OperationCancelled(RuntimeError):
+    pass
+
+
+class BudgetExceeded(RuntimeError):
+    pass
+
+
+class OperationContext:
+    """A deadline (of time.monotonic()), a budget of model calls, and a way to cancel. check() runs between stages, on the driver; a
+    model's calls are counted by consume(), where the client that is made in tasks calls it, for the task."""
+
+    def __init__(self, deadline: float | None = None, max_calls: int = 1000) -> None:
+        if not isinstance(max_calls, int) or isinstance(max_calls, bool) or max_calls < 1:
+            raise ValueError("max_calls must be a positive whole number")
+        self.cancelled, self.deadline, self.left = Event(), deadline, max_calls
+        self._lock = Lock()
+
+    def check(self) -> None:
+        if self.cancelled.is_set():
+            raise OperationCancelled("cancelled")
+        if self.deadline is not None and time.monotonic() >= self.deadline:
+            raise TimeoutError("past the deadline")
+
+    def consume(self) -> None:
+        self.check()
+        with self._lock:
+            if not self.left:
+                raise BudgetExceeded("no calls are left")
+            self.left -= 1
+
+
 def normalize_unicode(value: object) -> object:
     """Surrogate pairs joined, lone ones replaced."""
     if isinstance(value, str):
@@ -126,7 +162,6 @@ def locator_error(locator: pd.Series, text: pd.Series) -> pd.Series:
 
 def violations(b: Bundle) -> DataFrame:
     """(record, id, what): uniqueness, references, revisions, circles, vectors, locators, facts; empty for a sound bundle."""
-    spark = b.chunks.sparkSession
     out = []
 
     def add(df: DataFrame, record: str, what: str, ident: str = "id") -> None:
@@ -160,13 +195,9 @@ def violations(b: Bundle) -> DataFrame:
     add(prof.filter(~validate_vector(F.col("values"), F.col("dimension"), F.col("metric"))), "embeddings", "vector", "chunk_id")
     bad = b.chunks.withColumn("_w", locator_error(F.col("locator"), F.col("text"))).filter("_w is not null")
     add(bad, "chunks", "locator")
-    view = "_weft_parents"
-    b.resources.filter("parent_id is not null").select("id", "parent_id").createOrReplaceTempView(view)
-    loops = spark.sql(f"""
-        WITH RECURSIVE up(id, parent, depth) AS (SELECT id, parent_id, 1 FROM {view}
-            UNION ALL SELECT u.id, e.parent_id, u.depth + 1 FROM up u JOIN {view} e ON e.id = u.parent WHERE u.parent <> u.id AND u.depth < 64)
-        SELECT DISTINCT id FROM up WHERE id = parent OR depth >= 64""")
-    add(loops, "resources", "is its own ancestor")
+    up = b.resources.filter("parent_id is not null").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"), F.lit(0).cast("bigint").alias("ord"))
+    # what is left when ends of chains go, again and again, runs in a circle or between two
+    add(in_circles(settle(up, "parents")).select(F.col("child").alias("id")).distinct(), "resources", "is its own ancestor")
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
@@ -259,7 +290,7 @@ def import_knowledge(b: Bundle) -> Graph:
     """The graph of a bundle; what was inferred comes back without chunks."""
     chunk = b.evidence.select(F.col("id").alias("e"), "chunk_id")
     of = lambda df: df.select("id", F.explode("evidence_ids").alias("e")).join(chunk, "e").groupBy("id").agg(F.array_sort(F.collect_set("chunk_id")).alias("source_chunks"))
-    at = F.xxhash64("id").alias("ord")
+    at = place("id").alias("ord")
     none = F.array().cast("array<string>")
     ent = b.entities.join(of(b.entities), "id", "left").withColumn("source_chunks", F.coalesce("source_chunks", none))
     name = lambda c, to: b.entities.select(F.col("id").alias(c), F.col("label").alias(to))
@@ -273,12 +304,32 @@ def import_knowledge(b: Bundle) -> Graph:
     rest = facts.filter("predicate not in ('instanceOf', 'subClassOf')")
     rel = rest.filter("o is not null").select(F.col("s").alias("subject"), "predicate", F.col("o").alias("object"), F.lit("ObjectProperty").alias("predicate_type"), F.lit(1.0).alias("weight"), "source_chunks", at)
     val = rest.filter("object_id is null").select(F.col("s").alias("entity"), F.col("predicate").alias("property"), F.col("literal").alias("value"), F.coalesce("datatype", F.lit("xsd:string")).alias("value_type"), "source_chunks", at)
-    props = val.select(F.col("property").alias("name")).distinct().withColumn("ord", F.xxhash64("name")).withColumn("range", F.lit("xsd:string"))
-    ops = rel.select(F.col("predicate").alias("name")).distinct().withColumn("ord", F.xxhash64("name"))
+    props = val.select(F.col("property").alias("name")).distinct().withColumn("ord", place("name")).withColumn("range", F.lit("xsd:string"))
+    ops = rel.select(F.col("predicate").alias("name")).distinct().withColumn("ord", place("name"))
     chunks = b.chunks.select("id", F.col("resource_id").alias("doc"), "text", F.col("ordinal").alias("chunk_index"))
     return graph(b.chunks.sparkSession, classes=classes, instances=inst, hierarchy=up, relations=rel, data_values=val, data_props=props, object_props=ops, chunks=chunks)
 
 
+def documents_of(source: Bundle) -> DataFrame:
+    """(doc, chunk_id, chunk_text, chunk_index): resources under their ids, so that files of one name stay apart, with the ending that tells tables."""
+    ending = F.regexp_extract("name", "(\\.[^./]+)$", 1)
+    named = source.resources.select(F.col("id").alias("resource_id"), F.when(ending != "", F.concat(stable_id("source", F.col("id")), F.lit("/"), "name")).otherwise(F.concat("id", F.lit(".txt"))).alias("doc"))
+    return source.chunks.join(named, "resource_id").select("doc", F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.col("ordinal").alias("chunk_index"))
+
+
+def build_knowledge(source: Bundle, snapshot_id: str, build: Callable[[DataFrame], Graph], context: OperationContext | None = None) -> Bundle:
+    """The whole graph of a source snapshot, built anew: what was replaced or deleted has no trace. ``build``: chunks to a graph, such
+    as GraphBuilder.build; it is not changed, and nothing is published."""
+    context = context or OperationContext()
+    context.check()
+    validate(source)
+    g = build(documents_of(source))
+    context.check()
+    out = export_knowledge(g, source, snapshot_id)
+    context.check()
+    return out
+
+
 def fragment(source: Bundle) -> Bundle:
     """A source of exactly one file, without embeddings."""
     files = source.resources.filter("kind <> 'directory'").limit(2).collect()

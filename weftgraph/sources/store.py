@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from weftgraph.functions import text as X
 from weftgraph.session import settle
 from weftgraph.operators.normalize import LEGACY_RELATED
-from weftgraph.schemas import Graph, evidence, graph
+from weftgraph.schemas import Graph, evidence, graph, place
 
 DOMAIN, INSTANCE, ROW = "urn:weft:domain#", "urn:weft:instance#", "urn:weft:instance#dbrow_"
 TABLES = {
@@ -230,15 +230,17 @@ class GraphStore:
         edges = self.table("edges").join(had, key, "left").join(has, key, "left")
         mark = lambda c, n: cand.select(F.col("uri").alias(c), F.lit(True).alias(n))
         edges = edges.join(mark("subject_uri", "_cs"), "subject_uri", "left").join(mark("object_uri", "_co"), "object_uri", "left")
-        common = left_links.withColumnRenamed("uri", "subject_uri").join(left_links.withColumnRenamed("uri", "object_uri"), "chunk_id").select("subject_uri", "object_uri").distinct().withColumn("_common", F.lit(True))
+        # pairs in question first, then their chunks: no chunk's nodes are paired with one another
         loose = edges.filter("edge_kind = 'objectProperty' and _had is null and _cs and _co").filter(~F.col("predicate").isin(*structural)).select("subject_uri", "object_uri").distinct()
-        edges = edges.join(common.join(loose, ["subject_uri", "object_uri"], "left_semi"), ["subject_uri", "object_uri"], "left")
+        mine = loose.join(left_links.withColumnRenamed("uri", "subject_uri"), "subject_uri")
+        common = mine.join(left_links.withColumnRenamed("uri", "object_uri"), ["object_uri", "chunk_id"], "left_semi").select("subject_uri", "object_uri").distinct().withColumn("_common", F.lit(True))
+        edges = edges.join(common, ["subject_uri", "object_uri"], "left")
         obj = F.col("edge_kind") == "objectProperty"
         dead = obj & F.coalesce(F.col("_had") & F.col("_left").isNull(), F.lit(False)) | obj & F.col("_had").isNull() & ~F.col("predicate").isin(*structural) & F.coalesce(F.col("_cs") & F.col("_co"), F.lit(False)) & F.col("_common").isNull()
         edges = edges.filter(~dead).withColumn("edge_weight", F.when(obj & F.col("_left").isNotNull(), F.col("_left").cast("double")).otherwise(F.col("edge_weight"))).select(*[c.split()[0] for c in TABLES["edges"].split(", ")])
         nodes = self.table("nodes")
         bare = nodes.join(left_links.select("uri").distinct(), "uri", "left_anti")
-        for _ in range(64):
+        while True:  # each round takes a level of what hangs on nothing
             near = bare.join(cand, "uri", "left_semi")
             orphans = near.filter("kind = 'instance'").select("uri")
             used = edges.filter("edge_kind in ('instanceOf', 'subClassOf', 'objectProperty_schema', 'objectProperty')").filter("subject_uri <> object_uri")
@@ -274,7 +276,7 @@ class GraphStore:
         rel = e.filter("edge_kind = 'objectProperty'").join(src, ["subject_uri", "predicate", "object_uri"], "left")
         rel = rel.select(F.col("s").alias("subject"), F.when(F.col("predicate") == LEGACY_RELATED, X.RELATED).otherwise(F.col("predicate")).alias("predicate"), F.col("o").alias("object"), F.lit("ObjectProperty").alias("predicate_type"), "label", F.col("edge_weight").alias("weight"), F.coalesce("source_chunks", none).alias("source_chunks"), "ord")
         vals = full.filter("attrs is not null").select(F.col("label").alias("entity"), F.explode("attrs").alias("property", "_v"), "source_chunks", "ord").select("entity", "property", F.explode("_v").alias("value"), F.lit("xsd:string").alias("value_type"), "source_chunks", "ord")
-        at = F.xxhash64("element_name").alias("ord")
+        at = place("element_name").alias("ord")
         ops = schema.filter("element_type = 'ObjectProperty'").select(F.col("element_name").alias("name"), F.coalesce("domain_class", F.lit("")).alias("domain"), F.coalesce("range_value", F.lit("")).alias("range"), "description", at)
         dps = schema.filter("element_type = 'DatatypeProperty'").select(F.col("element_name").alias("name"), F.coalesce("domain_class", F.lit("")).alias("domain"), F.col("range_value").alias("range"), F.col("element_name").alias("display_name"), at)
         up = e.filter("edge_kind = 'subClassOf'").select(F.col("o").alias("parent"), F.col("s").alias("child"), "ord")
