@@ -30,7 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["star_relations", "row_identities", "fk_discovery", "pk_candidates", "label_columns", "instance_labels", "doc_tokens", "value_tests", "dates", "natural_cut", "dictionary_expand", "chunk_short_documents", "coverage_filter", "instance_dedup", "direction_vote", "govern_predicates", "relation_merge", "quality_review", "retract_customers", "clean_hierarchy", "inheritance_closure", "graph_nodes", "entity_labels", "rows_diff", "events_hourly"])
+@pytest.mark.parametrize("name", ["star_relations", "row_identities", "fk_discovery", "pk_candidates", "label_columns", "instance_labels", "doc_tokens", "value_tests", "dates", "natural_cut", "dictionary_expand", "chunk_short_documents", "coverage_filter", "instance_dedup", "direction_vote", "govern_predicates", "relation_merge", "quality_review", "retract_customers", "clean_hierarchy", "inheritance_closure", "graph_nodes", "entity_labels", "rows_diff", "events_hourly", "star_values", "graph_edges", "fixture_names", "fixture_name_columns", "fixture_grids", "fixture_facts", "fixture_extract", "fixture_units", "fixture_answers", "fixture_morphology", "fixture_merging", "fixture_models", "fixture_rdf"])
 def test_query_matches_sql(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     cur = duck.execute(queries.ORACLE_SQL[name])

@@ -53,8 +53,8 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     items = [
         star.Table("region", t("region"), ["r_regionkey"], "r_regionkey", "r_name"),
         star.Table("nation", t("nation"), ["n_nationkey"], "n_nationkey", "n_name", [fk("n_regionkey", "region", "r_regionkey")]),
-        star.Table("customer", t("customer").drop("c_acctbal"), ["c_custkey"], "c_custkey", "c_name", [fk("c_nationkey", "nation", "n_nationkey")]),
-        star.Table("supplier", t("supplier").drop("s_acctbal"), ["s_suppkey"], "s_suppkey", "s_name", [fk("s_nationkey", "nation", "n_nationkey")]),
+        star.Table("customer", t("customer"), ["c_custkey"], "c_custkey", "c_name", [fk("c_nationkey", "nation", "n_nationkey")]),
+        star.Table("supplier", t("supplier"), ["s_suppkey"], "s_suppkey", "s_name", [fk("s_nationkey", "nation", "n_nationkey")]),
     ]
     return star.build(spark, items, skip_facts=False)
 
@@ -80,7 +80,8 @@ def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_graph(spark, sf_dir).relations.select("subject", "predicate", "object", F.get("source_chunks", F.lit(0)).alias("source_chunk"))
 
 
-@query("select c_name as entity, 'c_mktsegment' as property, c_mktsegment as value, 'xsd:string' as value_type from customer where trim(c_mktsegment) <> ''")
+@query("""select c_name as entity, 'c_mktsegment' as property, c_mktsegment as value, 'xsd:string' as value_type from customer where trim(c_mktsegment) <> ''
+    union all select c_name, 'c_acctbal', cast(c_acctbal as varchar), 'xsd:decimal' from customer where c_acctbal is not null union all select s_name, 's_acctbal', cast(s_acctbal as varchar), 'xsd:decimal' from supplier where s_acctbal is not null""")
 def star_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_graph(spark, sf_dir).data_values.select("entity", "property", "value", "value_type")
 
@@ -92,15 +93,14 @@ def star_object_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select name, domain, range from (values ('r_regionkey', 'Region', 'xsd:integer'), ('r_name', 'Region', 'xsd:string'), ('n_nationkey', 'Nation', 'xsd:integer'), ('n_name', 'Nation', 'xsd:string'),
-    ('c_custkey', 'Customer', 'xsd:integer'), ('c_name', 'Customer', 'xsd:string'), ('c_mktsegment', 'Customer', 'xsd:string'), ('s_suppkey', 'Supplier', 'xsd:integer'), ('s_name', 'Supplier', 'xsd:string')) t(name, domain, range)""")
+    ('c_custkey', 'Customer', 'xsd:integer'), ('c_name', 'Customer', 'xsd:string'), ('c_mktsegment', 'Customer', 'xsd:string'), ('c_acctbal', 'Customer', 'xsd:decimal'), ('s_suppkey', 'Supplier', 'xsd:integer'), ('s_name', 'Supplier', 'xsd:string'), ('s_acctbal', 'Supplier', 'xsd:decimal')) t(name, domain, range)""")
 def star_data_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_graph(spark, sf_dir).data_props.select("name", "domain", "range")
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> star.Table:
     """Declared rows: orders by key, whose customers are not loaded and become placeholders."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return star.Table("orders", rows, ["o_orderkey"], "o_orderkey", "o_orderkey", [{"from_column": "o_custkey", "to_table": "customer", "to_column": "c_custkey"}], "shop:orders")
+    return star.Table("orders", table(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderkey", "o_orderkey", [{"from_column": "o_custkey", "to_table": "customer", "to_column": "c_custkey"}], "shop:orders")
 
 
 _IDENT = "'dbrow_' || sha256('[\"weft-row-v1\",\"shop:' || {t} || '\",\"' || {c} || '\",\"' || {v} || '\"]')"
@@ -392,7 +392,7 @@ def known_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.known_predicates(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("predicate")))
 
 
-@query(f"with {_ROWS}, {_EDGES} select (select count(distinct name) from rows_) as instances, 4 as classes, 3 as object_properties, 9 as data_properties, (select count(*) from edges_) as relations, (select count(*) from customer) as data_values, 0 as chunks")
+@query(f"with {_ROWS}, {_EDGES} select (select count(distinct name) from rows_) as instances, 4 as classes, 3 as object_properties, 11 as data_properties, (select count(*) from edges_) as relations, 2 * (select count(*) from customer) + (select count(*) from supplier) as data_values, 0 as chunks")
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.stats(settled(star_graph(spark, sf_dir)))
 
@@ -481,13 +481,13 @@ _URI = "'urn:weft:instance#' || replace({x}, ' ', '_')"
 
 @query(f"""with {_ROWS} select replace(replace({_URI.format(x='name')}, '#', '@'), '@', '#') as uri, 'instance' as kind, name as label from rows_
     union all select 'urn:weft:domain#' || c, 'concept', c from (values ('Region'), ('Nation'), ('Customer'), ('Supplier')) t(c)
-    union all select 'urn:weft:domain#' || d || '_' || p, 'property', p from (values ('Region', 'r_regionkey'), ('Region', 'r_name'), ('Nation', 'n_nationkey'), ('Nation', 'n_name'), ('Customer', 'c_custkey'), ('Customer', 'c_name'), ('Customer', 'c_mktsegment'), ('Supplier', 's_suppkey'), ('Supplier', 's_name')) t(d, p)""".replace("replace(replace('urn:weft:instance#' || replace(name, ' ', '_'), '#', '@'), '@', '#')", "'urn:weft:instance#' || replace(replace(name, ' ', '_'), '#', '_')"))
+    union all select 'urn:weft:domain#' || d || '_' || p, 'property', p from (values ('Region', 'r_regionkey'), ('Region', 'r_name'), ('Nation', 'n_nationkey'), ('Nation', 'n_name'), ('Customer', 'c_custkey'), ('Customer', 'c_name'), ('Customer', 'c_mktsegment'), ('Customer', 'c_acctbal'), ('Supplier', 's_suppkey'), ('Supplier', 's_name'), ('Supplier', 's_acctbal')) t(d, p)""".replace("replace(replace('urn:weft:instance#' || replace(name, ' ', '_'), '#', '@'), '@', '#')", "'urn:weft:instance#' || replace(replace(name, ' ', '_'), '#', '_')"))
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir)["nodes"].select("uri", "kind", "label")
 
 
 @query(f"""with {_ROWS}, {_EDGES} select 'objectProperty' as edge_kind, count(*) as n from (select distinct s, p, o from edges_) union all select 'instanceOf', count(distinct name) from rows_
-    union all select 'objectProperty_schema', 3 union all select 'datatypeProperty_schema', 9""")
+    union all select 'objectProperty_schema', 3 union all select 'datatypeProperty_schema', 11""")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir)["edges"].groupBy("edge_kind").agg(F.count("*").alias("n"))
 
@@ -503,7 +503,7 @@ def edge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with n as (select n_name as label from nation union all select r_name from region union all select c_name from customer union all select s_name from supplier
-    union all select c from (values ('Region'), ('Nation'), ('Customer'), ('Supplier'), ('r_regionkey'), ('r_name'), ('n_nationkey'), ('n_name'), ('c_custkey'), ('c_name'), ('c_mktsegment'), ('s_suppkey'), ('s_name')) t(c))
+    union all select c from (values ('Region'), ('Nation'), ('Customer'), ('Supplier'), ('r_regionkey'), ('r_name'), ('n_nationkey'), ('n_name'), ('c_custkey'), ('c_name'), ('c_mktsegment'), ('c_acctbal'), ('s_suppkey'), ('s_name'), ('s_acctbal')) t(c))
     select label, round((cast(contains(lower(label), 'customer') as int) + cast(contains(lower(label), '00001') as int)) / (1 + length(label) / 40), 6) as score from n
     where contains(lower(label), 'customer') or contains(lower(label), '00001') order by score desc, label limit 30""")
 def search_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,7 +542,7 @@ def neighbors_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.neighbors(s["nodes"], s["edges"], start, 2, 5000)
 
 
-@query(f"""with {_ROWS}, {_EDGES} select 'concept' as what, 4 as n union all select 'property', 9 union all select 'instance', count(distinct name) from rows_ union all select 'edges', (select count(*) from (select distinct s, p, o from edges_)) + (select count(distinct name) from rows_) + 12
+@query(f"""with {_ROWS}, {_EDGES} select 'concept' as what, 4 as n union all select 'property', 11 union all select 'instance', count(distinct name) from rows_ union all select 'edges', (select count(*) from (select distinct s, p, o from edges_)) + (select count(distinct name) from rows_) + 14
     union all select 'chunks', count(distinct src) from rows_""")
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stored(spark, sf_dir)
@@ -552,9 +552,9 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # exchange
 
 
-@query(f"""with {_ROWS}, {_EDGES} select 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, 4 + 3 + 9 + 2 * (select count(*) from rows_) as n union all select 'http://www.w3.org/2000/01/rdf-schema#label', 4 + 3 + 9 + (select count(*) from rows_)
-    union all select 'http://www.w3.org/2000/01/rdf-schema#comment', 4 union all select 'http://www.w3.org/2000/01/rdf-schema#domain', 12 union all select 'http://www.w3.org/2000/01/rdf-schema#range', 12
-    union all select 'urn:weft:schema#sourceChunk', (select count(*) from rows_) union all select 'urn:weft:schema#c_mktsegment', (select count(*) from customer)
+@query(f"""with {_ROWS}, {_EDGES} select 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, 4 + 3 + 11 + 2 * (select count(*) from rows_) as n union all select 'http://www.w3.org/2000/01/rdf-schema#label', 4 + 3 + 11 + (select count(*) from rows_)
+    union all select 'http://www.w3.org/2000/01/rdf-schema#comment', 4 union all select 'http://www.w3.org/2000/01/rdf-schema#domain', 14 union all select 'http://www.w3.org/2000/01/rdf-schema#range', 14
+    union all select 'urn:weft:schema#sourceChunk', (select count(*) from rows_) union all select 'urn:weft:schema#c_mktsegment', (select count(*) from customer) union all select 'urn:weft:schema#c_acctbal', (select count(*) from customer) union all select 'urn:weft:schema#s_acctbal', (select count(*) from supplier)
     union all select 'urn:weft:schema#' || p, count(*) from (select distinct p, s, o from edges_) group by p""")
 def rdf_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rdf.to_rdf_triples(settled(star_graph(spark, sf_dir))).groupBy("p").agg(F.count("*").alias("n"))
