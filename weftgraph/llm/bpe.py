@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import batches_by_chars, lean, materialise, small_batches
 
 #: Characters of text and distinct words of a block, and characters that are cut into words at once, about.
-BLOCK_CHARS, BLOCK_WORDS, CHUNK_CHARS = 8_000_000, 150_000, 500_000
-#: Word numbers that are turned into ids at once.
-GATHER = 500_000
+BLOCK_CHARS, BLOCK_WORDS, CHUNK_CHARS = 16_000_000, 250_000, 500_000
+#: Word numbers that are turned into ids at once, and encoded words that are sorted by block and packed together.
+GATHER, TOGETHER = 500_000, 400_000
 SPLIT = "block bigint, doc_id bigint, codes binary, words array<string>"
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
@@ -119,7 +119,7 @@ def packed(numbers: np.ndarray) -> bytes:
     import zstandard
 
     # bytes of one weight lie together
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpacked(data: bytes | None) -> np.ndarray:
@@ -213,35 +213,61 @@ def split(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_split(special_tokens(tokenizer)), SPLIT)
 
 
+CODED = "of_block bigint, numbers binary, ids binary, sizes binary"
+
+
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
-        last: tuple[str | None, bytes] = (None, b"")
+        last: tuple[str | None, np.ndarray] = (None, np.empty(0, "<u4"))
+        blocks, numbers, ids, waiting = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            """A row for each block: its words' numbers in order, their ids, and how many each has."""
+            block, number = np.concatenate(blocks), np.concatenate(numbers)
+            order = np.lexsort((number, block))
+            block, number = block[order], number[order]
+            mine = [x for part in ids for x in part]
+            mine = [mine[k] for k in order]
+            own, first = np.unique(block, return_index=True)
+            rows = list(zip(first, [*first[1:], len(block)], strict=True))
+            cols = [
+                [packed(np.diff(number[a:z], prepend=0)) for a, z in rows],
+                [packed(np.concatenate(mine[a:z]).astype(np.int32)) for a, z in rows],
+                [packed(np.fromiter(map(len, mine[a:z]), np.int32, z - a)) for a, z in rows],
+            ]
+            for x in (blocks, numbers, ids):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["of_block", "numbers", "ids", "sizes"])
+
         for b in batches:
-            coded = b.column("word").dictionary_encode()  # sorted: what a batch has of a word lies together
-            words = coded.dictionary.to_pylist()
+            column = b.column("word").dictionary_encode()  # sorted: what a batch has of a word lies together
+            words = column.dictionary.to_pylist()
             new = [w for w in words if w != last[0]]
-            ids = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
+            known = dict(zip(new, (np.array(e.ids, "<u4") for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
             if last[0] is not None:
-                ids.setdefault(*last)
+                known.setdefault(*last)
             if words:
-                last = (words[-1], ids[words[-1]])
-            column = pa.array([ids[w] for w in words], pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("i"), b.column("word"), column], names=["block", "i", "word", "ids"])
+                last = (words[-1], known[words[-1]])
+            coded = [known[w] for w in words]
+            ids.append([coded[k] for k in column.indices.to_pylist()])
+            blocks.append(b.column("block").to_numpy())
+            numbers.append(b.column("i").to_numpy())
+            waiting += b.num_rows
+            if waiting >= TOGETHER:
+                yield flush()
+                waiting = 0
+        if waiting:
+            yield flush()
 
     return lean(run)
 
 
 def coded(parts: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, i, word, ids): the words of split()'s blocks by number, with their ids; each distinct word is encoded once."""
+    """CODED rows: the ids of split()'s blocks' words, several rows a block; each distinct word is encoded once."""
     words = parts.filter("words is not null").select("block", F.posexplode("words").alias("i", "word"))
     together = words.repartition(F.col("word")).sortWithinPartitions("word")
-    return together.mapInArrow(_encode_words(tokenizer), "block bigint, i int, word string, ids binary")
-
-
-def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids): the distinct-word table of a corpus."""
-    return coded(split(docs, tokenizer), tokenizer).groupBy("word").agg(F.first("ids").alias("ids"))
+    return together.mapInArrow(_encode_words(tokenizer), CODED)
 
 
 def pieces(tokenizer: str) -> list[bytes]:
@@ -257,12 +283,6 @@ def pieces(tokenizer: str) -> list[bytes]:
     return out
 
 
-def _binaries(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column as 32-bit integers, and the ends of its rows among these."""
-    lens = [len(x) // 4 if x is not None else 0 for x in column.to_pylist()]
-    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), "<i4"), np.append(0, np.cumsum(np.array(lens, np.int64)))
-
-
 class _Decoder:
     def __init__(self, table: list[bytes]) -> None:
         self.table = pa.array(table, pa.large_binary())
@@ -280,9 +300,11 @@ def _joined(digest: list[bytes] | None, with_ids: bool):
     """Texts' word numbers and a block's ids by number, to rows of texts."""
 
     def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("i").to_numpy())
-        flat, ends = _binaries(words.column("ids"))
-        starts, sizes = ends[:-1][order], np.diff(ends)[order]
+        read = lambda c: [unpacked(x) for x in words.column(c).to_pylist()]
+        join = lambda parts: np.concatenate([*parts, np.empty(0, "<i4")])
+        order = np.argsort(join(np.cumsum(x) for x in read("numbers")), kind="stable")
+        flat, lens = join(read("ids")), join(read("sizes")).astype(np.int64)
+        starts, sizes = (np.cumsum(lens) - lens)[order], lens[order]
         decode = _Decoder(digest) if digest is not None else None
 
         def ids_of(codes: np.ndarray) -> np.ndarray:
@@ -343,7 +365,7 @@ class Utf8Digest:
 
 def _encoded(docs: DataFrame, tokenizer: str, digest: list[bytes] | None, with_ids: bool) -> DataFrame:
     parts = materialise(split(docs, tokenizer), "words")
-    ids = coded(parts, tokenizer).select(F.col("block").alias("of_block"), "i", "ids")
+    ids = coded(parts, tokenizer)
     texts = parts.filter("words is null").select("block", "doc_id", "codes")
     schema = "doc_id bigint, n_tokens bigint" + (", ids binary" if with_ids else "") + (", ids_sha256 string, decoded_sha256 string" if digest is not None else "")
     return texts.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_joined(digest, with_ids), schema)
