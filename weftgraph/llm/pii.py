@@ -64,11 +64,12 @@ GIVEN = (
     ("анна", "мария", "елена", "ольга", "наталья", "татьяна", "ирина", "светлана"),
 )
 LISTED = {n: g for g in GIVEN for n in g}
-# Titles; phrases that introduce a whole name; honorifics after one.
+# Titles; phrases that introduce a whole name; honorifics after one, and what Korean puts after these.
 TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Don|Doña|Господин|Госпожа"
 INTRODUCED = ("name is", "name:", "named", "signed by", "signed,", "regards,", "sincerely,", "heiße", "m'appelle", "me llamo", "меня зовут")
 FAR_TITLES = ("السيد", "السيدة", "الدكتور", "الدكتورة", "גברת")
 AFTER_HANGUL, AFTER_HAN, AFTER_KANA = ("씨", "님", "선생님", "교수님"), ("先生", "女士", "小姐", "教授"), ("さん", "様")
+PARTICLES = "가|는|은|이|를|을|의|와|과|도|에게|께서|께|로"
 _CAPITAL = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
 _NAME = rf"[^\W\d_]*[{_CAPITAL}][^\W\d_]+"
 _GIVENS = "|".join(sorted({n.capitalize() for g in GIVEN for n in g}, key=len, reverse=True))
@@ -85,7 +86,7 @@ PATTERNS = (
     ("name", re.compile(rf"\b((?:{_GIVENS}) {_NAME})"), None),
     ("name", re.compile(rf"(?i:{'|'.join(map(re.escape, INTRODUCED))})\s+({_NAME}(?: {_NAME}){{1,2}})"), None),
     ("name", re.compile(rf"(?:{'|'.join(FAR_TITLES)})\s+([ء-ي]+(?: [ء-ي]+)?|[א-ת]+(?: [א-ת]+)?)"), None),
-    ("name", re.compile(rf"(?<![가-힣])([가-힣]{{2,4}}?)(?= ?(?:{'|'.join(AFTER_HANGUL)})(?![가-힣]))"), None),
+    ("name", re.compile(rf"(?<![가-힣])([가-힣]{{2,4}}?)(?= ?(?:{'|'.join(AFTER_HANGUL)})(?:{PARTICLES})?(?![가-힣]))"), None),
     ("name", re.compile(rf"(?<![一-龥])([一-龥]{{2,4}}?)(?=(?:{'|'.join(AFTER_HAN)}))"), None),
     ("name", re.compile(rf"(?<![一-龥ぁ-ゖァ-ヺ])([一-龥ぁ-ゖァ-ヺ]{{2,6}}?)(?=(?:{'|'.join(AFTER_KANA)}))"), None),
 )
