@@ -441,7 +441,7 @@ def fixture_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     show = lambda df, what: df.select(F.lit(what).alias("what"), F.col("chunk_id").alias("item"), F.concat_ws(" ", "subject", "predicate", "object").alias("value"))
     out = show(former.extract(units, words), "relation")
     ex = relations.DocumentExtractor(extraction_model)
-    out = out.unionByName(show(ex.extract_relations(chunks, labels, words), "extract_relations"))
+    out = out.unionByName(show(relations.DocumentExtractor(relation_model).extract_relations(chunks, labels, words), "extract_relations"))
     made = ex.tables(settle(ex.extract(chunks.coalesce(1)), "found"))
     out = out.unionByName(made["instances"].select(F.lit("instance").alias("what"), F.col("name").alias("item"), F.col("class_name").alias("value")))
     out = out.unionByName(made["data_values"].select(F.lit("value").alias("what"), F.col("entity").alias("item"), F.concat_ws(" ", "property", "value").alias("value")))
