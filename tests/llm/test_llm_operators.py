@@ -107,6 +107,28 @@ def test_bpe_is_the_library(spark):
     assert two_steps == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_bpe_of_many_blocks_shuffles_words_and_ids_alone(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer())
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(3000)}é" for _ in range(300)) + " the same end" for _ in range(120)]
+    texts += [texts[0], None, "", "<|endoftext|>", "it's\n\n <|endoftext|> the same end"]
+    rows = frame(spark, texts).repartition(9)
+    df = bpe.digests(rows.unionAll(rows.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))), queries.tokenizer(), with_ids=True)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(range" in plan and "Exchange hashpartitioning(of_block" in plan
+    assert "Exchange hashpartitioning(block" not in plan  # texts' word numbers stay where they were written
+    got = df.collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == list(range(len(texts))) and len(got) == len(texts) + 1
+    for r in got:
+        if r["doc_id"] is not None:
+            ids = tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+            assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and r["n_tokens"] == len(ids)
+            assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weft_")]
+
+
 def vectors(spark, n=900, d=16, seed=0):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((12, d))

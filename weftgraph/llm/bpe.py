@@ -1,10 +1,12 @@
 """Byte-level BPE by a distinct-word table of the corpus, and decoding through an id-to-piece join.
 
 ``split`` cuts every whole text into pre-token words, where it is read, and numbers them: a block (about BLOCK_CHARS of
-text, or one longer text) has one row of its distinct words, and each of its texts one row of word numbers. The blocks'
-words are dealt by word and sorted, so that all places of a word lie together and it is encoded once for the corpus
-(``coded``); its ids go back to the blocks by position, and block by block to the texts. A task streams a word's places
-and holds no more than a block, however frequent a word or long the corpus. Decoding joins ids to pieces; that table has one entry an id, so its size is the vocabulary's.
+text, or one longer text) has one row of its distinct words in the order of their hashes, and each of its texts one row
+of word numbers. These rows are written once, bucketed by block, so numbers of texts are never shuffled. The blocks'
+words are dealt by ranges of hashes, as many as the corpus needs for about RANGE_WORDS places each: a range holds all
+places of its words, so each word is encoded once for the corpus (``coded``). A block's ids of a range go back to it as
+one row, in the order in which its words went out, and block by block to the texts. A task holds a range's distinct words
+or a block, however frequent a word or long the corpus. Decoding joins ids to pieces; that table has one entry an id, so its size is the vocabulary's.
 
 A character's class (letter, number, space, other) is asked of the library's own pre-tokenizer once, so words are cut
 as the library cuts them, whatever its Unicode version. Special tokens in a text are cut out first, as the library does.
@@ -23,17 +25,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_chars, lean, materialise, small_batches
+from .common import batches_by_chars, lean, materialise, shuffles, small_batches
 
 #: Characters of text and distinct words of a block, and characters that are cut into words at once, about.
 BLOCK_CHARS, BLOCK_WORDS, CHUNK_CHARS = 16_000_000, 250_000, 500_000
-#: Word numbers that are turned into ids at once, and encoded words that are sorted by block and packed together.
-GATHER, TOGETHER = 500_000, 400_000
-SPLIT = "block bigint, doc_id bigint, codes binary, words array<string>"
+#: Word numbers that are turned into ids at once, and places of words (one a block and word) in a range of hashes, about.
+GATHER, RANGE_WORDS = 500_000, 65_536
+SPLIT = "block bigint, doc_id bigint, codes binary, words binary, sizes binary, n_words bigint"
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 
@@ -114,21 +117,41 @@ class Splitter:
         return words, np.diff(np.searchsorted(places, np.append(0, ends)))
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Word numbers, compressed: those of frequent words are small, as they come early in their blocks."""
+def _small(data: bytes) -> bytes:
     import zstandard
 
-    # bytes of one weight lie together
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def unpacked(data: bytes | None) -> np.ndarray:
+def _large(data: bytes | None) -> bytes:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if data else np.empty(0, np.uint8)
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Word numbers, compressed: those of frequent words are small, as they come early in their blocks."""
+    # bytes of one weight lie together
+    return _small(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes | None) -> np.ndarray:
+    raw = np.frombuffer(_large(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel() if len(raw) else np.empty(0, "<i4")
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _texts_of(raw: bytes, sizes: np.ndarray) -> list[str]:
+    """Neighbouring parts of UTF-8, by their lengths in bytes."""
+    offsets = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(raw)).to_pylist()
+
+
 class _Block:
     """Distinct words and numbered texts, until it is full."""
 
@@ -184,11 +207,19 @@ def _split(special: dict[str, int]):
                 coded += np.split(block.numbers(words), np.cumsum(counts)[:-1])
             out = [packed(np.concatenate([np.array([i], np.int32) if i < 0 else coded[i] for i in mine] or [np.empty(0, np.int32)])) for mine in parts]
             n = len(docs)
-            return pa.RecordBatch.from_arrays([pa.array([block.number] * n, pa.int64()), pa.array(docs, pa.int64()), pa.array(out, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=["block", "doc_id", "codes", "words"])
+            return batch([block.number] * n, docs, out, [None] * n, [None] * n, [None] * n)
 
         def dictionary() -> pa.RecordBatch:
-            words = pa.array([list(block.rows)], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([block.number], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), words], names=["block", "doc_id", "codes", "words"])
+            """Words in the order of their hashes; codes has their numbers."""
+            words = list(block.rows)
+            order = np.argsort(hashes(words), kind="stable")
+            parts = [words[k].encode() for k in order.tolist()]
+            sizes = np.fromiter(map(len, parts), np.int32, len(parts))
+            return batch([block.number], [None], [packed(order)], [_small(b"".join(parts))], [packed(sizes)], [len(words)])
+
+        def batch(*columns: list) -> pa.RecordBatch:
+            kinds = {"block": pa.int64(), "doc_id": pa.int64(), "codes": pa.binary(), "words": pa.binary(), "sizes": pa.binary(), "n_words": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
         for b in batches:
             docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
@@ -208,65 +239,57 @@ def _split(special: dict[str, int]):
 
 
 def split(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """SPLIT rows: for each text (block, doc_id, codes: numbers of its words, packed), for each block its words by number."""
+    """SPLIT rows: for each text (block, doc_id, codes: numbers of its words, packed), for each block its words by hash and their numbers."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_split(special_tokens(tokenizer)), SPLIT)
 
 
-CODED = "of_block bigint, numbers binary, ids binary, sizes binary"
+RANGED = "range bigint, block bigint, words binary, sizes binary"
+CODED = "of_block bigint, range bigint, ids binary, lens binary"
+
+
+def _cut(ranges: int):
+    """Blocks' words to a row for each range of hashes in which a block has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, words, lens in zip(*(b.column(c).to_pylist() for c in ("block", "words", "sizes")), strict=True):
+                raw, sizes = _large(words), unpacked(lens)
+                at = np.append(0, np.cumsum(sizes, dtype=np.int64))
+                own, first = np.unique((hashes(_texts_of(raw, sizes)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)
+                rows = list(zip(first.tolist(), [*first[1:].tolist(), len(sizes)], strict=True))
+                cols = [[_small(raw[at[a] : at[z]]) for a, z in rows], [packed(sizes[a:z]) for a, z in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array([block] * len(own), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["range", "block", "words", "sizes"])
+
+    return lean(run)
 
 
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
-        last: tuple[str | None, np.ndarray] = (None, np.empty(0, "<u4"))
-        blocks, numbers, ids, waiting = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            """A row for each block: its words' numbers in order, their ids, and how many each has."""
-            block, number = np.concatenate(blocks), np.concatenate(numbers)
-            order = np.lexsort((number, block))
-            block, number = block[order], number[order]
-            mine = [x for part in ids for x in part]
-            mine = [mine[k] for k in order]
-            own, first = np.unique(block, return_index=True)
-            rows = list(zip(first, [*first[1:], len(block)], strict=True))
-            cols = [
-                [packed(np.diff(number[a:z], prepend=0)) for a, z in rows],
-                [packed(np.concatenate(mine[a:z]).astype(np.int32)) for a, z in rows],
-                [packed(np.fromiter(map(len, mine[a:z]), np.int32, z - a)) for a, z in rows],
-            ]
-            for x in (blocks, numbers, ids):
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["of_block", "numbers", "ids", "sizes"])
-
+        now, known = None, {}  # of the range at hand: ids by word
         for b in batches:
-            column = b.column("word").dictionary_encode()  # sorted: what a batch has of a word lies together
-            words = column.dictionary.to_pylist()
-            new = [w for w in words if w != last[0]]
-            known = dict(zip(new, (np.array(e.ids, "<u4") for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
-            if last[0] is not None:
-                known.setdefault(*last)
-            if words:
-                last = (words[-1], known[words[-1]])
-            coded = [known[w] for w in words]
-            ids.append([coded[k] for k in column.indices.to_pylist()])
-            blocks.append(b.column("block").to_numpy())
-            numbers.append(b.column("i").to_numpy())
-            waiting += b.num_rows
-            if waiting >= TOGETHER:
-                yield flush()
-                waiting = 0
-        if waiting:
-            yield flush()
+            ids, lens = [], []
+            for of, words, sizes in zip(*(b.column(c).to_pylist() for c in ("range", "words", "sizes")), strict=True):
+                if of != now:
+                    now, known = of, {}
+                texts = _texts_of(_large(words), unpacked(sizes))
+                new = [w for w in texts if w not in known]
+                known |= zip(new, (tuple(e.ids) for e in tok.encode_batch(new, add_special_tokens=False)), strict=True)
+                coded = [known[w] for w in texts]
+                ids.append(packed(np.array([i for x in coded for i in x], np.int32)))
+                lens.append(packed(np.fromiter(map(len, coded), np.int32, len(coded))))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("range"), pa.array(ids, pa.binary()), pa.array(lens, pa.binary())], names=["of_block", "range", "ids", "lens"])
 
     return lean(run)
 
 
 def coded(parts: DataFrame, tokenizer: str) -> DataFrame:
-    """CODED rows: the ids of split()'s blocks' words, several rows a block; each distinct word is encoded once."""
-    words = parts.filter("words is not null").select("block", F.posexplode("words").alias("i", "word"))
-    together = words.repartition(F.col("word")).sortWithinPartitions("word")
+    """CODED rows: the ids of split()'s blocks' words, a row for each block and range; each distinct word is encoded once."""
+    blocks = parts.filter("n_words is not null").select("block", "words", "sizes", "n_words")
+    places = blocks.agg(F.sum("n_words")).first()[0] or 0
+    ranges = min(max(-(-places // RANGE_WORDS), 4 * shuffles(parts.sparkSession)), 2**31)
+    together = blocks.select("block", "words", "sizes").mapInArrow(_cut(ranges), RANGED).repartition(F.col("range")).sortWithinPartitions("range")
     return together.mapInArrow(_encode_words(tokenizer), CODED)
 
 
@@ -297,14 +320,17 @@ class _Decoder:
 
 
 def _joined(digest: list[bytes] | None, with_ids: bool):
-    """Texts' word numbers and a block's ids by number, to rows of texts."""
+    """Texts' word numbers and a block's ids by range of hashes, to rows of texts."""
 
     def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-        read = lambda c: [unpacked(x) for x in words.column(c).to_pylist()]
         join = lambda parts: np.concatenate([*parts, np.empty(0, "<i4")])
-        order = np.argsort(join(np.cumsum(x) for x in read("numbers")), kind="stable")
-        flat, lens = join(read("ids")), join(read("sizes")).astype(np.int64)
-        starts, sizes = (np.cumsum(lens) - lens)[order], lens[order]
+        words = words.sort_by("range")  # as the block's words lie
+        flat, lens = (join(unpacked(x) for x in words.column(c).to_pylist()) for c in ("ids", "lens"))
+        dictionary = pc.is_valid(texts.column("n_words"))
+        number = join(unpacked(x) for x in texts.filter(dictionary).column("codes").to_pylist())
+        texts = texts.filter(pc.invert(dictionary))
+        starts, sizes = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+        starts[number], sizes[number] = np.cumsum(lens, dtype=np.int64) - lens, lens
         decode = _Decoder(digest) if digest is not None else None
 
         def ids_of(codes: np.ndarray) -> np.ndarray:
@@ -364,9 +390,9 @@ class Utf8Digest:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, digest: list[bytes] | None, with_ids: bool) -> DataFrame:
-    parts = materialise(split(docs, tokenizer), "words")
+    parts = materialise(split(docs, tokenizer), "words", "block")
     ids = coded(parts, tokenizer)
-    texts = parts.filter("words is null").select("block", "doc_id", "codes")
+    texts = parts.select("block", "doc_id", "codes", "n_words")
     schema = "doc_id bigint, n_tokens bigint" + (", ids binary" if with_ids else "") + (", ids_sha256 string, decoded_sha256 string" if digest is not None else "")
     return texts.groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(_joined(digest, with_ids), schema)
 

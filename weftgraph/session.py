@@ -56,6 +56,18 @@ def settle(df: DataFrame, tag: str = "cut") -> DataFrame:
     return out
 
 
+def settle_by(df: DataFrame, by: str, buckets: int, tag: str = "cut") -> DataFrame:
+    """settle() with files in ``buckets`` hash buckets of column ``by``: groups by it need no shuffle. The catalog's entry goes at once, the files stay."""
+    spark, name = df.sparkSession, f"weft_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name.replace('_', '-')}/{tag}"
+    # an entry is the one way to tell Spark of buckets
+    df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(f"spark_catalog.default.{name}")
+    _written.append((spark, path))
+    out = spark.table(f"spark_catalog.default.{name}")
+    spark.sql(f"drop table spark_catalog.default.{name}")
+    return out
+
+
 @atexit.register
 def forget() -> None:
     """Deletes what settle() has written; a cluster's driver ends with it, or a job calls it once results are stored."""
