@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -323,6 +324,19 @@ def test_mixing_matches_brute_force(spark):
     assert mixing.mix(docs.limit(0), domain, weights).count() == 0
 
 
+def test_mixing_starts_no_python_workers(spark):
+    docs = frame(spark, [f"text {i}" for i in range(40)], [(None, None, None, None, None)])
+    df = mixing.mix(docs, F.lit("d"), {}, total=1.5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # rows of the plan are the driver's, not an RDD that Python workers make
+    assert re.search(r"LocalTableScan \[[^]]*_cut", plan) and not re.search(r"Scan ExistingRDD\[[^]]*_cut", plan)
+    assert df.count() > 41
+    made = mixing.few_rows(spark, [("a", None, 1, 0.5)], "_d string, _l string, _whole int, _rest double")
+    assert made.dtypes == [("_d", "string"), ("_l", "string"), ("_whole", "int"), ("_rest", "double")]
+    assert [tuple(r) for r in made.collect()] == [("a", None, 1, 0.5)]
+    assert mixing.few_rows(spark, [], "_d string, _cut bigint").count() == 0
+
+
 def test_mixing_takes_what_an_independent_allocator_gives(spark):
     """Brute force: budgets by bisection of one water level a node, then prefixes of each leaf's epochs, document by document."""
     rng = random.Random(8)

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from weftgraph import session
 
@@ -35,6 +37,13 @@ def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return session.settle(df, tag) if by is None else session.settle_by(df, by, shuffles(df.sparkSession), tag)
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's few rows. Of plain tuples Spark makes it through Python workers of their own in each executor; Arrow goes without."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds), schema)
+
+
 def forget() -> None:
     """Deletes what materialise() has written; results that still read it must be consumed before."""
     session.forget()

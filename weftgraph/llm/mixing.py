@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import few_rows, materialise
 
 MAX_LEAVES = 20_000
 #: Rows of a leaf in a cell, about.
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], float],
     plan = [(*k, int(b // have[k]) if have[k] else 0, float(b - (b // have[k]) * have[k]) if have[k] else 0.0) for k, b in budget.items()]
     cells = 1 << max(0, (max((r["rows"] for r in sums), default=0) // CELL_ROWS).bit_length())
     spark = docs.sparkSession
-    goal = F.broadcast(spark.createDataFrame(plan, "_d string, _l string, _s string, _whole int, _rest double"))  # one row a leaf, at most MAX_LEAVES
+    goal = F.broadcast(few_rows(spark, plan, "_d string, _l string, _s string, _whole int, _rest double"))  # one row a leaf, at most MAX_LEAVES
     place = lambda df: df.withColumn("_o", F.xxhash64(F.lit(seed), F.col("_e"), F.col("_h"))).withColumn("_c", F.pmod(F.shiftrightunsigned("_o", 32), F.lit(cells)))
     last = place(key.select(*leaf, "_n", "_h").join(goal, leaf).filter("_rest > 0").withColumn("_e", F.col("_whole")))
     # sums by cell, then by blocks of cells, so that no task gets all cells of a leaf
@@ -122,13 +122,13 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple[str, ...], float],
     before = by_cell.join(before_block, [*leaf, "_b"]).withColumn("_before", F.col("_bb") + F.coalesce(F.sum("_cn").over(to_here(*leaf, "_b").orderBy("_c")), F.lit(0)))
     # where a leaf's budget ends: a cell a leaf, then a hash a leaf; at most MAX_LEAVES rows each
     edges = before.filter("_before <= _rest and _before + _cn > _rest").select(*leaf, F.col("_c").alias("_edge"), "_before").collect()
-    edge = spark.createDataFrame(edges, "_d string, _l string, _s string, _edge bigint, _before bigint")
+    edge = few_rows(spark, edges, "_d string, _l string, _s string, _edge bigint, _before bigint")
     there = last.join(F.broadcast(edge), leaf).filter("_c = _edge").groupBy(*leaf, "_o", "_before", "_rest").agg(F.sum("_n").alias("_n"))
     upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*leaf).orderBy("_o").rowsBetween(W.unboundedPreceding, 0))
     cuts = {tuple(r)[:3]: r["_cut"] for r in there.withColumn("_upto", upto).filter("_upto <= _rest").groupBy(*leaf).agg(F.max("_o").alias("_cut")).collect()}
     ends = {tuple(r)[:3]: r["_edge"] for r in edges}
     full = [(*p, ends.get(p[:3]), cuts.get(p[:3])) for p in plan]
-    final = F.broadcast(spark.createDataFrame(full, "_d string, _l string, _s string, _whole int, _rest double, _edge bigint, _cut bigint"))
+    final = F.broadcast(few_rows(spark, full, "_d string, _l string, _s string, _whole int, _rest double, _edge bigint, _cut bigint"))
     rows = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), *places)
     epochs = place(rows.join(final, leaf).withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("_whole")))))
     # no edge: the rest is nothing, or all of the epoch
