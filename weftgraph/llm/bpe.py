@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_chars, lean, materialise, shuffles, small_batches
+from .common import batches_by_chars, lean, materialise, release, shuffles, small_batches
 
 #: Characters of text and distinct words of a block, and characters that are cut into words at once, about.
 BLOCK_CHARS, BLOCK_WORDS, CHUNK_CHARS = 16_000_000, 250_000, 500_000
@@ -370,7 +370,13 @@ def _joined(digest: list[bytes] | None, with_ids: bool):
             cols |= {"ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
         return pa.table(cols)
 
-    return run
+    def lean_run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        try:
+            return run(key, texts, words)
+        finally:
+            release()
+
+    return lean_run
 
 
 class Utf8Digest:
