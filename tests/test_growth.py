@@ -2,9 +2,14 @@
 
 import random
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from weftgraph import session
+from weftgraph.operators.retract import retract_chunks
+from weftgraph.plans.builder import STRUCTURAL
+from weftgraph.schemas import graph
 from weftgraph.sources import grids
 
 
@@ -19,3 +24,18 @@ def test_pipe_tables_of_many_lines_are_read_in_linear_time(spark):
     assert time.time() - began < 60
     # spaces alone are trimmed from cells, as they were
     assert [got[i] for i in range(len(texts))] == [[[c.strip() for c in r] for r in grids.parse_pipe_table(t)] for t in texts]
+
+
+def test_retraction_never_hands_a_hub_s_chunks_to_its_relations(spark):
+    n = 6000
+    ids = spark.range(n).select(F.concat(F.lit("x"), "id").alias("name"), F.concat(F.lit("c"), "id").alias("chunk"), F.col("id").alias("ord"))
+    rel = ids.select(F.col("name").alias("subject"), F.lit("p").alias("predicate"), F.lit("hub").alias("object"), F.lit("ObjectProperty").alias("predicate_type"), F.array("chunk").alias("source_chunks"), "ord")
+    # a relation and a value without sources live on what both ends keep; one whose ends share nothing goes
+    more = spark.createDataFrame([("x1", "q", "hub", "ObjectProperty", [], n), ("y", "q", "hub", "ObjectProperty", [], n + 1), ("x3", "v", "hub", "DatatypeProperty", ["c0"], n + 2)], rel.schema)
+    inst = ids.select("name", F.array("chunk", F.lit("c0")).alias("source_chunks"), "ord").unionByName(spark.createDataFrame([("y", ["c0", "e"], n), ("hub", ["f"], n + 1)], "name string, source_chunks array<string>, ord bigint"))
+    before = len(session._written)
+    out = retract_chunks(graph(spark, instances=inst, relations=rel.unionByName(more)), spark.createDataFrame([("c0",)], "chunk_id string"), STRUCTURAL)
+    got = {(r["subject"], r["predicate"]): r["source_chunks"] for r in out.relations.filter("predicate <> 'p' or subject in ('x1', 'x2')").collect()}
+    assert got == {("x1", "p"): ["c1"], ("x2", "p"): ["c2"], ("x1", "q"): ["c1"], ("x3", "v"): ["c3"]}
+    assert out.relations.filter("predicate = 'p'").count() == n - 1
+    assert sum(f.stat().st_size for _, p in session._written[before:] for f in Path(p.removeprefix("file://")).iterdir()) < 3_000_000

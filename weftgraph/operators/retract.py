@@ -16,22 +16,25 @@ def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ())
     ev = settle(evidence(g), "evidence")
     hit = ev.join(gone, "chunk_id", "left_semi").select("name").distinct()
     left = ev.join(gone, "chunk_id", "left_anti").join(hit, "name", "left_semi")
-    remaining = hit.join(left.groupBy("name").agg(F.collect_set("chunk_id").alias("_left")), "name", "left").withColumn("_left", F.coalesce("_left", F.array().cast("array<string>")))
-    remaining = settle(remaining, "remaining")
+    # names that lose some chunk, and how many they keep; the chunks stay rows, as a hub's are too many to hand to its relations
+    remaining = settle(hit.join(left.groupBy("name").agg(F.count("*").alias("_n")), "name", "left").select("name", F.coalesce("_n", F.lit(0)).alias("_n")), "remaining")
     # relations: the chunks that stay, by explode, anti join and regroup (many sources may go at once)
     rel = g.relations.withColumn("_rid", F.xxhash64("subject", "predicate", "object", "label", "ord"))
     kept_chunks = rel.select("_rid", F.posexplode("source_chunks").alias("_p", "chunk_id")).join(gone, "chunk_id", "left_anti")
     kept_chunks = kept_chunks.groupBy("_rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "chunk_id"))), lambda s: s["chunk_id"]).alias("_keep"))
-    of = lambda end, c: remaining.select(F.col("name").alias(end), F.col("_left").alias(c))
-    r = rel.join(kept_chunks, "_rid", "left").join(of("subject", "_ls"), "subject", "left").join(of("object", "_lo"), "object", "left")
+    of = lambda end, c: remaining.select(F.col("name").alias(end), F.col("_n").alias(c))
     own = F.size(F.filter("source_chunks", lambda c: c != "")) > 0
     is_object = F.coalesce("predicate_type", F.lit("")) != "DatatypeProperty"
     free = F.col("predicate").isin(*structural) if structural else F.lit(False)
-    shared = F.coalesce(F.arrays_overlap("_ls", "_lo"), F.lit(False))
+    # what both ends keep counts for relations without sources of their own, and for values
+    pairs = rel.filter(~F.coalesce(own, F.lit(False)) | ~is_object).select("subject", "object").distinct()
+    both = _common(pairs.join(of("subject", "_ls"), "subject").join(of("object", "_lo"), "object").filter("_ls > 0 and _lo > 0"), left)
+    r = rel.join(kept_chunks, "_rid", "left").join(of("subject", "_ls"), "subject", "left").join(of("object", "_lo"), "object", "left").join(both, ["subject", "object"], "left")
+    shared = F.col("_both").isNotNull()
     dies = is_object & F.when(own, F.col("_keep").isNull()).otherwise(~free & F.col("_ls").isNotNull() & F.col("_lo").isNotNull() & ~shared)
     r = settle(r.filter(~dies), "relations")
     classes = g.classes.select("name").distinct()
-    orphans = settle(remaining.filter(F.size("_left") == 0).select("name").join(classes, "name", "left_anti"), "orphans")
+    orphans = settle(remaining.filter("_n = 0").select("name").join(classes, "name", "left_anti"), "orphans")
     hit_classes = hit.join(classes, "name", "left_semi").unionByName(g.instances.join(orphans, "name", "left_semi").select(F.col("class_name").alias("name")).distinct().join(classes, "name", "left_semi")).distinct()
     stated = ev.join(gone, "chunk_id", "left_anti").select("name").distinct()
     ends = r.filter(is_object).select("subject", "object").join(orphans.withColumnRenamed("name", "subject"), "subject", "left_anti").join(orphans.withColumnRenamed("name", "object"), "object", "left_anti")
@@ -50,7 +53,7 @@ def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ())
     instances = conform(chunks_left(keep(g.instances, "name"), "name", "class_name"), "instances")
     values = conform(chunks_left(keep(g.data_values, "entity"), "entity", "property", "value"), "data_values")
     touched = F.col("_ls").isNotNull() | F.col("_lo").isNotNull()
-    borrowed = F.array_sort(F.coalesce(F.array_intersect("_ls", "_lo"), F.array().cast("array<string>")))
+    borrowed = F.coalesce("_both", F.array().cast("array<string>"))
     stays = F.coalesce("_keep", F.array().cast("array<string>"))
     new = F.when(touched, F.when(F.size(stays) > 0, stays).otherwise(borrowed)).otherwise(F.coalesce("_keep", "source_chunks"))
     relations = conform(keep(keep(r.withColumn("source_chunks", new), "subject"), "object"), "relations")
@@ -67,6 +70,14 @@ def retract_chunks(g: Graph, gone: DataFrame, structural: tuple[str, ...] = ())
     return g.with_(classes=conform(left_classes, "classes"), object_props=object_props, data_props=data_props, hierarchy=hierarchy, instances=instances, relations=relations, data_values=values, chunks=chunks, enriched=enriched)
 
 
+def _common(pairs: DataFrame, left: DataFrame) -> DataFrame:
+    """(subject, object, _both): the chunks in ``left`` (name, chunk_id) of both ends, where there are some; the end with fewer is looked up in the other."""
+    fewer = F.col("_ls") <= F.col("_lo")
+    few = pairs.withColumn("_few", F.when(fewer, F.col("subject")).otherwise(F.col("object"))).withColumn("_many", F.when(fewer, F.col("object")).otherwise(F.col("subject")))
+    met = few.join(left.select(F.col("name").alias("_few"), "chunk_id"), "_few").join(left.select(F.col("name").alias("_many"), "chunk_id"), ["_many", "chunk_id"], "left_semi")
+    return met.groupBy("subject", "object").agg(F.array_sort(F.collect_set("chunk_id")).alias("_both"))
+
+
 def _dead_classes(g: Graph, bare: DataFrame, start: DataFrame, orphans: DataFrame) -> DataFrame:
     """(name) of ``bare`` classes that nothing refers to, round by round from ``start``; rounds are joins on written tables."""
     bare = settle(bare, "bare")
