@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph import session
 from weftgraph.operators import cluster
 from weftgraph.operators.retract import retract_chunks
+from weftgraph.plans import queries
 from weftgraph.plans.builder import STRUCTURAL
 from weftgraph.schemas import graph
 from weftgraph.sources import grids
@@ -59,3 +60,11 @@ def test_cosine_links_are_those_of_brute_force_and_copy_no_vector(spark):
         assert set(got) == want and len(got) == len(want) > 300
         assert "explode" not in links._jdf.queryExecution().toString()
     assert cluster.cosine_links(df.limit(0)).count() == 0
+
+
+def test_reads_of_the_stored_graph_write_no_table_they_do_not_read(spark):
+    before = len(session._written)
+    rows = queries.predicates(spark, "/root/testdata/sf0.001").collect() + queries.search_labels(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 3
+    tags = [Path(p).name for _, p in session._written[before:]]
+    assert not {"nodes", "edges", "node_chunks"} & set(tags) and tags.count("endpoints") == 2

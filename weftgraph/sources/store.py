@@ -50,8 +50,8 @@ def endpoints(g: Graph) -> DataFrame:
 
 
 def graph_rows(g: Graph) -> dict[str, DataFrame]:
-    """nodes, edges and node_chunks; the first record of a uri, and of a triple, holds."""
-    every = endpoints(g)
+    """nodes (labels: without attrs), edges and node_chunks; the first record of a uri, and of a triple, holds."""
+    every = settle(endpoints(g), "endpoints")  # all of them look names up there
     inst = every.filter("kind = 'instance'").select("name", "uri")
     cls = every.filter("kind = 'concept'").select("name", "uri")
     # a name that is both is the instance, as an end of relations
@@ -86,7 +86,7 @@ def graph_rows(g: Graph) -> dict[str, DataFrame]:
     first = nodes.withColumn("_n", F.row_number().over(W.partitionBy("uri").orderBy(rank, "ord"))).filter("_n = 1").drop("_n")
     nodes = first.join(attrs, "uri", "left").select("uri", "kind", "label", "attrs", "ord")
     chunk = evidence(g).join(both, "name").select("uri", "chunk_id").unionByName(evidence_of_classes(g).join(cls, "name").select("uri", "chunk_id")).distinct()
-    return {"nodes": nodes, "edges": edges, "node_chunks": chunk}
+    return {"nodes": nodes, "labels": first.select("uri", "kind", "label", "ord"), "edges": edges, "node_chunks": chunk}
 
 
 def evidence_of_classes(g: Graph) -> DataFrame:
@@ -170,7 +170,7 @@ class GraphStore:
         the new ones, labels the first ones, sources and chunks are added, and named relations supersede stored relatedTo."""
         if not replace:
             g = g.with_(uris=self.label_uris().select("name", "kind", "uri").unionByName(g.uris).groupBy("name", "kind").agg(F.min("uri").alias("uri")))
-        new = graph_rows(g)
+        new = {k: v for k, v in graph_rows(g).items() if k in TABLES}
         sources, schema = edge_source_rows(g), schema_rows(g)
         if replace:
             self.save(new | {"edge_sources": sources, "schema": schema, "enriched_chunks": g.enriched.distinct()})
